@@ -38,6 +38,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_merge import dedup_digest
+
+    return dedup_digest(table(spark, sf_dir, "documents"), length=200)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.url_filter import RULES_SCHEMA, filter_urls
 
