@@ -19,6 +19,12 @@ URL_RULES = [
 ]
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.templates import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.source_mix import mix_sources
 
@@ -38,6 +44,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_merge import dedup_digest
 
