@@ -50,6 +50,12 @@ def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_main import extract_main
+
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_merge import dedup_digest
 
