@@ -31,6 +31,12 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.subword_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import byte_cnn
 
