@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 back as the next stage's docs. All stages but the last return the columns that they were given.
 
 1. ``quality_classifier``: rows that the byte-level network rejects go.
-2. ``near_duplicates``: of each group of near-duplicates the row with the smallest id stays (all rows with a null id and an own text stay).
+2. ``near_duplicates``: of each group of near-duplicates the row with the smallest id stays; of rows that repeat an id and its text, one.
 3. ``repeated_strings``: strings of 200 bytes or more that occur twice are cut out of the texts; ``n_chars`` is counted anew.
 4. ``decontamination``: rows that leak a benchmark item go.
 5. ``source_mix``: copies of each remaining document so that the sources meet their targets.
@@ -33,7 +33,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = lsh_forest.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
     drop = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    if docs.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
