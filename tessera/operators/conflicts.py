@@ -19,7 +19,7 @@ def first_pairs(text: Column) -> Column:
     for bucket, left, right in PAIRS:
         a, b = T.find_all(text, left), T.find_all(text, right)
         both = F.regexp_like(text, F.lit(left)) & F.regexp_like(text, F.lit(right))
-        each.append(F.when(both, F.struct(F.lit(bucket).alias("bucket"), a[0].alias("a"), b[0].alias("b"), F.lit(1.0).alias("confidence"), F.lit("pattern").alias("method"))))
+        each.append(F.when(both, F.struct(F.lit(bucket).alias("bucket"), F.get(a, 0).alias("a"), F.get(b, 0).alias("b"), F.lit(1.0).alias("confidence"), F.lit("pattern").alias("method"))))
     return F.filter(F.array(*each), lambda x: x.isNotNull())
 
 

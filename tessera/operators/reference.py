@@ -100,12 +100,12 @@ def candidates(cases: DataFrame, options: Options = Options()) -> DataFrame:
         .when(empty | ((F.col("head") != "") & (F.contains(F.col("attached"), F.col("head")) | F.exists("syns", lambda s: F.contains(F.col("attached"), s)))), "attachment")
     )
     d = d.withColumn("method", method)
-    matched = F.coalesce(F.when(has("h", F.col("asked")), F.col("asked")), F.filter("asked_syns", lambda s: F.regexp_like(F.col("h"), T.word_pattern(s)))[0])
+    matched = F.coalesce(F.when(has("h", F.col("asked")), F.col("asked")), F.get(F.filter("asked_syns", lambda s: F.regexp_like(F.col("h"), T.word_pattern(s))), 0))
     d = d.withColumn("matched", F.when(F.col("method") == "pattern", matched))
     sure = F.when(F.col("method").isNull(), F.lit(0.0)).when(F.col("method") != "pattern", F.lit(0.8)).when(F.col("matched") == F.col("asked"), F.lit(0.9)).otherwise(F.lit(0.8))
     # A synonym far before its candidate lowers confidence; the first that fits counts.
-    fit = F.filter("syns", lambda s: F.regexp_like(F.col("before"), T.word_pattern(s, NOT_OTHER + "(?<!the )")))[0]
-    place = F.length(F.split(F.col("before"), T.word_pattern(fit, NOT_OTHER + "(?<!the )"), 2)[0])
+    fit = F.get(F.filter("syns", lambda s: F.regexp_like(F.col("before"), T.word_pattern(s, NOT_OTHER + "(?<!the )"))), 0)
+    place = F.length(F.get(F.split(F.col("before"), T.word_pattern(fit, NOT_OTHER + "(?<!the )"), 2), 0))
     d = d.withColumn("penalty", (F.col("method") == "synonym") & ~F.col("long_hist") & F.coalesce((F.col("start") - place) > 5000, F.lit(False)))
     return d.select("case_id", "message_index", "cur", "hist", "forward", "span", "head", "start", "end", "method", "matched", sure.alias("sure"), F.coalesce("penalty", F.lit(False)).alias("penalty"))
 
@@ -153,7 +153,7 @@ def report(v: DataFrame, found: DataFrame) -> DataFrame:
         (any_of("report", "document", "transcript"), "ADD_CONTEXT", "Inline a 1–3 line summary or attach the file metadata."),
         (any_of("list", "results"), "ADD_CONTEXT", "Paste the prior items or a compact summary before asking to continue."),
     )
-    first = F.coalesce(F.filter("open", lambda x: x["start"] >= 0)[0]["start"])
+    first = F.get(F.filter("open", lambda x: x["start"] >= 0), 0)["start"]
     return issues.issue(d, 2, "MISSING_REFERENCE", "high", detail, confidence, F.col("summary_"), occurrences, first, F.col("message_index"), advice)
 
 

@@ -28,7 +28,7 @@ def has_prose_after_json(text: Column) -> Column:
 def risk_rule(cases: DataFrame, options: Options = Options()) -> DataFrame:
     d = cases.where(F.col("schema_json").isNotNull()).select("case_id", T.full_text(F.col("prompt"), F.col("messages")).alias("text"), issues.scope_index(F.col("messages")).alias("message_index"))
     d = d.where(has_json_cue(F.col("text")) & has_prose_after_json(F.col("text")))
-    first = lambda p: T.find_all(F.col("text"), p)[0]
+    first = lambda p: F.get(T.find_all(F.col("text"), p), 0)
     d = d.withColumn("a", first(r"(?i)json[^.\n]{0,120}")).withColumn("b", first(r"(?i)(notes|commentary|explanation|discussion)[^.\n]{0,120}"))
     occ = lambda c: F.when(F.col(c).isNotNull(), issues.occurrence(text=F.col(c)["text"], start=F.col(c)["start"], end=F.col(c)["end"], preview=T.preview(F.col("text"), F.col(c)["start"], F.col(c)["end"])))
     summary = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(1).cast("long").alias("count")) for t in ("json keywords", "prose after json request")])
