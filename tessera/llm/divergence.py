@@ -29,9 +29,9 @@ COMMON_WORDS = {
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
 WINDOW = 8
 #: Character histograms count from this many characters on, word histograms from this many words on.
-MIN_CHARS, MIN_WORDS = 100, 50
+MIN_CHARS, MIN_WORDS = 200, 50
 #: A document further than this from its language's reference fails.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.32, 0.50
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.34, 0.50
 
 _SPACE = r"[\x20\x09-\x0D]"
 
