@@ -15,3 +15,39 @@ hits AS (SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
   FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hits WHERE k = 1
 """
+
+
+def _quality_rules() -> str:
+    """Base counts by window functions over exploded words; histograms as rows (document, bin, count)."""
+    from tessera.llm import divergence as D
+
+    langs = ", ".join(f"'{x}'" for x in D.COMMON_WORDS)
+    vocabulary = sorted({w for ws in D.COMMON_WORDS.values() for w in ws})
+    bins = ", ".join(f"('{w}')" for w in vocabulary)
+    strip = ["[a-zß-öø-ÿ]+", "[\\x20\\x09-\\x0D]+", "[A-ZÀ-ÖØ-Þ]+", "[#*$%&|<>]+", "[0-9]+", "[.,;:!?''\"()-]+"]
+    steps = ["s0 AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(text, '') AS r0, CASE WHEN lang IN (" + langs + ") THEN lang ELSE 'other' END AS lang FROM documents)"]
+    for i, p in enumerate(strip, 1):
+        steps.append(f"s{i} AS (SELECT *, regexp_replace(r{i - 1}, '{p}', '', 'g') AS r{i} FROM s{i - 1})")
+    distance = (
+        "SELECT rid, sqrt(greatest(0, sum((CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END) / 2))) AS dist "
+        "FROM (SELECT rid, n / sum(n) OVER (PARTITION BY rid) AS a, all_n / sum(all_n) OVER (PARTITION BY rid) AS b FROM (SELECT rid, n, sum(n) OVER (PARTITION BY lang, bin) AS all_n FROM {t})) GROUP BY rid"
+    )
+    return f"""
+WITH {", ".join(steps)},
+d AS (SELECT rid, doc_id, t, lang, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, length(r0) AS c0, length(r1) AS c1, length(r2) AS c2, length(r3) AS c3, length(r4) AS c4, length(r5) AS c5, length(r6) AS c6 FROM s6),
+chars AS (SELECT rid, lang, unnest(['lower', 'space', 'upper', 'symbol', 'digit', 'stop', 'other']) AS bin, CAST(unnest([c0 - c1, c1 - c2, c2 - c3, c3 - c4, c4 - c5, c5 - c6, c6]) AS DOUBLE) AS n FROM d),
+tokens AS (SELECT rid, lang, lower(regexp_replace(unnest(ws), '[.,;:!?]+$', '')) AS w FROM d),
+counted AS (SELECT rid, w, count(*) AS n FROM tokens WHERE w IN (SELECT v FROM (VALUES {bins}) b(v)) GROUP BY ALL),
+found AS (SELECT d.rid, lang, v AS bin, CAST(coalesce(c.n, 0) AS DOUBLE) AS n FROM d CROSS JOIN (VALUES {bins}) b(v) LEFT JOIN counted c ON c.rid = d.rid AND c.w = v),
+hist AS (SELECT * FROM found UNION ALL SELECT d.rid, d.lang, '', CAST(len(ws) - coalesce(k.n, 0) AS DOUBLE) FROM d LEFT JOIN (SELECT rid, sum(n) AS n FROM counted GROUP BY rid) k USING (rid)),
+wins AS (SELECT rid, i, array_to_string(ws[i:i + {D.WINDOW - 1}], ' ') AS win FROM d, unnest(range(1, len(ws) - {D.WINDOW - 2})) AS u(i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM wins) WHERE c > 1),
+covered AS (SELECT rid, sum(least({D.WINDOW}, coalesce(nxt - i, {D.WINDOW}))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM twice) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+base AS (SELECT d.rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, c0 - (c1 - c2) AS word_chars, c3 - c4 AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words, c0 FROM d LEFT JOIN lines l USING (rid) LEFT JOIN covered v USING (rid)),
+judged AS (SELECT b.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN c0 >= {D.MIN_CHARS} THEN x.dist END AS cd, CASE WHEN n_words >= {D.MIN_WORDS} THEN y.dist END AS wd FROM base b LEFT JOIN ({distance.format(t="chars")}) x USING (rid) LEFT JOIN ({distance.format(t="hist")}) y USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= {D.MAX_CHAR_DISTANCE} AND coalesce(wd, 0) <= {D.MAX_WORD_DISTANCE} AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM judged
+"""
+
+
+ORACLES["op5_quality_rules"] = _quality_rules()
