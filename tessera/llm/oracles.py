@@ -51,3 +51,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLES["op5_quality_rules"] = _quality_rules()
+
+
+def _license_templates() -> str:
+    """Templates as regular expressions over the words joined by blanks."""
+    import re
+
+    from tessera.llm import license_scan as L
+
+    def pattern(template: str) -> str:
+        out, optional = "", False
+        for part in re.split(r"(<<.*?>>)", template):
+            if part == "<<optional>>":
+                out, optional = out + "(?:", True
+            elif part == "<</optional>>":
+                out, optional = out + ")?", False
+            elif m := re.fullmatch(r"<<var:(\d+)>>", part):
+                out += f"(?: [^ ]+){{0,{m[1]}}}"
+            else:
+                out += "".join(f" {w}" for w in L.words_of(part))
+        return re.sub(r"^(\(\?:[^)]*\)\?)+", "", out) + " "
+
+    templates = ", ".join(f"('{name}', '{pattern(t)}')" for name, t in L.TEMPLATES.items())
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in L.PHRASES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+j AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS joined FROM d),
+p AS (SELECT rid, ws, phrase, label, string_split(phrase, ' ') AS parts FROM j, (VALUES {phrases}) x(phrase, label) WHERE contains(joined, ' ' || phrase || ' ')),
+places AS (SELECT rid, label, i - 1 AS at_word FROM p, unnest(range(1, len(ws) - len(parts) + 2)) AS u(i) WHERE ws[i:i + len(parts) - 1] = parts),
+base AS (SELECT rid, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word FROM places GROUP BY rid),
+own AS (SELECT rid, name AS label FROM j, (VALUES {templates}) y(name, pat) WHERE regexp_matches(joined, pat)),
+bl AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT rid, label FROM places) GROUP BY rid),
+al AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM places UNION SELECT rid, label FROM own) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN j.rid IN (SELECT rid FROM own) THEN 1.0::DOUBLE WHEN base.rid IS NOT NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM j LEFT JOIN base USING (rid) LEFT JOIN bl USING (rid) LEFT JOIN al USING (rid)
+"""
+
+
+ORACLES["op6_license_templates"] = _license_templates()
