@@ -251,6 +251,18 @@ def adapt(words: DataFrame, classes: int, pieces: list[bytes], start: np.ndarray
     return logp, stop
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words with counts from some bound on, ``most`` at most; the bound is one of a few hundred steps of the count's logarithm."""
+    step = F.floor(F.log(F.col("n").cast("double")) * 16)
+    sizes = sorted(((r["step"], r["words"]) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    bound, held = None, 0
+    for at, size in sizes:
+        if held + size > most:
+            break
+        bound, held = at, held + size
+    return words.where(step >= bound) if bound is not None else words.limit(0)
+
+
 def score_documents(
     docs: DataFrame, vocabulary: str = VOCABULARY, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", head: int = HEAD
 ) -> DataFrame:
@@ -306,7 +318,7 @@ def score_documents(
             )
 
     weighed = cut(counted.mapInArrow(weigh, "h long, n long, known long, base double, " + ", ".join(f"{m} double" for m in models)), "weights")
-    common = weighed.orderBy(F.desc("n"), "h").limit(head).toPandas()  # at most ``head`` rows
+    common = frequent(weighed, head).toPandas()  # at most ``head`` rows
     keys = common["h"].to_numpy(np.int64).view(np.uint64)
     place = np.argsort(keys)
     sums_of = ["known", "base", *models]
