@@ -40,18 +40,17 @@ def _strip(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of counts; null if either sums to 0."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    tp, tq = total(p), total(q)
+def js_distance(p: Column, q: Column, p_total: Column, q_total: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of counts with the given sums; null if either sum is 0."""
 
     def part(x, y):
-        a, b = x / tp, y / tq
+        a, b = x / p_total, y / q_total
         m = (a + b) / 2
         term = lambda v: F.when(v > 0, v * F.log2(v / m)).otherwise(F.lit(0.0))
         return (term(a) + term(b)) / 2
 
-    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(p, q, part)))))
+    total = F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda s, x: s + x)
+    return F.when((p_total > 0) & (q_total > 0), F.sqrt(F.greatest(F.lit(0.0), total)))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -108,10 +107,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = len({w for ws in COMMON_WORDS.values() for w in ws}) + 1
     sums = lambda c, k, name: F.array(*[F.sum(F.col(c)[i]) for i in range(k)]).alias(name)
     # One row a language, and there are len(COMMON_WORDS) + 1 of them at most: a proven bound.
-    reference = m.groupBy("lang").agg(sums("char_hist", len(CLASSES), "char_ref"), sums("word_hist", size, "word_ref")).withColumnRenamed("lang", "ref_lang")
+    reference = m.groupBy("lang").agg(sums("char_hist", len(CLASSES), "char_ref"), sums("word_hist", size, "word_ref"), F.sum("chars").alias("char_sum"), F.sum("n_words").alias("word_sum")).withColumnRenamed("lang", "ref_lang")
     d = m.join(F.broadcast(reference), F.col("lang") == F.col("ref_lang"))
-    d = d.withColumn("char_distance", F.when(F.col("chars") >= MIN_CHARS, js_distance(F.col("char_hist"), F.col("char_ref"))))
-    d = d.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, js_distance(F.col("word_hist"), F.col("word_ref"))))
+    d = d.withColumn("char_distance", F.when(F.col("chars") >= MIN_CHARS, js_distance(F.col("char_hist"), F.col("char_ref"), F.col("chars"), F.col("char_sum"))))
+    d = d.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, js_distance(F.col("word_hist"), F.col("word_ref"), F.col("n_words"), F.col("word_sum"))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return d.select(
