@@ -6,7 +6,7 @@ neighbours make a chunk, so chunks overlap by half and cover the whole text. ``F
 filters of a chunk. The mean and the maximum of the hidden units over all chunks, and the logarithm of the
 number of bytes, are combined into one probability.
 
-Training is by Adam on the driver, from at most ``max_rows`` labelled rows a class (a documented bound; rows are
+Training is by Adam in one task, from at most ``max_rows`` labelled rows a class (a documented bound; rows are
 taken in order of a hash of the id), never from held-out rows. Scoring is a map over Arrow batches: nothing is shuffled, and a
 worker holds one block of texts at a time.
 
@@ -17,6 +17,7 @@ An empty table gives an empty result. Only the id and the text of a row are read
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,6 +123,18 @@ class Network:
         g["table"] = gt
         return float(-(weight * (y * np.log(q + 1e-9) + (1 - y) * np.log(1 - q + 1e-9))).sum()), g
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.p)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> Network:
+        net = cls()
+        with np.load(io.BytesIO(raw)) as f:
+            net.p = {k: f[k] for k in f.files}
+        return net
+
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
             return np.empty(0)
@@ -176,8 +189,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label_col:
     side = docs.sparkSession.createDataFrame(ids, "l_id long, y int")
     # An id may stand in several rows; the learner takes each id's first text by order.
     rows = docs.select(F.col(id_col).alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(side), F.col("d_id") == F.col("l_id"))
-    got = sorted(rows.groupBy("l_id", "y").agg(F.min("t").alias("t")).toLocalIterator(), key=lambda r: (r["l_id"], r["y"]))
-    return train([r["t"] for r in got], [r["y"] for r in got])
+    sample = rows.groupBy("l_id", "y").agg(F.min("t").alias("t")).repartition(1)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(((r["l_id"], r["y"], r["t"]) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
+        net = train([r[2] for r in got], [r[1] for r in got])
+        yield pa.RecordBatch.from_arrays([pa.array([net.dump() if net else None], pa.binary())], names=["net"])
+
+    made = sample.mapInArrow(learn, "net binary").first()
+    return Network.load(bytes(made["net"])) if made and made["net"] is not None else None
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
