@@ -1,23 +1,26 @@
-"""Main text of web pages: page structure first, the host's suffix array where structure is silent.
+"""Main text of web pages: the host's suffix arrays over all blocks, with the page's structure as a prior.
 
 A page is cut into blocks at block-level tags. Blocks in menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts and styles are dropped by tag, role or class. Blocks inside an article (``article``, ``main`` or their roles) are kept. If a page
-has no such region, its other blocks are undecided: the token streams of the host's pages are concatenated, a suffix array
-over them finds strings of ``RUN`` tokens or more that stand on distinct pages, and blocks mostly covered by
-such strings are boilerplate, while unique runs stay.
+scripts and styles are dropped by tag, role or class; a class word does not drop a wrapper that holds an ``article`` or ``main``. All other
+blocks of all pages are judged by their host: the token streams of the host's pages are concatenated, a suffix array
+over them finds strings of ``RUN`` tokens or more that stand on distinct pages. Blocks mostly covered by
+such strings are boilerplate, while unique runs stay. Structure sets how much must be covered: ``COVERED`` of a block
+outside an article (``article``, ``main`` or their roles), all of a block inside one, by strings inside the block; and where ``COPIED`` of a page's articles or more is covered, the
+page is taken for a copy of another and its articles stay whole.
 
-A host's pages are dealt at random into shards of about ``SHARD_PAGES`` pages, each with a suffix array of its own: boilerplate of a host
-repeats within any shard, and no task gets a host of unbounded size. A page alone in its shard keeps its undecided blocks.
+A host's pages are dealt at random into shards of about ``SHARD_PAGES`` pages, each with a suffix array of its own, so that no task gets a host of
+unbounded size.
 
 Character references are decoded, white space inside a block becomes one space, blocks join by one line feed in page order.
 Null and empty pages give an empty text. A tag or comment that the page's end cuts off is dropped. Repeated rows are extracted alike;
-rows with equal URLs count as one page. An empty table gives an empty result.
+rows with equal URLs count as one page, rows without URL belong to no host and keep their blocks. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.store import cut
 from tessera.llm.url_filter import host_of
 
-RUN, COVERED, SHARD_PAGES = 6, 0.9, 256
+RUN, COVERED, COPIED, SHARD_PAGES = 6, 0.9, 0.5, 256
 
 # Names of HTML elements and of the classes that sites give to page furniture.
 BLOCK_TAGS = set(
@@ -56,11 +59,12 @@ _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _ENDS_P = BLOCK_TAGS - {"body", "html"}
 
-KEEP, UNDECIDED = 1, 0
+INSIDE, UNDECIDED = 1, 0
 
 
 def _role(tag: str, attrs: str, in_main: bool) -> int | None:
-    """-1: page furniture, 1: main region, 0: neither."""
+    """-1: page furniture, -2: furniture by a class word only, 1: main region, 0: neither."""
+    worded = False
     if tag in MAIN_TAGS:
         kind = 1
     elif tag in DROP_TAGS or (tag == "header" and not in_main):
@@ -78,19 +82,19 @@ def _role(tag: str, attrs: str, in_main: bool) -> int | None:
             elif name == "itemprop" and value == "articlebody":
                 kind = 1
             elif name in ("class", "id") and tag not in ("html", "body") and kind != 1:
-                if not DROP_WORDS.isdisjoint(_SPLIT.split(value)):
-                    return -1
+                worded |= not DROP_WORDS.isdisjoint(_SPLIT.split(value))
             elif name == "hidden" and not value:
                 return -1
-    return kind
+    return -2 if worded and kind != 1 else kind
 
 
 def page_blocks(page: str) -> list[tuple[str, int]]:
-    """The page's blocks outside page furniture, in order, with KEEP or UNDECIDED."""
-    stack: list[tuple[str, int]] = []
-    drops = mains = 0
-    any_main = False
-    found: list[tuple[str, int]] = []
+    """The page's blocks outside page furniture, in order, with INSIDE (an article) or UNDECIDED."""
+    stack: list[tuple[str, int, int]] = []
+    drops = mains = wrappers = 0
+    worded: list[int] = []  # open wrappers with a class word
+    held: set[int] = set()  # those that hold an article
+    found: list[tuple[str, int, tuple[int, ...]]] = []
     buf: list[str] = []
 
     def flush() -> None:
@@ -98,7 +102,16 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
             text = " ".join(_html.unescape("".join(buf)).split())
             buf.clear()
             if text:
-                found.append((text, 1 if mains else 0))
+                found.append((text, INSIDE if mains else UNDECIDED, tuple(worded)))
+
+    def end(k: int) -> None:
+        nonlocal drops, mains
+        for _, role, at in stack[k:]:
+            drops -= role == -1
+            mains -= role == 1
+            if role == -2:
+                worded.remove(at)
+        del stack[k:]
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -115,33 +128,37 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
                 break
             if tag in VOID_TAGS or attrs.endswith("/"):
                 continue
-            if tag in _ENDS_P and any(t == "p" for t, _ in stack[-8:]):
+            if tag in _ENDS_P and any(t == "p" for t, *_ in stack[-8:]):
                 # A block opens: an open paragraph, and what is open inside it, ends.
-                k = max(i for i, (t, _) in enumerate(stack) if t == "p")
-                for _, role in stack[k:]:
-                    drops -= role == -1
-                    mains -= role == 1
-                del stack[k:]
+                end(max(i for i, (t, *_) in enumerate(stack) if t == "p"))
             role = _role(tag, attrs, bool(mains))
-            stack.append((tag, role))
+            if role == -2 and tag not in BLOCK_TAGS:
+                if "-" in tag:  # an element of the site's own may be a wrapper
+                    flush()
+                else:
+                    role = -1
+            stack.append((tag, role, wrappers))
             drops += role == -1
             mains += role == 1
-            any_main |= role == 1 and not drops
+            if role == -2:
+                worded.append(wrappers)
+                wrappers += 1
+            elif role == 1 and not drops:
+                held.update(worded)
         elif tag := m["close"]:
             tag = tag.lower()
             if tag in BLOCK_TAGS:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    for _, role in stack[k:]:
-                        drops -= role == -1
-                        mains -= role == 1
-                    del stack[k:]
+                    if any(role == -2 for _, role, _ in stack[k:]):
+                        flush()
+                    end(k)
                     break
     if at < len(page) and not drops:
         buf.append(page[at:])
     flush()
-    return [(t, KEEP) for t, main in found if main] if any_main else [(t, UNDECIDED) for t, _ in found]
+    return [(t, kind) for t, kind, inside in found if held.issuperset(inside)]
 
 
 def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
@@ -163,88 +180,129 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
         k *= 2
 
 
-def repeated_tokens(pages: list[list[list[str]]], run: int = RUN) -> list[list[np.ndarray]]:
-    """For each page and block, which tokens are covered by a string of ``run`` tokens that stands on another page too."""
+def _stream(pages: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of all pages, one after another, and the page of each."""
     ids: dict[str, int] = {}
-    stream, owner, spots = [], [], []
+    stream, owner = [], []
     for p, blocks_ in enumerate(pages):
         for b in blocks_:
-            spots.append((len(stream), len(b)))
             stream += [ids.setdefault(t, len(ids) + 1) for t in b]
             owner += [p] * len(b)
         stream.append(-1 - p)  # a separator of its own, so that no string crosses pages
         owner.append(p)
-    x, owner_, covered = np.array(stream, np.int64), np.array(owner), np.zeros(len(stream), bool)
+    return np.array(stream, np.int64), np.array(owner, np.int64)
+
+
+def _repeated_starts(x: np.ndarray, owner: np.ndarray, run: int) -> np.ndarray:
+    """Whether a string of ``run`` tokens that stands on two pages starts at each place."""
+    starts = np.zeros(len(x), bool)
     if len(x) > run:
         order = suffix_array(x, run)
-        fits = order + run <= len(x)
-        order = order[fits]
+        order = order[order + run <= len(x)]
         alike = np.ones(max(0, len(order) - 1), bool)
         for i in range(run):
             alike &= x[order[1:] + i] == x[order[:-1] + i]
         group = np.concatenate(([0], np.cumsum(~alike)))
-        own = owner_[order]
-        least = np.full(group[-1] + 1, len(pages))
+        own = owner[order]
+        least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
         most = np.full(group[-1] + 1, -1)
         np.minimum.at(least, group, own)
         np.maximum.at(most, group, own)
-        hit = order[(least < most)[group]]
-        for i in range(run):
-            covered[hit + i] = True
-    out, k = [], 0
+        starts[order[(least < most)[group]]] = True
+    return starts
+
+
+def repeated_tokens(pages: list[list[list[str]]], run: int = RUN) -> list[list[tuple[np.ndarray, bool]]]:
+    """For each page and block, which tokens are covered by a string of ``run`` tokens that stands on another page too, and whether
+    such strings inside the block cover all of it.
+    """
+    x, owner = _stream(pages)
+    starts = _repeated_starts(x, owner, run)
+    covered, hit = np.zeros(len(x), bool), np.flatnonzero(starts)
+    for i in range(run):
+        covered[hit + i] = True
+    out, at = [], 0
     for blocks_ in pages:
         out.append([])
-        for _ in blocks_:
-            a, n = spots[k]
-            out[-1].append(covered[a : a + n])
-            k += 1
+        for b in blocks_:
+            own, inner = np.flatnonzero(starts[at : at + max(0, len(b) - run + 1)]), np.zeros(len(b), bool)
+            for i in range(run):
+                inner[own + i] = True
+            out[-1].append((covered[at : at + len(b)], bool(inner.all())))
+            at += len(b)
+        at += 1
     return out
 
 
 _OUT = "page_id long, url string, text string, n_chars long"
 
 
-def _judge_shard(table: pd.DataFrame) -> pd.DataFrame:
-    """Texts of one shard's undecided pages."""
-    urls = table["url"].fillna("").tolist()
-    blocks_ = [list(b) for b in table["blocks"]]
+def _pack(blocks_: list[tuple[str, int]]) -> bytes:
+    return zlib.compress("\n".join(f"{kind}{t}" for t, kind in blocks_).encode("utf-8", "surrogatepass"), 6)
+
+
+def _unpack(raw: bytes) -> list[tuple[str, int]]:
+    text = zlib.decompress(raw).decode("utf-8", "surrogatepass")
+    return [(b[1:], int(b[0])) for b in text.split("\n")] if text else []
+
+
+def _firsts(table: pd.DataFrame) -> tuple[list[list[tuple[str, int]]], dict[str, int]]:
+    """Blocks of each row, and the first row of each URL."""
     seen: dict[str, int] = {}
-    for i, u in enumerate(urls):
-        seen.setdefault(u, i)
-    firsts = sorted(seen.values())
-    marks = dict(zip(firsts, repeated_tokens([[b.split() for b in blocks_[i]] for i in firsts]), strict=True))
+    for i in np.lexsort((table["blocks"], table["page_id"].fillna(-1))).tolist():
+        seen.setdefault(table["url"].iloc[i], i)
+    return [_unpack(b) for b in table["blocks"]], seen
+
+
+def _words(blocks_: list[tuple[str, int]]) -> list[list[str]]:
+    return [b.split(" ") for b, _ in blocks_]
+
+
+def _left(blocks_: list[tuple[str, int]], marks: list[tuple[np.ndarray, bool]]) -> str:
+    """The page's text without boilerplate."""
+    inside = [f for (f, _), (_, kind) in zip(marks, blocks_, strict=True) if kind == INSIDE]
+    copied = bool(inside) and np.concatenate(inside).mean() >= COPIED
+    return "\n".join(t for (t, kind), (f, whole) in zip(blocks_, marks, strict=True) if (copied or not whole if kind == INSIDE else f.mean() < COVERED))
+
+
+def _judge_shard(table: pd.DataFrame) -> pd.DataFrame:
+    """Texts of one shard's pages."""
+    blocks_, seen = _firsts(table)
+    firsts = list(seen.values())
+    marks = dict(zip(firsts, repeated_tokens([_words(blocks_[i]) for i in firsts]), strict=True))
     texts = []
-    for i, u in enumerate(urls):
-        flags = marks.get(i) or repeated_like(blocks_[i], blocks_[seen[u]], marks[seen[u]])
-        texts.append("\n".join(b for b, f in zip(blocks_[i], flags, strict=True) if not len(f) or f.mean() < COVERED))
+    for i, u in enumerate(table["url"]):
+        texts.append(_left(blocks_[i], marks[i] if i in marks else repeated_like(blocks_[i], blocks_[seen[u]], marks[seen[u]])))
     return pd.DataFrame({"page_id": table["page_id"].astype("Int64"), "url": table["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
-def repeated_like(blocks_: list[str], of: list[str], marks: list[np.ndarray]) -> list[np.ndarray]:
+def repeated_like(blocks_: list[tuple[str, int]], of: list[tuple[str, int]], marks: list[tuple[np.ndarray, bool]]) -> list[tuple[np.ndarray, bool]]:
     """Marks of a page that shares its URL with a marked one: equal blocks are judged alike, others stay."""
     known = dict(zip(of, marks, strict=True))
-    return [known.get(b, np.zeros(1, bool)) for b in blocks_]
+    return [known.get(b, (np.zeros(1, bool), False)) for b in blocks_]
 
 
-def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_pages: int = SHARD_PAGES) -> DataFrame:
     """page_id, url, text and n_chars (code points of the text) for each row."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    named = F.coalesce(F.col("url") != "", F.lit(False))
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, blocks_ = [], []
-            for page in b.column(2).to_pylist():
-                got = page_blocks(page or "")
-                open_ = any(kind == UNDECIDED for _, kind in got)
-                text.append(None if open_ else "\n".join(t for t, _ in got))
-                blocks_.append([t for t, _ in got] if open_ else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(blocks_, pa.list_(pa.string()))], names=["page_id", "url", "text", "blocks"])
-
-    parsed = cut(rows.mapInArrow(apply, "page_id long, url string, text string, blocks array<string>"), "pages")
-    sure = parsed.where(F.col("blocks").isNull()).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    rest = parsed.where(F.col("blocks").isNotNull()).select("page_id", "url", "blocks", host_of(F.col("url")).alias("host"))
-    hosts = rest.groupBy("host").agg(F.ceil(F.count("*") / F.lit(SHARD_PAGES)).alias("shards"))
-    dealt = rest.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(0))), F.col("shards")))
+            text = ["\n".join(t for t, _ in page_blocks(page or "")) for page in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [_pack(page_blocks(page or "")) for page in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["page_id", "url", "blocks"])
+
+    # Hosts of several shards are fewer than the pages by the factor ``shard_pages``.
+    hosts = rows.where(named).groupBy(host_of(F.col("url")).alias("host")).agg(F.ceil(F.count("*") / F.lit(shard_pages)).alias("shards"))
+    large = cut(hosts.where(F.col("shards") > 1), "hosts")
+    parsed = rows.where(named).mapInArrow(parse, "page_id long, url string, blocks binary").withColumn("host", host_of(F.col("url")))
+    dealt = parsed.join(F.broadcast(large), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("url"), F.col("shards")))
     judged = dealt.groupBy("host", "shard").applyInPandas(lambda t: _judge_shard(t), _OUT)
-    out = sure.union(judged)
+    out = rows.where(~named).mapInArrow(texts, _OUT).union(judged)
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
