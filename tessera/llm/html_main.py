@@ -9,7 +9,9 @@ outside an article (``article``, ``main`` or their roles), all of a block inside
 page is taken for a copy of another and its articles stay whole.
 
 A host's pages are dealt at random into shards of about ``SHARD_PAGES`` pages, each with a suffix array of its own, so that no task gets a host of
-unbounded size.
+unbounded size. The distinct windows of ``RUN`` tokens of each shard are first counted across the host's shards by hash, in
+as many buckets as the host has shards, so that a string on two pages of a host is found whatever the host's size. Two windows of a bucket are taken for equal if 40 bits
+of their hashes are: a chance of about 1e-7 a window.
 
 Character references are decoded, white space inside a block becomes one space, blocks join by one line feed in page order.
 Null and empty pages give an empty text. A tag or comment that the page's end cuts off is dropped. Repeated rows are extracted alike;
@@ -30,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.store import cut
+from tessera.llm.textbytes import U64, Block, mix, string_parts
 from tessera.llm.url_filter import host_of
 
 RUN, COVERED, COPIED, SHARD_PAGES = 6, 0.9, 0.5, 256
+_STEP = np.random.Generator(np.random.PCG64(11)).integers(1, 2**62, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 # Names of HTML elements and of the classes that sites give to page furniture.
 BLOCK_TAGS = set(
@@ -180,8 +184,8 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
         k *= 2
 
 
-def _stream(pages: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of all pages, one after another, and the page of each."""
+def _stream(pages: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Token numbers of all pages, one after another, the page of each, and the tokens by number."""
     ids: dict[str, int] = {}
     stream, owner = [], []
     for p, blocks_ in enumerate(pages):
@@ -190,7 +194,7 @@ def _stream(pages: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
             owner += [p] * len(b)
         stream.append(-1 - p)  # a separator of its own, so that no string crosses pages
         owner.append(p)
-    return np.array(stream, np.int64), np.array(owner, np.int64)
+    return np.array(stream, np.int64), np.array(owner, np.int64), list(ids)
 
 
 def _repeated_starts(x: np.ndarray, owner: np.ndarray, run: int) -> np.ndarray:
@@ -212,12 +216,38 @@ def _repeated_starts(x: np.ndarray, owner: np.ndarray, run: int) -> np.ndarray:
     return starts
 
 
-def repeated_tokens(pages: list[list[list[str]]], run: int = RUN) -> list[list[tuple[np.ndarray, bool]]]:
+def _window_keys(x: np.ndarray, tokens: list[str], shards: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of ``run`` tokens, a bucket below ``shards`` and 40 bits of its hash as one key; and whether it crosses no page's end."""
+    n = len(x) - run + 1
+    if n <= 0 or not tokens:
+        return np.empty(0, U64), np.empty(0, bool)
+    data, offs = string_parts(pa.array(tokens, pa.large_string()))
+    code = np.concatenate((np.zeros(1, U64), Block(data, offs, 0).hashes(offs[:-1], offs[1:])))[np.maximum(x, 0)]
+    h, whole = np.zeros(n, U64), np.ones(n, bool)
+    for i in range(run):
+        h += code[i : i + n] * _STEP[i]
+        whole &= x[i : i + n] > 0
+    h = mix(h)
+    return ((h & U64(0xFFFFFF)) % U64(shards)) << U64(40) | h >> U64(24), whole
+
+
+def windows(pages: list[list[list[str]]], shards: int, run: int = RUN) -> np.ndarray:
+    """Sorted keys of the pages' windows, each once."""
+    x, _, tokens = _stream(pages)
+    keys, whole = _window_keys(x, tokens, shards, run)
+    return np.unique(keys[whole])
+
+
+def repeated_tokens(pages: list[list[list[str]]], run: int = RUN, elsewhere: np.ndarray | None = None, shards: int = 1) -> list[list[tuple[np.ndarray, bool]]]:
     """For each page and block, which tokens are covered by a string of ``run`` tokens that stands on another page too, and whether
     such strings inside the block cover all of it.
-    """
-    x, owner = _stream(pages)
+
+    ``elsewhere``: keys of windows that stand on pages of other shards."""
+    x, owner, tokens = _stream(pages)
     starts = _repeated_starts(x, owner, run)
+    if elsewhere is not None and len(elsewhere):
+        keys, whole = _window_keys(x, tokens, shards, run)
+        starts[: len(keys)] |= whole & np.isin(keys, elsewhere)
     covered, hit = np.zeros(len(x), bool), np.flatnonzero(starts)
     for i in range(run):
         covered[hit + i] = True
@@ -246,6 +276,15 @@ def _unpack(raw: bytes) -> list[tuple[str, int]]:
     return [(b[1:], int(b[0])) for b in text.split("\n")] if text else []
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of equal weight."""
+    return zlib.compress(np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T.copy().view(U64).ravel(), dtype=U64)
+
+
 def _firsts(table: pd.DataFrame) -> tuple[list[list[tuple[str, int]]], dict[str, int]]:
     """Blocks of each row, and the first row of each URL."""
     seen: dict[str, int] = {}
@@ -258,6 +297,27 @@ def _words(blocks_: list[tuple[str, int]]) -> list[list[str]]:
     return [b.split(" ") for b, _ in blocks_]
 
 
+def _windows_of_shard(table: pd.DataFrame) -> pd.DataFrame:
+    """Windows of one shard, in buckets."""
+    blocks_, seen = _firsts(table)
+    shards = int(table["shards"].iloc[0])
+    keys = windows([_words(blocks_[i]) for i in seen.values()], shards)
+    bucket = (keys >> U64(40)).astype(np.int64)
+    edges = np.searchsorted(bucket, np.arange(shards + 1))
+    some = [k for k in range(shards) if edges[k] < edges[k + 1]]
+    return pd.DataFrame({"host": table["host"].iloc[0], "shard": table["shard"].iloc[0], "bucket": pd.Series(some, dtype="int64"), "keys": [_pack_keys(keys[edges[k] : edges[k + 1]]) for k in some]})
+
+
+def _shared_keys(table: pd.DataFrame) -> pd.DataFrame:
+    """For each shard, those of its windows in a bucket that another shard holds too."""
+    parts = [_unpack_keys(b) for b in table["keys"]]
+    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+    shared = keys[counts > 1]
+    hits = [p[np.isin(p, shared)] for p in parts]
+    some = [i for i, h in enumerate(hits) if len(h)]
+    return pd.DataFrame({"host": table["host"].iloc[some], "shard": table["shard"].iloc[some], "keys": [_pack_keys(hits[i]) for i in some]})
+
+
 def _left(blocks_: list[tuple[str, int]], marks: list[tuple[np.ndarray, bool]]) -> str:
     """The page's text without boilerplate."""
     inside = [f for (f, _), (_, kind) in zip(marks, blocks_, strict=True) if kind == INSIDE]
@@ -265,11 +325,14 @@ def _left(blocks_: list[tuple[str, int]], marks: list[tuple[np.ndarray, bool]])
     return "\n".join(t for (t, kind), (f, whole) in zip(blocks_, marks, strict=True) if (copied or not whole if kind == INSIDE else f.mean() < COVERED))
 
 
-def _judge_shard(table: pd.DataFrame) -> pd.DataFrame:
+def _judge_shard(table: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
     """Texts of one shard's pages."""
+    if not len(table):
+        return pd.DataFrame({"page_id": pd.Series(dtype="Int64"), "url": [], "text": [], "n_chars": pd.Series(dtype="int64")})
     blocks_, seen = _firsts(table)
+    elsewhere = np.concatenate([np.empty(0, U64), *map(_unpack_keys, shared["keys"])])
     firsts = list(seen.values())
-    marks = dict(zip(firsts, repeated_tokens([_words(blocks_[i]) for i in firsts]), strict=True))
+    marks = dict(zip(firsts, repeated_tokens([_words(blocks_[i]) for i in firsts], elsewhere=elsewhere, shards=int(table["shards"].iloc[0])), strict=True))
     texts = []
     for i, u in enumerate(table["url"]):
         texts.append(_left(blocks_[i], marks[i] if i in marks else repeated_like(blocks_[i], blocks_[seen[u]], marks[seen[u]])))
@@ -303,6 +366,10 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     parsed = rows.where(named).mapInArrow(parse, "page_id long, url string, blocks binary").withColumn("host", host_of(F.col("url")))
     dealt = parsed.join(F.broadcast(large), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("url"), F.col("shards")))
-    judged = dealt.groupBy("host", "shard").applyInPandas(lambda t: _judge_shard(t), _OUT)
+    dealt = cut(dealt, "pages")
+    held = dealt.where(F.col("shards") > 1).groupBy("host", "shard").applyInPandas(lambda t: _windows_of_shard(t), "host string, shard long, bucket long, keys binary")
+    shared = cut(held.groupBy("host", "bucket").applyInPandas(lambda t: _shared_keys(t), "host string, shard long, keys binary"), "shared")
+    rows.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the first pass
+    judged = dealt.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard")).applyInPandas(lambda t, s: _judge_shard(t, s), _OUT)
     out = rows.where(~named).mapInArrow(texts, _OUT).union(judged)
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

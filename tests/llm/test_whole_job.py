@@ -23,3 +23,14 @@ def test_html_structure_is_only_a_prior(spark):
     d = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     got = {x["page_id"]: x["text"] for x in html_main.extract_main(d).collect()}
     assert got == {0: f"{lead[0]}\n{body[0]}", 1: f"{lead[1]}\n{body[1]}", 2: body[2], 3: body[3], 4: body[3]}
+
+
+def test_html_repeats_across_shards(spark):
+    """A notice on two pages of a host goes, whatever the number of shards."""
+    r = random.Random(2)
+    notes = [_say(r, 12) for _ in range(20)]
+    rows = [(i, f"http://h/{i}", f"<div>{_say(r, 20)}</div><div>{notes[i % 20]}</div>") for i in range(40)] + [(99, None, f"<div>{notes[0]}</div>")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: h[5:].split("</div>")[0] for i, _, h in rows}
+    for size in (2, 256):
+        assert {x["page_id"]: x["text"] for x in html_main.extract_main(d, shard_pages=size).collect()} == want
