@@ -3,7 +3,9 @@
 Texts become tokens (runs of letters, runs of digits; ASCII and Latin-1 capitals lower-cased). Numbers and number words turn into one
 placeholder, units behind a number and names into others; neighbours of a kind count once. Windows of
 ``WINDOW`` canonical tokens of the benchmark items form a hash index, which all documents probe; an item shorter than
-a window is one window of its own length, and items of fewer than ``SHORTEST`` tokens cannot be told from chance and are not searched.
+a window is one window of its own length. Windows of fewer than ``SHORTEST`` canonical tokens or with more slots than literals
+cannot be told from chance and are not searched. An item left with no window (arithmetic, lists of names) is searched by its raw tokens instead, numbers and
+names unmerged: a document that holds all of them in a row leaks it (``exact``). Only items of fewer than ``SHORTEST`` raw tokens are not searched.
 
 A document leaks an item if aligned windows cover at least ``COVER`` of the item's windows and the slots are consistent:
 each value of the item (a number, a name) stands for one value of the document throughout. Equal values make the leak
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textbytes import U64, Block, blocks, mix
+from tessera.llm.textbytes import U64, Block, blocks, mix, powers
 
 WINDOW, SHORTEST, COVER, PART_ITEMS = 8, 5, 0.5, 20_000
 
@@ -70,12 +72,12 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def canonical(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: canonical code, its text's number, whether it is a slot, and the hash of its value."""
+def canonical(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each canonical token: code, its text's number, whether it is a slot, and the hash of its value; for each raw token: hash and its text's number."""
     data = block.data
     none = np.empty(0, U64)
     if not len(data):
-        return none, np.empty(0, np.int64), np.empty(0, bool), none
+        return none, np.empty(0, np.int64), np.empty(0, bool), none, none, np.empty(0, np.int64)
     low = data.copy()
     upper = (data >= 65) & (data <= 90)
     wide = np.zeros(len(data), bool)
@@ -93,7 +95,7 @@ def canonical(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     stop[-1] = kind[-1] > 0
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     if not len(starts):
-        return none, np.empty(0, np.int64), np.empty(0, bool), none
+        return none, np.empty(0, np.int64), np.empty(0, bool), none, none, np.empty(0, np.int64)
     owner = np.searchsorted(block.offsets, starts, "right") - 1
     value = Block(low, block.offsets, 0).hashes(starts, ends)
     same = np.zeros(len(starts), bool)  # as the token before: the same text
@@ -118,7 +120,7 @@ def canonical(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     group = np.cumsum(keep) - 1
     first = np.flatnonzero(keep)
     merged = np.add.reduceat(mix(value + (np.arange(len(value)) - first[group]).astype(U64)), first)
-    return code[keep], owner[keep], slot[keep], merged
+    return code[keep], owner[keep], slot[keep], merged, value, owner
 
 
 def window_hashes(code: np.ndarray, w: int) -> np.ndarray:
@@ -131,19 +133,30 @@ def window_hashes(code: np.ndarray, w: int) -> np.ndarray:
     return mix(x + U64(w))
 
 
+def whole_hash(value: np.ndarray) -> int:
+    """Hash of a run of raw tokens."""
+    return int(mix((value * powers(len(value))[0][: len(value)]).sum(keepdims=True, dtype=U64) + U64(len(value)))[0])
+
+
 class Index:
     """Windows of some benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, cover: float = COVER):
         self.cover, self.items, places = cover, [], defaultdict(list)
+        #: Items by raw tokens: hash of the first SHORTEST ones, number of tokens, hash of all.
+        self.raw: dict[int, dict[int, dict[int, list]]] = {}
         for item_id, text in items:
-            code, _, slot, value = canonical(Block(*_bytes(text), 0))
-            if len(code) < SHORTEST:
+            code, _, slot, value, raw, _ = canonical(Block(*_bytes(text), 0))
+            if len(raw) < SHORTEST:
                 continue
-            w = min(window, len(code))
-            literal = np.convolve(~slot, np.ones(w, int), "valid")
-            use = np.flatnonzero(2 * literal >= w)
+            use = np.empty(0, np.int64)
+            if len(code) >= SHORTEST:
+                w = min(window, len(code))
+                literal = np.convolve(~slot, np.ones(w, int), "valid")
+                use = np.flatnonzero(2 * literal >= w)
             if not len(use):
+                head = int(window_hashes(raw[:SHORTEST], SHORTEST)[0])
+                self.raw.setdefault(head, {}).setdefault(len(raw), {}).setdefault(whole_hash(raw), []).append(item_id)
                 continue
             me = len(self.items)
             self.items.append((item_id, w, len(use), slot, value))
@@ -152,10 +165,11 @@ class Index:
                 places[(w, int(h[off]))].append((me, int(off)))
         self.places = dict(places)
         self.sorted = {w: np.sort(np.array([h for v, h in self.places if v == w], U64)) for w in {v for v, _ in self.places}}
+        self.heads = np.sort(np.array(list(self.raw), U64))
 
     def leaks(self, block: Block) -> Iterator[tuple[int, int, float, str]]:
         """(text, item id, cover, kind) of each leak in the block."""
-        code, owner, slot, value = canonical(block)
+        code, owner, slot, value, raw, raw_owner = canonical(block)
         hits: dict[tuple[int, int], list] = defaultdict(list)
         for w, known in self.sorted.items():
             x = window_hashes(code, w)
@@ -186,6 +200,21 @@ class Index:
             share = len(covered) / total
             if share >= self.cover:
                 yield text, item_id, share, "exact" if all(a == b for a, b in bound.items()) else "re-parameterised"
+        yield from self.raw_leaks(raw, raw_owner)
+
+    def raw_leaks(self, raw: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, float, str]]:
+        """Leaks of the items that are searched by their raw tokens."""
+        if not len(self.heads) or len(raw) < SHORTEST:
+            return
+        x = window_hashes(raw, SHORTEST)
+        found: dict[tuple[int, int, int], list] = {}
+        for p in np.flatnonzero(_among(x, self.heads)).tolist():
+            for n, known in self.raw[int(x[p])].items():
+                if p + n <= len(raw) and owner[p] == owner[p + n - 1] and (h := whole_hash(raw[p : p + n])) in known:
+                    found[int(owner[p]), n, h] = known[h]  # copies in one text count once
+        for (text, *_), items in sorted(found.items()):
+            for item_id in items:
+                yield text, item_id, 1.0, "exact"
 
 
 def _bytes(text: str | None) -> tuple[np.ndarray, np.ndarray]:

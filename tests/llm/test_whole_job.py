@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.llm import html_main
+from tessera.llm import html_main, templates
 
 
 def _say(r, n):
@@ -34,3 +34,14 @@ def test_html_repeats_across_shards(spark):
     want = {i: h[5:].split("</div>")[0] for i, _, h in rows}
     for size in (2, 256):
         assert {x["page_id"]: x["text"] for x in html_main.extract_main(d, shard_pages=size).collect()} == want
+
+
+def test_decontamination_of_items_made_of_slots(spark):
+    items = [(1, "What is 12 + 7 * 3 - 4 / 2 + 9?"), (2, "Alice Bob Carol Dave Emma Frank Grace Henry"), (3, "1 2 3 4 5 6 7 8 9 10"), (4, "7 8"), (5, "What is 12 + 7 * 3 - 4 / 2 + 9?")]
+    texts = ["we ask: what is 12 + 7 * 3 - 4 / 2 + 9? no more", "what is 12 + 7 * 3 - 4 / 2 + 8?", "Alice Bob Carol Dave Emma Frank Grace", f"guests: {items[1][1]}.", f"{items[2][1]} {items[2][1]}", "7 8", None, "1 2 3 4 5"]
+    texts += ["6 7 8 9 10 and the rest"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(x) for x in templates.find_leaks(d, bench).collect())
+    assert got == [(0, 1, 1.0, "exact"), (0, 5, 1.0, "exact"), (3, 2, 1.0, "exact"), (4, 3, 1.0, "exact")]
+    assert sorted(x["doc_id"] for x in templates.drop_leaks(d, bench).collect()) == [1, 2, 5, 6, 7, 8]
