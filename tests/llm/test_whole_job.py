@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.llm import html_main, templates
+from tessera.llm import html_main, lsh_forest, templates
 
 
 def _say(r, n):
@@ -45,3 +45,32 @@ def test_decontamination_of_items_made_of_slots(spark):
     got = sorted(tuple(x) for x in templates.find_leaks(d, bench).collect())
     assert got == [(0, 1, 1.0, "exact"), (0, 5, 1.0, "exact"), (3, 2, 1.0, "exact"), (4, 3, 1.0, "exact")]
     assert sorted(x["doc_id"] for x in templates.drop_leaks(d, bench).collect()) == [1, 2, 5, 6, 7, 8]
+
+
+def _crowd(spark, monkeypatch):
+    """Two near texts that share no region but a crowded one, in which they are no pivots; and 140 near copies elsewhere."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.textbytes import blocks
+
+    r = random.Random(4)
+    near = _say(r, 100)
+    copies = _say(r, 100)
+    texts = [_say(r, 100) for _ in range(18)] + [near, near + " " + _say(r, 2)] + [copies + " " + _say(r, 1) for _ in range(140)]
+    cls = [lsh_forest.digest(s) for b in blocks(pa.array(texts)) for s in lsh_forest.shingle_sets(b, 4)]
+    # The pivot is the least class: put the two near texts behind some other one.
+    assert min(cls[:20]) not in cls[18:20]
+    place = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t)").collect()]
+    rows = [(i, place[i], bytearray(cls[i]), 97, [1 if i < 20 else 2], [(i + 1) << 48 if i < 20 else 0]) for i in range(160)]
+    rows = [(*x[:5], [int(np.uint64(x[5][0]).view(np.int64))]) for x in rows]
+    made = spark.createDataFrame(rows, lsh_forest._SKETCH)
+    monkeypatch.setattr(lsh_forest, "sketch", lambda *a: made)
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_last_links_of_further_pivots_count(spark, monkeypatch):
+    docs = _crowd(spark, monkeypatch)
+    monkeypatch.setattr(lsh_forest, "PIVOTS", 64)
+    got = {x["doc_id"]: x["component_id"] for x in lsh_forest.near_duplicates(docs).collect()}
+    assert got == {i: i if i < 19 else 18 if i == 19 else 20 for i in range(160)}
