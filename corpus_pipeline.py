@@ -31,9 +31,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = lsh_forest.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
-    drop = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    out = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    judged = lsh_forest.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, with_place=True)
+    drop = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("d_"), F.col("place").alias("p_")).distinct()
+    # An id may stand in rows with other texts, which are judged by themselves.
+    out = docs.join(drop, (docs["doc_id"] == F.col("d_")) & (F.xxhash64(docs["text"]) == F.col("p_")), "left_anti").select(*docs.columns)
     if docs.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])
     return out

@@ -74,3 +74,13 @@ def test_last_links_of_further_pivots_count(spark, monkeypatch):
     monkeypatch.setattr(lsh_forest, "PIVOTS", 64)
     got = {x["doc_id"]: x["component_id"] for x in lsh_forest.near_duplicates(docs).collect()}
     assert got == {i: i if i < 19 else 18 if i == 19 else 20 for i in range(160)}
+
+
+def test_near_duplicates_of_reused_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    a, b = _say(r, 60), _say(r, 60)
+    docs = spark.createDataFrame([(5, a, "x"), (5, b, "x"), (3, b, "x"), (7, None, "x"), (None, a, "x")], "doc_id long, text string, source string")
+    got = {(x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == {(5, a), (3, b), (7, None), (None, a)}
