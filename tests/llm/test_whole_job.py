@@ -76,6 +76,13 @@ def test_last_links_of_further_pivots_count(spark, monkeypatch):
     assert got == {i: i if i < 19 else 18 if i == 19 else 20 for i in range(160)}
 
 
+def test_near_texts_of_a_crowd_that_no_pivot_sees(spark, monkeypatch):
+    docs = _crowd(spark, monkeypatch)
+    monkeypatch.setattr(lsh_forest, "PIVOTS", 1)
+    got = {x["doc_id"]: x["component_id"] for x in lsh_forest.near_duplicates(docs).collect()}
+    assert got == {i: i if i < 19 else 18 if i == 19 else 20 for i in range(160)}
+
+
 def test_near_duplicates_of_reused_ids(spark):
     import corpus_pipeline
 
