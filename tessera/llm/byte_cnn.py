@@ -40,30 +40,32 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with each text filled up to whole half-chunks (one at least), and the half-chunks of each text."""
+    """Half-chunks, each with the WIDTH - 1 bytes behind it (zeros behind a text's last one), and the number of half-chunks of each text."""
     sizes = np.diff(offsets)
     halves = np.maximum(1, -(-sizes // HALF))
     begin = np.concatenate(([0], np.cumsum(halves)[:-1])) * HALF
-    out = np.zeros(int(halves.sum()) * HALF + WIDTH - 1, np.uint8)
-    out[np.arange(len(data)) + np.repeat(begin - offsets[:-1], sizes)] = data
+    flat = np.zeros(int(halves.sum()) * HALF, np.uint8)
+    flat[np.arange(len(data)) + np.repeat(begin - offsets[:-1], sizes)] = data
+    out = np.zeros((int(halves.sum()), HALF + WIDTH - 1), np.uint8)
+    out[:, :HALF] = flat.reshape(-1, HALF)
+    out[:-1, HALF:] = out[1:, : WIDTH - 1]
+    out[np.cumsum(halves) - 1, HALF:] = 0
     return out, halves
 
 
 def pooled(x: np.ndarray, table: np.ndarray, places: bool = False):
     """Largest answer of each filter in each half-chunk (and where it is)."""
-    n = (len(x) - WIDTH + 1) // HALF
+    n = len(x)
     best = np.empty((n, table.shape[2]), np.float32)
     where = np.empty((n, table.shape[2]), np.int64) if places else None
     for i in range(0, n, STEP):
         j = min(n, i + STEP)
-        lo, hi = i * HALF, j * HALF
-        acc = table[0].take(x[lo:hi], axis=0)
+        acc = table[0].take(x[i:j, :HALF], axis=0)
         for k in range(1, WIDTH):
-            acc += table[k].take(x[lo + k : hi + k], axis=0)
-        acc = acc.reshape(j - i, HALF, -1)
+            acc += table[k].take(x[i:j, k : k + HALF], axis=0)
         if places:
             at = acc.argmax(axis=1)
-            where[i:j] = at + (np.arange(i, j) * HALF)[:, None]
+            where[i:j] = at + (np.arange(i, j) * x.shape[1])[:, None]
             best[i:j] = np.take_along_axis(acc, at[:, None, :], 1)[:, 0]
         else:
             acc.max(axis=1, out=best[i:j])
@@ -117,9 +119,9 @@ class Network:
         side = np.where(right[rows], where[nxt[rows]], where[rows])
         gt = np.zeros_like(p["table"])
         col = np.broadcast_to(np.arange(FILTERS), side.shape).ravel()
-        flat = side.ravel()
+        flat, seen = side.ravel(), x.ravel()
         for k in range(WIDTH):
-            gt[k] = np.bincount(x[flat + k].astype(np.int64) * FILTERS + col, dh.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+            gt[k] = np.bincount(seen[flat + k].astype(np.int64) * FILTERS + col, dh.ravel(), 256 * FILTERS).reshape(256, FILTERS)
         g["table"] = gt
         return float(-(weight * (y * np.log(q + 1e-9) + (1 - y) * np.log(1 - q + 1e-9))).sum()), g
 

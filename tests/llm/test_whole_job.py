@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.llm import html_main, lsh_forest, templates
+from tessera.llm import byte_cnn, html_main, lsh_forest, templates
 
 
 def _say(r, n):
@@ -91,3 +91,16 @@ def test_near_duplicates_of_reused_ids(spark):
     docs = spark.createDataFrame([(5, a, "x"), (5, b, "x"), (3, b, "x"), (7, None, "x"), (None, a, "x")], "doc_id long, text string, source string")
     got = {(x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert got == {(5, a), (3, b), (7, None), (None, a)}
+
+
+def test_scores_do_not_depend_on_the_next_text():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.textbytes import string_parts
+
+    net = byte_cnn.Network()
+    texts = ["a" * byte_cnn.HALF, "b" * (2 * byte_cnn.HALF - 1), "c", "", "d" * 700]
+    score = lambda x: net.predict(*string_parts(pa.array(x)))
+    alone = np.concatenate([score([t]) for t in texts])
+    assert np.allclose(score(texts), alone, atol=1e-6, rtol=0) and np.allclose(score(texts[::-1])[::-1], alone, atol=1e-6, rtol=0)
