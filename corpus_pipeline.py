@@ -31,13 +31,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = lsh_forest.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, with_place=True)
-    drop = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("d_"), F.col("place").alias("p_")).distinct()
+    judged = cut(lsh_forest.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, with_place=True).select("doc_id", "place", "kept"), "judged")
     # An id may stand in rows with other texts, which are judged by themselves.
-    out = docs.join(drop, (docs["doc_id"] == F.col("d_")) & (F.xxhash64(docs["text"]) == F.col("p_")), "left_anti").select(*docs.columns)
-    if docs.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    key = lambda t: docs["doc_id"].eqNullSafe(t["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(t["place"])
+    gone = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", "place").distinct()
+    again = judged.where("kept").groupBy("doc_id", "place").count().where("count > 1").select("doc_id", "place")
+    once = docs.join(again, key(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    other = gone.union(again)
+    return docs.join(other, key(other), "left_anti").union(once.select(*docs.columns))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
