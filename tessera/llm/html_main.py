@@ -10,8 +10,8 @@ page is taken for a copy of another and its articles stay whole.
 
 A host's pages are dealt at random into shards of about ``SHARD_PAGES`` pages, each with a suffix array of its own, so that no task gets a host of
 unbounded size. The distinct windows of ``RUN`` tokens of each shard are first counted across the host's shards by hash, in
-as many buckets as the host has shards, so that a string on two pages of a host is found whatever the host's size. Two windows of a bucket are taken for equal if 40 bits
-of their hashes are: a chance of about 1e-7 a window.
+as many buckets as the host has shards, so that a string on two pages of a host is found whatever the host's size. Two windows of a bucket are taken for equal if 32 bits
+of their hashes are: a chance of about 5e-5 a window, where a block goes only if nine tenths of it or all are covered. Pages move once, packed by shard.
 
 Character references are decoded, white space inside a block becomes one space, blocks join by one line feed in page order.
 Null and empty pages give an empty text. A tag or comment that the page's end cuts off is dropped. Repeated rows are extracted alike;
@@ -26,7 +26,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +34,9 @@ from tessera.llm.store import cut
 from tessera.llm.textbytes import U64, Block, mix, string_parts
 from tessera.llm.url_filter import host_of
 
-RUN, COVERED, COPIED, SHARD_PAGES = 6, 0.9, 0.5, 256
+RUN, COVERED, COPIED, SHARD_PAGES = 6, 0.9, 0.5, 512
+#: The list of hosts of several shards is broadcast up to this many; beyond it, pages meet it in a shuffle.
+BROADCAST_HOSTS = 200_000
 _STEP = np.random.Generator(np.random.PCG64(11)).integers(1, 2**62, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 # Names of HTML elements and of the classes that sites give to page furniture.
@@ -54,18 +55,29 @@ DROP_WORDS = set(
     "share sharing social related recommended widget toolbar pagination pager skip".split()
 )
 
+BOX_WORDS = set(
+    "area bar block body bottom box button buttons container content fixed footer form global header inner item items left link links list main outer page panel placeholder primary "
+    "right row secondary section site slot sticky top unit wrap wrapper zone".split()
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|</(?P<close>[a-zA-Z][\w:-]*)[^>]*(?:>|\Z)|<(?P<open>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</?\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _ENDS_P = BLOCK_TAGS - {"body", "html"}
 
 INSIDE, UNDECIDED = 1, 0
 
 
+def _is_furniture(name: str) -> bool:
+    """Whether a class or id is made of a furniture word and words that only say what kind of box it is: ``ad-slot``, but not ``related-work``."""
+    parts = [x for x in _SPLIT.split(name) if x and not x.isdigit()]
+    return any(x in DROP_WORDS for x in parts) and all(x in DROP_WORDS or x in BOX_WORDS for x in parts)
+
+
 def _role(tag: str, attrs: str, in_main: bool) -> int | None:
     """-1: page furniture, -2: furniture by a class word only, 1: main region, 0: neither."""
     worded = False
@@ -86,7 +98,7 @@ def _role(tag: str, attrs: str, in_main: bool) -> int | None:
             elif name == "itemprop" and value == "articlebody":
                 kind = 1
             elif name in ("class", "id") and tag not in ("html", "body") and kind != 1:
-                worded |= not DROP_WORDS.isdisjoint(_SPLIT.split(value))
+                worded |= any(_is_furniture(x) for x in value.split())
             elif name == "hidden" and not value:
                 return -1
     return -2 if worded and kind != 1 else kind
@@ -217,7 +229,7 @@ def _repeated_starts(x: np.ndarray, owner: np.ndarray, run: int) -> np.ndarray:
 
 
 def _window_keys(x: np.ndarray, tokens: list[str], shards: int, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window of ``run`` tokens, a bucket below ``shards`` and 40 bits of its hash as one key; and whether it crosses no page's end."""
+    """Of each window of ``run`` tokens, a bucket below ``shards`` and 32 bits of its hash as one key; and whether it crosses no page's end."""
     n = len(x) - run + 1
     if n <= 0 or not tokens:
         return np.empty(0, U64), np.empty(0, bool)
@@ -228,7 +240,7 @@ def _window_keys(x: np.ndarray, tokens: list[str], shards: int, run: int) -> tup
         h += code[i : i + n] * _STEP[i]
         whole &= x[i : i + n] > 0
     h = mix(h)
-    return ((h & U64(0xFFFFFF)) % U64(shards)) << U64(40) | h >> U64(24), whole
+    return ((h & U64(0xFFFFFFFF)) % U64(shards)) << U64(32) | h >> U64(32), whole
 
 
 def windows(pages: list[list[list[str]]], shards: int, run: int = RUN) -> np.ndarray:
@@ -265,57 +277,71 @@ def repeated_tokens(pages: list[list[list[str]]], run: int = RUN, elsewhere: np.
 
 
 _OUT = "page_id long, url string, text string, n_chars long"
+_PACK = "host string, shard long, shards long, ids array<bigint>, urls array<string>, counts array<int>, size long, body binary"
+_CODEC = pa.Codec("zstd", compression_level=9)
 
 
-def _pack(blocks_: list[tuple[str, int]]) -> bytes:
-    return zlib.compress("\n".join(f"{kind}{t}" for t, kind in blocks_).encode("utf-8", "surrogatepass"), 6)
+def _pack(pages: list[list[tuple[str, int]]]) -> tuple[int, bytes]:
+    """All blocks of some pages, compressed together; no block has a line feed."""
+    raw = "\n".join(f"{kind}{t}" for page in pages for t, kind in page).encode("utf-8", "surrogatepass")
+    return len(raw), _CODEC.compress(raw, asbytes=True)
 
 
-def _unpack(raw: bytes) -> list[tuple[str, int]]:
-    text = zlib.decompress(raw).decode("utf-8", "surrogatepass")
-    return [(b[1:], int(b[0])) for b in text.split("\n")] if text else []
+def _unpack(size: int, body: bytes, counts: list[int]) -> list[list[tuple[str, int]]]:
+    text = _CODEC.decompress(body, size, asbytes=True).decode("utf-8", "surrogatepass") if size else ""
+    flat = iter([(b[1:], int(b[0])) for b in text.split("\n")] if text else [])
+    return [[next(flat) for _ in range(n)] for n in counts]
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte of equal weight."""
-    return zlib.compress(np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Sorted 32-bit keys as differences, byte by byte of equal weight."""
+    return zlib.compress(np.diff(keys.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpack_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T.copy().view(U64).ravel(), dtype=U64)
-
-
-def _firsts(table: pd.DataFrame) -> tuple[list[list[tuple[str, int]]], dict[str, int]]:
-    """Blocks of each row, and the first row of each URL."""
-    seen: dict[str, int] = {}
-    for i in np.lexsort((table["blocks"], table["page_id"].fillna(-1))).tolist():
-        seen.setdefault(table["url"].iloc[i], i)
-    return [_unpack(b) for b in table["blocks"]], seen
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=U64)
 
 
 def _words(blocks_: list[tuple[str, int]]) -> list[list[str]]:
     return [b.split(" ") for b, _ in blocks_]
 
 
-def _windows_of_shard(table: pd.DataFrame) -> pd.DataFrame:
-    """Windows of one shard, in buckets."""
-    blocks_, seen = _firsts(table)
-    shards = int(table["shards"].iloc[0])
-    keys = windows([_words(blocks_[i]) for i in seen.values()], shards)
-    bucket = (keys >> U64(40)).astype(np.int64)
-    edges = np.searchsorted(bucket, np.arange(shards + 1))
-    some = [k for k in range(shards) if edges[k] < edges[k + 1]]
-    return pd.DataFrame({"host": table["host"].iloc[0], "shard": table["shard"].iloc[0], "bucket": pd.Series(some, dtype="int64"), "keys": [_pack_keys(keys[edges[k] : edges[k + 1]]) for k in some]})
-
-
-def _shared_keys(table: pd.DataFrame) -> pd.DataFrame:
+def pack_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each batch's pages, one row a shard."""
+    for b in batches:
+        by: dict[tuple, list[int]] = {}
+        for i, k in enumerate(zip(b.column("host").to_pylist(), b.column("shard").to_pylist(), b.column("shards").to_pylist(), strict=True)):
+            by.setdefault(k, []).append(i)
+        blocks_ = [page_blocks(page or "") for page in b.column("html").to_pylist()]
+        ids, urls = b.column("page_id").to_pylist(), b.column("url").to_pylist()
+        rows = [(*k, [ids[i] for i in at], [urls[i] for i in at], [len(blocks_[i]) for i in at], *_pack([blocks_[i] for i in at])) for k, at in by.items()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, types, strict=True)], names="host shard shards ids urls counts size body".split())
+
+
+def shard_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct windows of each pack, a row a bucket."""
+    for b in batches:
+        for r in b.to_pylist():
+            keys = windows([_words(p) for p in _unpack(r["size"], r["body"], r["counts"])], r["shards"])
+            bucket = (keys >> U64(32)).astype(np.int64)
+            edges = np.searchsorted(bucket, np.arange(r["shards"] + 1))
+            some = np.flatnonzero(np.diff(edges))
+            packed = [_pack_keys(keys[edges[k] : edges[k + 1]] & U64(0xFFFFFFFF)) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array([r["host"]] * len(some), pa.string()), pa.array([r["shard"]] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(packed, pa.binary())], names=["host", "shard", "bucket", "keys"])
+
+
+def shared_keys(table: pa.Table) -> pa.Table:
     """For each shard, those of its windows in a bucket that another shard holds too."""
-    parts = [_unpack_keys(b) for b in table["keys"]]
-    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-    shared = keys[counts > 1]
-    hits = [p[np.isin(p, shared)] for p in parts]
-    some = [i for i, h in enumerate(hits) if len(h)]
-    return pd.DataFrame({"host": table["host"].iloc[some], "shard": table["shard"].iloc[some], "keys": [_pack_keys(hits[i]) for i in some]})
+    shard = table.column("shard").to_numpy()
+    parts = [_unpack_keys(k) for k in table.column("keys").to_pylist()]
+    of, at = np.unique(shard, return_inverse=True)
+    own = [np.unique(np.concatenate([p for p, x in zip(parts, at, strict=True) if x == k])) for k in range(len(of))]
+    keys, counts = np.unique(np.concatenate(own), return_counts=True)
+    hits = [x[np.isin(x, keys[counts > 1])] for x in own]
+    some = [k for k, x in enumerate(hits) if len(x)]
+    host, bucket = table.column("host")[0].as_py(), table.column("bucket")[0].as_py()
+    return pa.table({"host": pa.array([host] * len(some), pa.string()), "shard": pa.array(of[some], pa.int64()), "bucket": pa.array([bucket] * len(some), pa.int64()), "keys": pa.array([_pack_keys(hits[k]) for k in some], pa.binary())})
 
 
 def _left(blocks_: list[tuple[str, int]], marks: list[tuple[np.ndarray, bool]]) -> str:
@@ -325,18 +351,19 @@ def _left(blocks_: list[tuple[str, int]], marks: list[tuple[np.ndarray, bool]])
     return "\n".join(t for (t, kind), (f, whole) in zip(blocks_, marks, strict=True) if (copied or not whole if kind == INSIDE else f.mean() < COVERED))
 
 
-def _judge_shard(table: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+def judge_shard(table: pa.Table, shared: pa.Table) -> pa.Table:
     """Texts of one shard's pages."""
-    if not len(table):
-        return pd.DataFrame({"page_id": pd.Series(dtype="Int64"), "url": [], "text": [], "n_chars": pd.Series(dtype="int64")})
-    blocks_, seen = _firsts(table)
-    elsewhere = np.concatenate([np.empty(0, U64), *map(_unpack_keys, shared["keys"])])
+    rows = [x for r in table.to_pylist() for x in zip(r["ids"], r["urls"], _unpack(r["size"], r["body"], r["counts"]), strict=True)]
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[2]))
+    seen: dict[str, int] = {}
+    for i, (_, url, _) in enumerate(rows):
+        seen.setdefault(url, i)
+    elsewhere = np.concatenate([np.empty(0, U64), *(_unpack_keys(k) | U64(b) << U64(32) for b, k in zip(shared.column("bucket").to_pylist(), shared.column("keys").to_pylist(), strict=True))])
     firsts = list(seen.values())
-    marks = dict(zip(firsts, repeated_tokens([_words(blocks_[i]) for i in firsts], elsewhere=elsewhere, shards=int(table["shards"].iloc[0])), strict=True))
-    texts = []
-    for i, u in enumerate(table["url"]):
-        texts.append(_left(blocks_[i], marks[i] if i in marks else repeated_like(blocks_[i], blocks_[seen[u]], marks[seen[u]])))
-    return pd.DataFrame({"page_id": table["page_id"].astype("Int64"), "url": table["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    shards = table.column("shards")[0].as_py() if table.num_rows else 1
+    marks = dict(zip(firsts, repeated_tokens([_words(rows[i][2]) for i in firsts], elsewhere=elsewhere, shards=shards), strict=True))
+    texts = [_left(blocks_, marks[i] if i in marks else repeated_like(blocks_, rows[seen[url]][2], marks[seen[url]])) for i, (_, url, blocks_) in enumerate(rows)]
+    return pa.table({"page_id": pa.array([x[0] for x in rows], pa.int64()), "url": pa.array([x[1] for x in rows], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
 def repeated_like(blocks_: list[tuple[str, int]], of: list[tuple[str, int]], marks: list[tuple[np.ndarray, bool]]) -> list[tuple[np.ndarray, bool]]:
@@ -355,21 +382,15 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             text = ["\n".join(t for t, _ in page_blocks(page or "")) for page in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = [_pack(page_blocks(page or "")) for page in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["page_id", "url", "blocks"])
-
-    # Hosts of several shards are fewer than the pages by the factor ``shard_pages``.
-    hosts = rows.where(named).groupBy(host_of(F.col("url")).alias("host")).agg(F.ceil(F.count("*") / F.lit(shard_pages)).alias("shards"))
+    # Hosts of several shards are fewer than the pages by the factor ``shard_pages``; their list is broadcast only while it is short.
+    hosts = rows.where(named).groupBy(host_of(F.col("url")).alias("host")).agg(F.ceil(F.count("*") / F.lit(shard_pages)).cast("long").alias("shards"))
     large = cut(hosts.where(F.col("shards") > 1), "hosts")
-    parsed = rows.where(named).mapInArrow(parse, "page_id long, url string, blocks binary").withColumn("host", host_of(F.col("url")))
-    dealt = parsed.join(F.broadcast(large), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("url"), F.col("shards")))
-    dealt = cut(dealt, "pages")
-    held = dealt.where(F.col("shards") > 1).groupBy("host", "shard").applyInPandas(lambda t: _windows_of_shard(t), "host string, shard long, bucket long, keys binary")
-    shared = cut(held.groupBy("host", "bucket").applyInPandas(lambda t: _shared_keys(t), "host string, shard long, keys binary"), "shared")
-    rows.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the first pass
-    judged = dealt.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard")).applyInPandas(lambda t, s: _judge_shard(t, s), _OUT)
+    side = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
+    dealt = rows.where(named).withColumn("host", host_of(F.col("url"))).join(side, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("url"), F.col("shards"))).select("host", "shard", "shards", "page_id", "url", "html")
+    packs = cut(dealt.mapInArrow(pack_pages, _PACK), "pages")
+    held = packs.where(F.col("shards") > 1).mapInArrow(shard_windows, "host string, shard long, bucket long, keys binary")
+    shared = cut(held.groupBy("host", "bucket").applyInArrow(lambda t: shared_keys(t), "host string, shard long, bucket long, keys binary"), "shared")
+    judged = packs.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard")).applyInArrow(lambda t, s: judge_shard(t, s), _OUT)
     out = rows.where(~named).mapInArrow(texts, _OUT).union(judged)
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -39,11 +39,6 @@ def _ref(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def _free(spark) -> None:
-    """Let Spark delete the shuffle files of plans that are over."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def shard_suffixes(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
     """Sampled suffixes: ref of the row, gram and whole-context hashes, place, and the first and last window start."""
     rows = docs.select(_ref(id_col, text_col).alias("ref"), F.col(text_col).alias("text"))
@@ -148,22 +143,18 @@ def windows(ctx: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(ref, spans): byte ranges whose windows occur elsewhere too, for each row's ref that has any."""
-    spark = docs.sparkSession
     all_ = cut(shard_suffixes(docs, length, id_col, text_col), "suffixes")
     shared = all_.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("gram")
     kept = cut(all_.join(shared, "gram"), "intervals")
     drop(all_)
-    _free(spark)
     one = F.min(F.struct("ref", "place", "far", "near")).alias("one")
     intervals = cut(kept.groupBy("whole").agg(F.count("*").alias("n"), F.min("gram").alias("gram"), one), "contexts")
     spans = kept.join(intervals.where(F.col("n") > 1).select("whole"), "whole").select("ref", (F.col("place") - F.col("far")).alias("a"), (F.col("place") - F.col("near") + length).alias("b"))
     spans = cut(spans, "spans")
     drop(kept)
-    _free(spark)
     open_ = intervals.groupBy("gram").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where((F.col("least") == 1) & (F.col("kinds") > 1)).select("gram")
     wanted = intervals.join(open_, "gram").groupBy("one.ref").agg(F.collect_list(F.struct("one.place", "gram", "one.far", "one.near")).alias("list"))
     ctx = cut(contexts(docs, wanted, length, id_col, text_col).dropDuplicates(["ref", "place"]), "bytes")
-    _free(spark)
 
     by_run = cut(runs(ctx, length), "runs")
     twice = lambda c: by_run.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(F.col(c))
@@ -191,9 +182,7 @@ def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
     spans = cut(repeated_spans(docs, length, id_col, text_col), "removed")
-    _free(docs.sparkSession)
-    marked = docs.withColumn("ref__", _ref(id_col, text_col))
-    return marked.join(spans.withColumnRenamed("ref", "ref__").withColumnRenamed("spans", "spans__"), "ref__", "left").drop("ref__")
+    return docs.join(spans, _ref(id_col, text_col) == spans["ref"], "left").select(*[docs[c] for c in docs.columns], spans["spans"])
 
 
 def _cut_out(b: pa.RecordBatch, text: int, spans: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -228,7 +217,7 @@ def dedup_digest(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
 def dedup_texts(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with repeated strings cut out of the text; halves of characters that a cut leaves go too. Other columns stay."""
     names, schema = docs.columns, docs.schema
-    rows = _with_spans(docs, length, id_col, text_col).select(*names, "spans__")
+    rows = _with_spans(docs, length, id_col, text_col)
     at = names.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,3 +126,48 @@ def test_scores_do_not_depend_on_the_next_text():
     score = lambda x: net.predict(*string_parts(pa.array(x)))
     alone = np.concatenate([score([t]) for t in texts])
     assert np.allclose(score(texts), alone, atol=1e-6, rtol=0) and np.allclose(score(texts[::-1])[::-1], alone, atol=1e-6, rtol=0)
+
+
+def test_html_against_brute_force_on_a_large_host(spark):
+    """All six-token windows of a host of several shards, compared page by page."""
+    r = random.Random(9)
+    run = html_main.RUN
+    notes = [_say(r, 8) for _ in range(150)]  # most stand on two pages or three
+    pages = []
+    for i in range(330):
+        body = [_say(r, r.randint(4, 15)) for _ in range(3)]
+        pages.append([body[0], notes[r.randrange(150)], body[1] + " " + notes[r.randrange(150)], body[2]])
+    pages[7] = list(pages[8])
+    seen = {}
+    for p, blocks_ in enumerate(pages):
+        w = " ".join(blocks_).split()
+        for k in range(len(w) - run + 1):
+            seen.setdefault(tuple(w[k : k + run]), set()).add(p)
+    want = {}
+    for p, blocks_ in enumerate(pages):
+        w = " ".join(blocks_).split()
+        hit = [False] * len(w)
+        for k in range(len(w) - run + 1):
+            if len(seen[tuple(w[k : k + run])]) > 1:
+                hit[k : k + run] = [True] * run
+        at, left = 0, []
+        for b in blocks_:
+            n = len(b.split())
+            if sum(hit[at : at + n]) < html_main.COVERED * n:
+                left.append(b)
+            at += n
+        want[p] = "\n".join(left)
+    rows = [(p, f"http://h.org/{p}", "".join(f"<div>{b}</div>" for b in blocks_)) for p, blocks_ in enumerate(pages)]
+    rows.append((7, "http://h.org/7", rows[7][2]))  # a page that is stored twice is one page
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for size in (64, 1000):
+        got = html_main.extract_main(d, shard_pages=size).collect()
+        assert len(got) == 331 and {x["page_id"]: x["text"] for x in got} == want
+
+
+def test_html_attributes_are_read_by_whole_names(spark):
+    page = '<article><p data-id="ad-12">kept one</p><p>see <a href="x?id=ad">kept link</a></p><div class="related-work">kept two</div><div class="ad-slot left">gone</div><div data-class=\'ad\' id=notice>gone</div><p title="a > class=ad">kept three</p><div class="comments">gone</div></article>'
+    long = "<p>" + "word " * 60_000 + "</p><div><div><<p>></b></i>tail"
+    d = spark.createDataFrame([(1, "http://a/1", page), (2, "http://a/2", long), (None, "http://a/3", "<p>no id</p>")], "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html_main.extract_main(d).collect()}
+    assert got[1] == "kept one\nsee kept link\nkept two\nkept three" and got[2].count("word") == 60_000 and got[2].endswith("tail") and got[None] == "no id"
