@@ -28,7 +28,7 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.source_mix import mix_sources
 
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate")
 
 
 def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.url_filter import RULES_SCHEMA, filter_urls
+    from tessera.llm.url_filter import filter_urls
 
-    return filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES_SCHEMA))
+    return filter_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(host, path, verdict)"))
 
 
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,19 @@ def test_source_mix(docs, rows, none):
     assert sorted(r["size"] for r in got) == sorted(size(t) for _, t, *_ in rows)
     for s in order:
         assert abs(taken[s] - target[s]) <= max([1, *(size(t) for _, t, _, x, *_ in rows if x == s)]) / 2
+    # The rates: the tilt by size whose tokens meet the target, found by bisection.
+    for s in order:
+        z = [size(t) for _, t, _, x, *_ in rows if x == s and size(t)]
+        unit = sum(z) / len(z)
+        rate = lambda lam, n: min(2.0, math.exp(min(50, lam * n / unit)))  # noqa: E731, B023
+        low, high = -500.0, 500.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * rate(mid, n) for n in z) < target[s] else (low, mid)
+        for r in got:
+            if r["source"] == s and r["size"]:
+                assert abs(r["rate"] - rate(high, r["size"])) < 1e-4
+                assert abs(r["copies"] - r["rate"]) <= 2
     again = source_mix.mix_sources(docs.repartition(5)).collect()
     same([(r["doc_id"], r["taken"]) for r in got], [(r["doc_id"], r["taken"]) for r in again])
     assert source_mix.mix_sources(none).count() == 0
