@@ -14,8 +14,9 @@ each value of the item (a number, a name) stands for one value of the document t
 The index is sent to the workers in parts of at most ``PART_ITEMS`` items, each part probed by one pass over the documents, so its size
 is bounded whatever the benchmark's. Documents are never shuffled.
 
-Null texts and empty items match nothing. Repeated documents are judged alike; repeated items are reported each. Empty
-tables give an empty result. Documents' other columns are not read by ``find_leaks`` and kept by ``drop_leaks``.
+Null texts and empty items match nothing. Repeated documents are judged alike; repeated items are reported each; null ids stay null. Of
+alignments of an item with as many windows, the earliest in the text is taken first. Very long texts are read whole, one block each. Empty
+tables give an empty result. Documents' other columns, whatever their names, are not read by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -32,19 +33,29 @@ from tessera.llm.textbytes import U64, Block, blocks, mix, powers
 
 WINDOW, SHORTEST, COVER, PART_ITEMS = 8, 5, 0.5, 20_000
 
-# Words that stand for a slot.
+# Words that stand for a slot, in English, German, French and Spanish. Words that are articles too are left out.
 NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
-    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen"
+    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen "
+    "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig "
+    "dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million milliarde halb dutzend "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille demi douzaine "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil medio docena"
 ).split()
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons "
     "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
-    "cent cents dollar dollars euro euros percent degree degrees volt volts watt watts meter meters metre metres kmh mph"
+    "cent cents dollar dollars euro euros percent degree degrees volt volts watt watts meter meters metre metres kmh mph "
+    "zoll fuß meile meilen gramm kilogramm kilo pfund tonne tonnen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad "
+    "pouce pouces pied pieds gramme grammes livre livres tonnes seconde secondes heure heures jour jours semaine semaines mois an ans année années degré degrés mètre mètres "
+    "pulgada pulgadas pie pies milla millas gramo gramos libra libras tonelada toneladas segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados metro metros litro litros"
 ).split()
 FIRST_NAMES = (
     "alice bob carol dave emma frank grace henry jack james jane janet jason jim joe john jose julia karen kate kevin laura linda lisa "
-    "maria mark mary michael mike nancy natalia olivia paul peter rachel robert sam sarah susan thomas tim tina tom william"
+    "maria mark mary michael mike nancy natalia olivia paul peter rachel robert sam sarah susan thomas tim tina tom william "
+    "anna anja claudia dieter fritz hans heike ingrid jürgen karl klaus lena monika otto sabine stefan ursula wolfgang "
+    "amélie camille chloé claire élise françois gérard hélène jacques jean léa louis luc marie mathieu nicolas pierre sophie "
+    "alejandro ana carlos carmen diego elena javier juan lucía luis manuel miguel pablo pedro rosa sofía teresa"
 ).split()
 
 _DIGIT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)

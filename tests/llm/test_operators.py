@@ -262,7 +262,7 @@ def test_decontamination(spark, docs, none):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (round(r["cover"], 3), r["kind"]) for r in templates.find_leaks(d, bench).collect()}
     assert got[(0, 1)] == (1.0, "exact") and got[(1, 1)] == (1.0, "re-parameterised") and got[(6, 4)][1] == "exact"
-    assert set(got) == {(0, 1), (1, 1), (6, 4)} or set(got) == {(0, 1), (1, 1), (2, 1), (6, 4)} and got[(2, 1)][0] < 1
+    assert set(got) == {(0, 1), (1, 1), (6, 4)}  # in text 2, Alice would be two persons
     assert sorted(r["doc_id"] for r in templates.drop_leaks(d, bench).collect()) == sorted(set(range(7)) - {a for a, _ in got})
     assert templates.find_leaks(none, bench).count() == 0 and templates.drop_leaks(docs, bench.limit(0)).count() == docs.count() and templates.drop_leaks(docs, bench).columns == docs.columns
 

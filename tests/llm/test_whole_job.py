@@ -171,3 +171,87 @@ def test_html_attributes_are_read_by_whole_names(spark):
     d = spark.createDataFrame([(1, "http://a/1", page), (2, "http://a/2", long), (None, "http://a/3", "<p>no id</p>")], "page_id long, url string, html string")
     got = {x["page_id"]: x["text"] for x in html_main.extract_main(d).collect()}
     assert got[1] == "kept one\nsee kept link\nkept two\nkept three" and got[2].count("word") == 60_000 and got[2].endswith("tail") and got[None] == "no id"
+
+
+def _leaks_by_brute_force(texts, items):
+    """The definition of a leak, with dictionaries and tuples over ASCII texts whose names are all in the list."""
+    import re
+
+    numbers, units, names = set(templates.NUMBER_WORDS), set(templates.UNITS), set(templates.FIRST_NAMES)
+
+    def canonical(text):
+        out, last = [], None
+        for m in re.finditer(r"[0-9]+|[A-Za-z]+", text):
+            w = m[0].lower()
+            after_number = last == "<number>"
+            kind = "<number>" if w[0].isdigit() or w in numbers else "<unit>" if after_number and w in units else "<name>" if m[0][0].isupper() and w in names else None
+            if kind and out and out[-1][0] == kind:
+                out[-1][1].append(w)
+            else:
+                out.append((kind or w, [w], kind is not None))
+            last = kind
+        return out
+
+    found = set()
+    for item, text in items:
+        c = canonical(text)
+        w = min(templates.WINDOW, len(c))
+        use = [o for o in range(len(c) - w + 1) if 2 * sum(not x[2] for x in c[o : o + w]) >= w]
+        raw = lambda x: re.findall(r"[0-9]+|[a-z]+", x.lower())
+        for k, t in enumerate(texts):
+            if not use:  # no window can be told from chance: all raw tokens in a row
+                if f" {' '.join(raw(text))} " in f" {' '.join(raw(t))} ":
+                    found.add((k, item, 1.0, "exact"))
+                continue
+            d = canonical(t)
+            covered, bound = set(), {}
+            by = {}
+            for p in range(len(d) - w + 1):
+                for o in use:
+                    if [x[0] for x in d[p : p + w]] == [x[0] for x in c[o : o + w]]:
+                        by.setdefault(p - o, []).append((p, o))
+            for _, hits in sorted(by.items(), key=lambda x: (-len(x[1]), x[0])):
+                trial, fine = dict(bound), True
+                for p, o in hits:
+                    for i in range(w):
+                        if c[o + i][2]:
+                            fine &= trial.setdefault(tuple(c[o + i][1]), tuple(d[p + i][1])) == tuple(d[p + i][1])
+                if fine:
+                    bound = trial
+                    covered |= {o for _, o in hits}
+            if len(covered) >= templates.COVER * len(use):
+                found.add((k, item, round(len(covered) / len(use), 6), "exact" if all(a == b for a, b in bound.items()) else "re-parameterised"))
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(12)
+    words = "basket river stone window garden market yellow slow carries paints sells finds under near before many".split()
+
+    def sentence(n):
+        return " ".join(r.choice([r.choice(words), r.choice(words), r.choice(words), str(r.randint(2, 40)), r.choice(["Alice", "Bob", "Carol", "Hans", "Pedro"]), r.choice(["three km", "zwei", "7 kg"])]) for _ in range(n))
+
+    def renamed(t):
+        return t.replace("Alice", "Emma").replace("Bob", "Frank").replace("zwei", "neun").replace("7 kg", "9 kg")
+
+    items = [(i, sentence(r.randint(14, 30))) for i in range(25)]
+    texts = [sentence(60) for _ in range(20)]
+    for i, t in items:
+        cut_ = t.split()
+        texts += [f"{sentence(5)} {t} {sentence(5)}", f"{sentence(5)} {renamed(t)} {sentence(4)}", " ".join(cut_[: len(cut_) // 2]), renamed(" ".join(cut_[:10])) + " " + " ".join(cut_[10:]), t + " " + renamed(t)]
+    texts += [texts[-1], ""]
+    # No sentence opens here, so that a capital tells a name.
+    texts = ["so " + t for t in texts]
+    bench = spark.createDataFrame([(i, "so " + t) for i, t in items], "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = _leaks_by_brute_force(texts, [(i, "so " + t) for i, t in items])
+    got = {(x["doc_id"], x["item_id"], round(x["cover"], 6), x["kind"]) for x in templates.find_leaks(d, bench).collect()}
+    assert got == want and {x[3] for x in want} == {"exact", "re-parameterised"}
+    assert {x["doc_id"] for x in templates.drop_leaks(d, bench).collect()} == set(range(len(texts))) - {x[0] for x in want}
+
+
+def test_decontamination_in_other_languages(spark):
+    bench = spark.createDataFrame([(1, "der korb hat zwei volle kisten und drei leere kisten, wie viele kisten sind es"), (2, "le panier contient douze pommes vertes et cinq poires, combien de fruits y a-t-il")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "der korb hat zwölf volle kisten und neun leere kisten, wie viele kisten sind es"), (2, "le panier contient quinze pommes vertes et huit poires, combien de fruits y a-t-il"), (3, "der korb hat viele kisten"), (None, None)], "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["kind"]) for x in templates.find_leaks(d, bench).collect()}
+    assert got == {(1, 1, "re-parameterised"), (2, 2, "re-parameterised")}
