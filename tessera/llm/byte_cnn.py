@@ -12,7 +12,8 @@ worker holds one block of texts at a time.
 
 Null texts count as empty and get the score of one padded half-chunk. Repeated rows get equal scores. Labels other than 0 and 1,
 labels without a document and null ids are not learned from. Without any label of one class the score is the constant 0.5.
-An empty table gives an empty result. Only the id and the text of a row are read.
+An empty table gives an empty result. Very long texts are scored whole, a block each; equal values of a pooled filter or hidden unit share its
+gradient. Only the id and the text of a row are read, so other columns may have any names.
 """
 
 from __future__ import annotations

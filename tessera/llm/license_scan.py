@@ -1,13 +1,14 @@
 """License scans by template-markup matching.
 
-A template is license wording with markup: ``<<optional>> ... <</optional>>`` may be missing, ``<<var:N>>`` stands for up to N
+A template is license wording with markup: ``<<optional>> ... <</optional>>`` may be missing, ``<<var:N>>`` stands for one to N
 words of any kind. It is compiled into an automaton over words; a text is accepted where some run of its words leads from the
 template's first mandatory words to its end, so all mandatory wording matches exactly. Automata start
 only where their first two mandatory words stand. Plain phrases are found everywhere besides.
 
 Words are runs of letters, digits and non-ASCII characters, A to Z lower-cased. Null texts have no words, no labels
-and score 0. Repeated rows are judged alike. An empty table gives an empty result. Only the id and the text are read;
-nothing is shuffled.
+and score 0. Repeated rows are judged alike. Very long texts are read whole, one block each. Phrases and templates that overlap or start at the same word
+all count, whatever their order. Null ids stay null. An empty table gives an empty result. Only the id and the text are read, so other
+columns may have any names; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +32,12 @@ TEMPLATES = {
         <<optional>>(the "Software")<</optional>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
         merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
         the following conditions: The above copyright notice and this permission notice <<optional>>(including the next paragraph)<</optional>> shall be included
-        in all copies or substantial portions of the Software.""",
+        in all copies or substantial portions of the Software. The software is provided "as is", without warranty of any kind, express or implied, including but
+        not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders
+        be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the
+        software or the use or other dealings in the software.""",
+    "mit-permission": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        <<optional>>(the "Software")<</optional>>, to deal in the Software without restriction""",
     "mit-notice": "<<optional>>released licensed distributed<</optional>> under the <<optional>>terms of the<</optional>> MIT license",
     "apache-2.0-notice": "licensed under the Apache License, <<optional>>version<</optional>> 2.0",
     "gpl-notice": "licensed under the <<optional>>terms of the<</optional>> GNU General Public License, version <<var:1>>",
@@ -41,11 +47,17 @@ TEMPLATES = {
     "cc-by-sa-notice": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> CC BY-SA <<optional>>4.0<</optional>>",
     "cc-by-notice": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> CC BY 4.0",
     "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
-        copyright notice and this permission notice appear in all copies.""",
+        copyright notice and this permission notice appear in all copies. The software is provided "as is" and the author disclaims all warranties with regard to
+        this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or
+        consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious
+        action, arising out of or in connection with the use or performance of this software.""",
     "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-        <<var:2>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-        <<var:2>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
-        documentation and/or other materials provided with the distribution.""",
+        <<optional>>1.<</optional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<optional>>2.<</optional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. <<optional>>3.<</optional>>
+        <<optional>>Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission.<</optional>> This software is provided by the copyright holders and contributors "as is" and any express or
+        implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.""",
     "spdx-tag": "SPDX-License-Identifier: <<var:4>>",
 }
 
@@ -80,9 +92,11 @@ class Automaton:
                 self.skip_from(opened, len(self.eat))
                 optional = 0
             elif m := re.fullmatch(r"<<var:(\d+)>>", part):
-                for _ in range(int(m[1])):
+                after = len(self.eat) + int(m[1])
+                for k in range(int(m[1])):
                     self.state({None: len(self.eat) + 1})
-                    self.skip_from(len(self.eat) - 1, len(self.eat))
+                    if k:  # the first word must be there
+                        self.skip_from(len(self.eat) - 1, after)
                 fresh = fresh and bool(optional)
             else:
                 for h in _hashes(words_of(part)):

@@ -67,7 +67,7 @@ def _license_templates() -> str:
             elif part == "<</optional>>":
                 out, optional = out + ")?", False
             elif m := re.fullmatch(r"<<var:(\d+)>>", part):
-                out += f"(?: [^ ]+){{0,{m[1]}}}"
+                out += f"(?: [^ ]+){{1,{m[1]}}}"
             else:
                 out += "".join(f" {w}" for w in L.words_of(part))
         return re.sub(r"^(\(\?:[^)]*\)\?)+", "", out) + " "

@@ -45,3 +45,20 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     out = pipeline.run(spark, folder[0])
     assert {"doc_id", "taken", "target"} <= set(out.columns) and out.count() > 100
+
+
+def test_empty_tables_pass_through(spark, folder, tmp_path):
+    d, _ = folder
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_an_id_with_two_texts_keeps_both(spark, folder):
+    d, _ = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id IN (1, 2, 3)")
+    twice = docs.union(docs.where("doc_id = 2").selectExpr("1L", "text", "lang", "source", "n_chars")).union(docs.where("doc_id = 3"))
+    out = pipeline.near_duplicates(spark, twice, d)
+    assert out.columns == docs.columns
+    # (1, text of 2) is a copy of (2, text of 2): the smaller id stays, beside the text of its own.
+    assert sorted((r["doc_id"], r["text"][:20]) for r in out.collect()) == sorted([(1, docs.where("doc_id = 1").first()["text"][:20]), (1, docs.where("doc_id = 2").first()["text"][:20]), (3, docs.where("doc_id = 3").first()["text"][:20])])

@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.llm import byte_cnn, html_main, lsh_forest, templates
+from tessera.llm import byte_cnn, html_main, license_scan, lsh_forest, templates
 
 
 def _say(r, n):
@@ -255,3 +255,42 @@ def test_decontamination_in_other_languages(spark):
     d = spark.createDataFrame([(1, "der korb hat zwölf volle kisten und neun leere kisten, wie viele kisten sind es"), (2, "le panier contient quinze pommes vertes et huit poires, combien de fruits y a-t-il"), (3, "der korb hat viele kisten"), (None, None)], "doc_id long, text string")
     got = {(x["doc_id"], x["item_id"], x["kind"]) for x in templates.find_leaks(d, bench).collect()}
     assert got == {(1, 1, "re-parameterised"), (2, 2, "re-parameterised")}
+
+
+def test_license_variables_need_a_value(spark):
+    plain = {k: t.replace("<<optional>>", "").replace("<</optional>>", "").replace("<<var:1>>", "3").replace("<<var:4>>", "MIT") for k, t in license_scan.TEMPLATES.items()}
+    texts = ["SPDX-License-Identifier:", "SPDX-License-Identifier: MIT", "licensed under the GNU General Public License, version", "licensed under the GNU General Public License, version 2", *plain.values()]
+    texts += [plain["mit-text"].replace("noninfringement", "something"), "mit license " * 50_000, plain["bsd-text"].replace("1.", "").replace("2.", "")]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[1], "x")]
+    got = {r["doc_id"]: (r["labels"].split(","), r["n_base"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, labels string")).collect()}
+    assert got[0][0] == [""] and got[1][0] == ["spdx-tag"] == got[None][0] and got[2][0] == ["gpl"] and "gpl-notice" in got[3][0]
+    for i, name in enumerate(plain):
+        assert name in got[4 + i][0]
+    at = 4 + len(plain)
+    assert got[at][0] == ["mit-permission"] and got[at + 1] == (["mit"], 50_000) and "bsd-text" in got[at + 2][0]
+
+
+def test_classifier_against_a_slow_forward_pass():
+    """Filters position by position, chunk by chunk, text by text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.textbytes import string_parts
+
+    net = byte_cnn.Network(3)
+    net.p["mu"] += 0.1
+    half, width, p = byte_cnn.HALF, byte_cnn.WIDTH, net.p
+    texts = ["", "a", "b" * half, "xy" * half, "é" * 200, "one two three " * 90, "one two three " * 90]
+
+    def slow(text):
+        raw = text.encode()
+        n = max(1, -(-len(raw) // half))
+        data = raw.ljust(n * half, b"\0") + b"\0" * (width - 1)
+        best = [[max(sum(p["table"][k][data[h * half + i + k]][f] for k in range(width)) for i in range(half)) for f in range(byte_cnn.FILTERS)] for h in range(n)]
+        chunks = [np.maximum(best[i], best[i + 1]) for i in range(n - 1)] or [np.array(best[0])]
+        hidden = [np.maximum((c - p["mu"]) @ p["w1"] + p["b1"], 0) for c in chunks]
+        f = np.concatenate([np.mean(hidden, axis=0), np.max(hidden, axis=0), [np.log1p(len(raw)) / 8]])
+        return 1 / (1 + np.exp(-(f @ p["w2"] + p["b2"][0])))
+
+    got = net.predict(*string_parts(pa.array(texts)))
+    assert np.allclose(got, [slow(t) for t in texts], atol=1e-4) and got[-1] == got[-2]
