@@ -49,6 +49,7 @@ def normalize_phrase(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), _PUNCTUATION, " " * len(_PUNCTUATION)), r"\s+", " "))
 
 
+# The plural endings below, and the patterns and wording of key_phrases and hypotheses.
 def singularize(word: Column) -> Column:
     """English plural endings cut by rule: ies, then es after hissing sounds, les/res/nes, other es, then s."""
     cut = lambda n: F.left(word, F.length(word) - n)

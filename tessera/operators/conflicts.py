@@ -10,6 +10,8 @@ from tessera.functions import text as T
 from tessera.operators import issues
 from tessera.options import Options
 
+# The wording of details and suggestions below.
+
 PAIRS = [("verbosity", L.VERBOSE, L.CONCISE), ("format", L.JSON_ONLY, L.EXPLANATORY)]
 
 

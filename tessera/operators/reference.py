@@ -161,7 +161,7 @@ def noun_phrases(df: DataFrame, text: str, verbs: bool = True) -> DataFrame:
     """Definite noun phrases whose head is neither a stop word nor (if ``verbs``) a verb; of equal (start, head) the longest text."""
     d = definite_phrases(df, text).where(~F.col("raw").isin(*L.STOP_WORDS))
     if verbs:
-        forms = set(L.VERBS) | set(L.IRREGULAR_VERBS)
+        forms = L.VERBS
         base = F.col("raw")
         stem = lambda n: F.left(base, F.length(base) - n)
         verb = base.isin(*forms) | (F.endswith(base, F.lit("ing")) & stem(3).isin(*forms)) | (F.endswith(base, F.lit("ed")) & stem(2).isin(*forms)) | (F.endswith(base, F.lit("s")) & stem(1).isin(*forms))

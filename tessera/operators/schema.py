@@ -14,6 +14,8 @@ from tessera.functions import text as T
 from tessera.operators import issues
 from tessera.options import Options
 
+# The wording of details and suggestions below.
+
 ERROR = "array<struct<path:string,keyword:string,message:string>>"
 
 

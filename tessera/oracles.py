@@ -96,6 +96,78 @@ _RUNS = (
 )
 _BY_SET = "by_set AS (SELECT parameter_set, count(*) AS total_runs, CAST(sum(issues_total) AS BIGINT) AS total_issues, avg(latency) AS lat, avg(CASE WHEN failed THEN 0.0 ELSE 1.0 END) AS ok, avg(p) AS p, avg(r) AS r, avg(f1) AS f, avg(tp) AS tp, avg(fp) AS fp, avg(fn) AS fn FROM runs GROUP BY parameter_set)"
 
+_INVALID = (
+    "CASE conv_id % 5 WHEN 0 THEN 'Invalid JSON schema: root: missing type \"object\" for keyword \"properties\"' WHEN 1 THEN 'Invalid JSON schema: root: invalid type \"objekt\"' "
+    "WHEN 2 THEN 'Invalid JSON schema with 2 errors: /a: invalid type \"strng\" for property \"a\"; /c: invalid type \"bool\" for property \"c\"' "
+    "WHEN 3 THEN 'Invalid JSON schema: root: missing type \"array\" for keyword \"items\"' END"
+)
+
+
+def _has(text: str, word: str) -> str:
+    return f"regexp_matches({text}, '(?i)\\b' || regexp_escape({word}) || 's?\\b')"
+
+
+def _behind(text: str, word: str, *not_after: str) -> str:
+    """Whether the word stands somewhere in the text with none of the strings right before it."""
+    gaps = f"string_split_regex({text}, '(?i)\\b' || regexp_escape({word}) || 's?\\b')"
+    return f"len(list_filter({gaps}[1:-2], lambda gap: NOT regexp_matches(gap, '({'|'.join(not_after)})$'))) > 0"
+
+
+_OTHERS = ("this ", "that ", "a ", "an ", "some ", "any ", "each ", "every ")
+_THE = "the[ \\n\\t]"
+
+
+def _reference(*after: str) -> list[str]:
+    """Views, candidates and what resolves each of them; then the given tables."""
+    span = "(the|this|that|these|those|aforementioned)"
+    syn = "syn(s_head, syns) AS (VALUES " + ", ".join(f"('{h}', [" + ", ".join(f"'{x}'" for x in xs) + "])" for h, xs in L.synonyms().items()) + ")"
+    forward = " UNION ALL ".join(f"SELECT conv_id, {i} AS k, span, {'lower(value)' if i == 0 else chr(39) * 2} AS noun, pos FROM ({_scan('views', 'conv_id', 'cur', p, 1 if i == 0 else 0)})" for i, p in enumerate(L.FORWARD_REFS))
+    definite = f"SELECT conv_id, span, lower(value) AS raw, {_singular('lower(value)')} AS head, pos FROM ({_scan('views', 'conv_id', 'cur', L.DEFINITE_NP, 2)})"
+    return [
+        _TURNS, _TEXTS, _LAST, _VIEWS, syn,
+        f"dn AS (SELECT conv_id, false AS forward, span, head, pos FROM ({definite}) WHERE raw IN {_NOUNS} OR head IN {_NOUNS})",
+        f"fw AS (SELECT conv_id, true AS forward, span, CASE WHEN noun <> '' AND (noun IN {_NOUNS} OR {_singular('noun')} IN {_NOUNS}) THEN {_singular('noun')} ELSE '' END AS head, pos FROM "
+        f"(SELECT *, row_number() OVER (PARTITION BY conv_id, pos, length(span) ORDER BY k) AS r FROM ({forward})) WHERE r = 1)",
+        f"cd AS (SELECT row_number() OVER () AS k, c.*, attached, {_phrase('hist')} AS h, len(string_split_regex(trim(hist), '\\s+')) > 40 AS far, lower(substr(cur, 1, pos)) AS raw_before, {_phrase('substr(cur, 1, pos)')} AS before, "
+        f"CASE WHEN forward THEN {_phrase('substr(cur, pos + length(span) + 1)')} ELSE '' END AS after, {_phrase('span')} AS ref FROM (SELECT * FROM dn UNION ALL SELECT * FROM fw) c JOIN views USING (conv_id))",
+        f"ask AS (SELECT *, CASE WHEN word <> '' THEN {_singular('word')} ELSE string_split_regex(ref, '\\s+')[-1] END AS asked FROM (SELECT *, regexp_extract(ref, '\\b{span}\\s+([a-z][a-z0-9_-]{{2,}})\\b', 2) AS word FROM cd))",
+        "two AS (SELECT ask.*, coalesce(a.syns, [head]) AS syns, coalesce(b.syns, [asked]) AS asked_syns FROM ask LEFT JOIN syn a ON a.s_head = head LEFT JOIN syn b ON b.s_head = asked)",
+        f"s1 AS (SELECT k, bool_or({_has('h', 'x')}) AS in_h, bool_or({_has('after', 'x')}) AS in_after FROM (SELECT k, h, after, unnest(asked_syns) AS x FROM two) GROUP BY k)",
+        f"s2 AS (SELECT k, bool_or({_behind('h', 'x', *_OTHERS)}) AS syn_h, bool_or({_behind('before', 'x', *_OTHERS, 'the ')}) AS syn_before, "
+        f"bool_or(x IN {_NOUNS} AND {_behind('raw_before', 'x', _THE)} AND {_behind('before', 'x', *_OTHERS, 'the ')}) AS bare, bool_or(contains(attached, x)) AS held FROM (SELECT k, h, before, raw_before, attached, unnest(syns) AS x FROM two) GROUP BY k)",
+        f"judged AS (SELECT two.*, CASE WHEN {_has('h', 'asked')} OR in_h THEN 'pattern' WHEN forward AND after <> '' AND ({_has('after', 'asked')} OR in_after) THEN 'pattern' "
+        f"WHEN head <> '' AND far AND {_has('h', 'head')} THEN 'exact' WHEN head <> '' AND NOT far AND {_behind('before', 'head', 'the ')} THEN 'exact' WHEN head <> '' AND far AND syn_h THEN 'synonym' WHEN head <> '' AND NOT far AND syn_before THEN 'synonym' "
+        f"WHEN head <> '' AND head IN {_NOUNS} AND {_behind('raw_before', 'head', _THE)} AND {_behind('before', 'head', *_OTHERS, 'the ')} THEN 'memory' WHEN head <> '' AND bare THEN 'synonym' WHEN head = '' OR contains(attached, head) OR held THEN 'attachment' END AS method "
+        "FROM two JOIN s1 USING (k) JOIN s2 USING (k))",
+        *after,
+    ]
+
+
+_REFERENCE_ISSUES = (
+    "per AS (SELECT conv_id, count(*) AS n, count(*) FILTER (method IS NULL) AS uncovered, coalesce(bool_or(method IN ('synonym', 'memory', 'pattern')), false) AS unsure FROM judged GROUP BY conv_id)",
+    "open AS (SELECT conv_id, lower(span) AS key, head, pos, row_number() OVER (PARTITION BY conv_id ORDER BY forward, pos, lower(span), head) AS rn FROM judged WHERE method IS NULL)",
+    f"flagged AS (SELECT conv_id, coalesce(uncovered, 0) AS uncovered, coalesce(unsure, false) AS unsure, cue, words FROM (SELECT conv_id, regexp_matches(cur, '{_duck(L.DEICTIC)}') AS cue, len(string_split_regex(trim(hist), '\\s+')) AS words FROM views) LEFT JOIN per USING (conv_id) "
+    "WHERE coalesce(uncovered, 0) > 0 OR (cue AND coalesce(n, 0) = 0))",
+    "summed AS (SELECT conv_id, key, count(*) AS n, min(rn) AS ord FROM open GROUP BY ALL UNION ALL SELECT conv_id, 'deictic cue', 1, 1000000 FROM flagged WHERE cue)",
+    "told AS (SELECT conv_id, string_agg('\"' || key || '\"' || CASE WHEN n > 1 THEN ' (×' || n || ')' ELSE '' END, ', ' ORDER BY r) AS told FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, ord) AS r FROM summed) WHERE r <= 3 GROUP BY conv_id)",
+    "opened AS (SELECT conv_id, count(*) AS n_open, arg_min(pos, rn) AS first_char, CAST(bool_or(head IN ('report', 'document', 'transcript')) AS BIGINT) + CAST(bool_or(head IN ('list', 'results')) AS BIGINT) AS advice FROM open GROUP BY conv_id)",
+    "ri AS (SELECT conv_id, 'References ' || told || ' without antecedent in prior context or attachments.' AS detail, CASE WHEN words < 20 THEN 'low' WHEN uncovered > 0 AND unsure THEN 'medium' ELSE 'high' END AS confidence, first_char, "
+    "least(50, coalesce(n_open, 0)) + CAST(cue AS BIGINT) AS n_occurrences, coalesce(advice, 0) AS advice FROM flagged JOIN told USING (conv_id) LEFT JOIN opened USING (conv_id))",
+)
+_ALL_ISSUES = (
+    _PX, "pv AS (SELECT conv_id, variable, count(*) AS n, min(pos) AS f FROM ph GROUP BY ALL)",
+    f"cf AS (SELECT conv_id, regexp_matches(text, '{_duck(L.VERBOSE)}') AND regexp_matches(text, '{_duck(L.CONCISE)}') AS v, regexp_matches(text, '{_duck(L.JSON_ONLY)}') AND regexp_matches(text, '{_duck(L.EXPLANATORY)}') AS f FROM texts)",
+    _EST,
+    "found(conv_id, ord, code, severity, detail, advice) AS ("
+    "SELECT conv_id, 1, 'MISSING_PLACEHOLDER', 'high', 'Unresolved placeholder' || CASE WHEN count(*) > 1 THEN 's' ELSE '' END || ': ' || string_agg(variable || CASE WHEN n > 1 THEN ' (×' || n || ')' ELSE '' END, ', ' ORDER BY f), 0 FROM pv GROUP BY conv_id "
+    "UNION ALL SELECT conv_id, 2, 'MISSING_REFERENCE', 'high', detail, advice FROM ri "
+    "UNION ALL SELECT conv_id, 3, 'CONFLICTING_INSTRUCTION', 'medium', 'Conflicting directives: ' || concat_ws('; ', CASE WHEN v THEN 'concise vs step by step' END, CASE WHEN f THEN 'JSON only vs commentary' END) || '.', CAST(v AS BIGINT) + CAST(f AS BIGINT) FROM cf WHERE v OR f "
+    f"UNION ALL SELECT conv_id, 4, 'SCHEMA_RISK', 'medium', 'Prompt mixes strict JSON instructions with additional prose after the schema.', 1 FROM texts WHERE schema_json IS NOT NULL AND ({_PROSE}) "
+    f"UNION ALL SELECT conv_id, 5, 'INVALID_SCHEMA', 'high', {_INVALID}, 1 FROM texts WHERE conv_id % 5 <> 4 "
+    f"UNION ALL SELECT conv_id, 7, 'TOKEN_OVERAGE', 'medium', 'Estimated ' || " + _COMMA.format(x="tokens") + " || ' input tokens (method: ' || method || ') exceeds ' || " + _COMMA.format(x="win") + " || ' token limit for ' || model || '.', 1 "
+    f"FROM (SELECT *, {_WINDOW} AS win FROM tok) WHERE tokens > win)",
+)
+
 ORACLES = {
     "placeholder_scan": _with(_TURNS, _PT, q='SELECT conv_id, turn, dialect, variable, pos, ende AS "end" FROM ph'),
     "placeholder_summary": _with(_TURNS, _PT, q="SELECT conv_id, turn, variable, count(*) AS count, min(pos) AS first_pos FROM ph GROUP BY ALL"),
@@ -165,7 +237,7 @@ ORACLES = {
         "WITH c AS (SELECT DISTINCT conv_id FROM conversations) SELECT path, keyword, message, count(*) AS n FROM c JOIN (VALUES (0, '', 'strictTypes', 'missing type \"object\" for keyword \"properties\"'), (1, '', 'type', 'invalid type \"objekt\"'), "
         "(2, '/a', 'type', 'invalid type \"strng\" for property \"a\"'), (2, '/c', 'type', 'invalid type \"bool\" for property \"c\"'), (3, '', 'strictTypes', 'missing type \"array\" for keyword \"items\"')) e(k, path, keyword, message) ON conv_id % 5 = k GROUP BY ALL"
     ),
-    "schema_issue_detail": "SELECT CAST(conv_id AS VARCHAR) AS case_id, 'high' AS severity, CAST(CASE WHEN conv_id % 5 = 2 THEN 2 ELSE 1 END AS BIGINT) AS n_errors FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 5 <> 4",
+    "schema_issue_detail": "SELECT CAST(conv_id AS VARCHAR) AS case_id, 'high' AS severity, " + _INVALID + " AS detail, CAST(CASE WHEN conv_id % 5 = 2 THEN 2 ELSE 1 END AS BIGINT) AS n_errors FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 5 <> 4",
     "definite_np_scan": _with(_TURNS, _NP, q="SELECT raw, head, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_start FROM np GROUP BY ALL"),
     "taxonomy_semi_join": _with(_TURNS, _NP, q=f"SELECT DISTINCT conv_id, turn, head, pos AS start FROM np WHERE head IN {_NOUNS} OR raw IN {_NOUNS}"),
     "forward_refs": _with(
@@ -176,7 +248,7 @@ ORACLES = {
     ),
     "deictic_cue": _with(_TURNS, q=f"SELECT conv_id, turn FROM turns WHERE regexp_matches(text, '{_duck(L.DEICTIC)}')"),
     "noun_phrases": _with(
-        _TURNS, _NP, f"verbs AS (SELECT unnest({list(dict.fromkeys(L.VERBS + L.IRREGULAR_VERBS))}) AS v)",
+        _TURNS, _NP, f"verbs AS (SELECT unnest({L.VERBS}) AS v)",
         q=f"SELECT head, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, pos, head FROM np WHERE raw NOT IN {_list(L.STOP_WORDS)} AND raw NOT IN (SELECT v FROM verbs UNION SELECT v || 's' FROM verbs UNION SELECT v || 'ed' FROM verbs UNION SELECT v || 'ing' FROM verbs)) GROUP BY head",
     ),
     "antecedent_exact": _with(_TURNS, _LAST, _VIEWS, _NPV, q=f"SELECT np.conv_id, head, pos AS start, regexp_matches({_phrase('hist')}, '\\b' || head || 's?\\b') AS found FROM np JOIN views USING (conv_id)"),
@@ -186,6 +258,16 @@ ORACLES = {
     ),
     "attachment_contains": _with(_TURNS, _LAST, _VIEWS, _NPV, q="SELECT np.conv_id, head, pos AS start FROM np JOIN views USING (conv_id) WHERE contains(attached, head)"),
     "uncovered_anti_join": _with(_TURNS, _LAST, _VIEWS, _NPV, _WORDS, q="SELECT conv_id, head, pos AS start FROM np WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.conv_id = np.conv_id AND w.word IN (np.head, np.head || 's'))"),
+    "reference_candidates": _with(*_reference(), q="SELECT coalesce(method, 'none') AS method, forward, count(*) AS n FROM judged GROUP BY ALL"),
+    "reference_issues": _with(*_reference(*_REFERENCE_ISSUES), q="SELECT CAST(conv_id AS VARCHAR) AS case_id, detail, confidence, first_char, n_occurrences FROM ri"),
+    "issue_counts": _with(*_reference(*_REFERENCE_ISSUES, *_ALL_ISSUES), q="SELECT code, severity, count(*) AS n FROM found GROUP BY ALL"),
+    "disabled_rules": _with(*_reference(*_REFERENCE_ISSUES, *_ALL_ISSUES), q="SELECT code, count(*) AS n FROM found WHERE code NOT IN ('MISSING_REFERENCE', 'INVALID_SCHEMA', 'TOKEN_OVERAGE', 'SCHEMA_RISK') GROUP BY ALL"),
+    "analyze_reports": _with(
+        *_reference(*_REFERENCE_ISSUES, *_ALL_ISSUES), "codes AS (SELECT conv_id, code, count(*) AS n FROM found GROUP BY ALL)", "listed AS (SELECT conv_id, string_agg(code || '=' || n, ', ' ORDER BY code) AS issue_counts FROM codes GROUP BY conv_id)",
+        "each_case AS (SELECT conv_id, count(*) AS n_issues, CAST(sum(advice) AS BIGINT) AS n_suggestions, string_agg(detail, ' | ' ORDER BY ord) AS details FROM found GROUP BY conv_id)",
+        q="SELECT CAST(conv_id AS VARCHAR) AS case_id, coalesce(n_issues, 0) AS n_issues, coalesce(n_suggestions, 0) AS n_suggestions, tokens AS est_input_tokens, coalesce(issue_counts, '') AS issue_counts, coalesce(details, '') AS details "
+        "FROM texts LEFT JOIN each_case USING (conv_id) LEFT JOIN listed USING (conv_id) LEFT JOIN tok USING (conv_id)",
+    ),
     "case_param_cross_join": _with(_SETS, q="SELECT parameter_set, CAST(i AS INTEGER) AS iteration, count(*) AS runs FROM (SELECT DISTINCT conv_id FROM conversations), sets, range(1, 3) r(i) GROUP BY ALL"),
     "accuracy_per_case": _with(_TURNS, _TEXTS, _SETS, _RUNS, q="SELECT case_id, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(p, 6) AS \"precision\", round(r, 6) AS recall, round(f1, 6) AS f1 FROM runs WHERE parameter_set = 'baseline' AND expected IS NOT NULL"),
     "summary_by_parameter_set": _with(
@@ -196,8 +278,8 @@ ORACLES = {
     "issues_by_code": _with(_TURNS, _TEXTS, _SETS, _RUNS, q="SELECT parameter_set, code, count(*) AS n FROM (SELECT parameter_set, unnest(detected) AS code FROM runs) GROUP BY ALL"),
     "metric_table": _with(_TURNS, _TEXTS, _SETS, _RUNS, _BY_SET, q="SELECT parameter_set, total_runs, printf('%.1f', ok * 100) AS success_rate FROM by_set"),
     "feature_impact": _with(
-        _TURNS, _TEXTS, _SETS, _RUNS, _BY_SET, "flat AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS is_on, lat FROM by_set JOIN sets USING (parameter_set)" for f in FLAGS) + ")",
-        "g AS (SELECT feature, avg(lat) FILTER (is_on) AS l1, avg(lat) FILTER (NOT is_on) AS l0 FROM flat GROUP BY feature)", q="SELECT feature, round(l1, 6) AS latency_on, round(l0, 6) AS latency_off, round((l1 - l0) / l0 * 100, 6) AS latency_change FROM g WHERE l1 IS NOT NULL AND l0 IS NOT NULL",
+        _TURNS, _TEXTS, _SETS, _RUNS, _BY_SET, "flat AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS is_on, lat, f FROM by_set JOIN sets USING (parameter_set)" for f in FLAGS) + ")",
+        "g AS (SELECT feature, avg(lat) FILTER (is_on) AS l1, avg(lat) FILTER (NOT is_on) AS l0, avg(f) FILTER (is_on) AS f1, avg(f) FILTER (NOT is_on) AS f0 FROM flat GROUP BY feature)", q="SELECT feature, round(l1, 6) AS latency_on, round(l0, 6) AS latency_off, round((l1 - l0) / l0 * 100, 6) AS latency_change, round(f1, 6) AS f1_on, round(f0, 6) AS f1_off, round((f1 - f0) / f0 * 100, 6) AS f1_change FROM g WHERE l1 IS NOT NULL AND l0 IS NOT NULL",
     ),
     "history_trend": (
         "WITH e AS (SELECT 'report-' || strftime(ts, '%Y-%m-%d') || '.json' AS file, event_type AS parameter_set, sum(value) AS v, CAST(count(*) AS DOUBLE) AS c FROM events GROUP BY ALL), "

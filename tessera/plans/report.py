@@ -66,10 +66,13 @@ def analyze(cases: DataFrame, options: Options = Options(), models: semantic.Mod
     cases = complete(cases)
     found = issue_table(cases, options, models)
     body = F.struct("rule_ord", "id", "code", "severity", "detail", "confidence", "summary", "occurrences", "first_char", "message_index", "suggestions")
-    per = found.groupBy("case_id").agg(F.sort_array(F.collect_list(body)).alias("issues")).join(issue_counts(found), "case_id")
+    per = found.groupBy("case_id").agg(F.sort_array(F.collect_list(body)).alias("issues"))
+    count = lambda code: F.size(F.filter("issues", lambda i: i["code"] == code)).cast("long")
+    counted = F.filter(F.array(*[F.struct(F.lit(c).alias("code"), count(c).alias("n")) for c in sorted(RULES)]), lambda x: x["n"] > 0)
     costs = tokens.costs(cases, options) if "TOKEN_OVERAGE" not in options.disabled_rules else tokens.costs(cases.limit(0), options)
     cost = costs.select("case_id", F.struct(F.col("tokens").alias("est_input_tokens"), F.col("usd").alias("est_usd"), "char_count", "method").alias("cost"))
     d = cases.select("case_id").join(per, "case_id", "left").join(cost, "case_id", "left")
+    summary = F.when(F.col("issues").isNotNull(), F.struct(F.map_from_entries(counted).alias("issue_counts"), F.lit("high").alias("confidence")))
+    d = d.withColumn("summary_of", summary).withColumn("issues", F.coalesce("issues", F.array()))
     advice = F.flatten(F.transform("issues", lambda i: F.transform(i["suggestions"], lambda s: F.struct(s["type"].alias("type"), s["text"].alias("text"), i["id"].alias("for")))))
-    summary = F.when(F.col("issue_counts").isNotNull(), F.struct("issue_counts", F.lit("high").alias("confidence")))
-    return d.select("case_id", F.coalesce("issues", F.array()).alias("issues"), advice.alias("suggestions"), "cost", summary.alias("summary"))
+    return d.select("case_id", "issues", advice.alias("suggestions"), "cost", F.col("summary_of").alias("summary"))

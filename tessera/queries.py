@@ -197,7 +197,7 @@ def schema_errors(s, d):
 
 
 def schema_issue_detail(s, d):
-    return schema.validation_rule(cases(s, d)).select("case_id", "severity", F.size("occurrences").cast("long").alias("n_errors"))
+    return schema.validation_rule(cases(s, d)).select("case_id", "severity", "detail", F.size("occurrences").cast("long").alias("n_errors"))
 
 
 def definite_np_scan(s, d):
@@ -207,7 +207,8 @@ def definite_np_scan(s, d):
 def taxonomy_semi_join(s, d):
     f = reference.definite_phrases(turns(s, d), "text").select("conv_id", "turn", "head", "raw", "start")
     nouns = F.broadcast(L.taxonomy_table(s).select("noun").distinct())
-    return f.join(nouns, (F.col("head") == F.col("noun")) | (F.col("raw") == F.col("noun")), "left_semi").select("conv_id", "turn", "head", "start").distinct()
+    spelt = f.withColumn("noun", F.explode(F.array_distinct(F.array("head", "raw"))))
+    return spelt.join(nouns, "noun", "left_semi").select("conv_id", "turn", "head", "start").distinct()
 
 
 def forward_refs(s, d):
@@ -270,7 +271,11 @@ def disabled_rules(s, d):
 
 def analyze_reports(s, d):
     r = report.analyze(cases(s, d))
-    return r.select("case_id", F.size("issues").alias("n_issues"), F.size("suggestions").alias("n_suggestions"), "cost.est_input_tokens", F.col("summary.issue_counts").alias("issue_counts"))
+    counts = F.array_join(F.transform(F.map_entries("summary.issue_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+    return r.select(
+        "case_id", F.size("issues").cast("long").alias("n_issues"), F.size("suggestions").cast("long").alias("n_suggestions"), "cost.est_input_tokens", F.coalesce(counts, F.lit("")).alias("issue_counts"),
+        F.array_join(F.transform("issues", lambda i: i["detail"]), " | ").alias("details"),
+    )
 
 
 def case_param_cross_join(s, d):
@@ -314,7 +319,7 @@ def metric_table(s, d):
 
 def feature_impact(s, d):
     i = evaluate.feature_impact(evaluate.summary_by_set(_runs(s, d)), evaluate.parameter_sets(s))
-    return i.select("feature", *[F.round(c, 6).alias(c) for c in ("latency_on", "latency_off", "latency_change")])
+    return i.select("feature", *[F.round(c, 6).alias(c) for c in ("latency_on", "latency_off", "latency_change", "f1_on", "f1_off", "f1_change")])
 
 
 def history_trend(s, d):
