@@ -90,3 +90,32 @@ FROM j LEFT JOIN base USING (rid) LEFT JOIN bl USING (rid) LEFT JOIN al USING (r
 
 
 ORACLES["op6_license_templates"] = _license_templates()
+
+
+ORACLES["op8_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+n AS (SELECT *, length(hx) // 2 AS size FROM d),
+piece AS (SELECT rid, c, substr(hx, 4000 * c + 1, 4398) AS part FROM (SELECT rid, hx, unnest(range(0, (size - 200) // 2000 + 1)) AS c FROM n WHERE size >= 200)),
+win AS (SELECT rid, 2000 * c + i AS p, md5(substr(part, 2 * i + 1, 400)) AS h FROM (SELECT rid, c, part, unnest(range(0, least(2000, length(part) // 2 - 199))) AS i FROM piece)),
+hit AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY h) AS k FROM win) WHERE k > 1),
+run AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS g FROM (SELECT rid, p, CASE WHEN p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 200 THEN 1 ELSE 0 END AS fresh FROM hit)),
+span AS (SELECT rid, min(p) AS a, max(p) + 200 AS b FROM run GROUP BY rid, g),
+edge AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM span),
+cut AS (SELECT rid, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM edge JOIN n USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(size AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(hx, 2 * last + 1), hx))) AS kept_sha256
+FROM n LEFT JOIN cut USING (rid)
+"""
+
+ORACLES["op10_lsh_forest"] = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS shingles FROM w),
+c AS (SELECT rid, doc_id, shingles, md5(array_to_string(shingles, chr(10))) AS cls, len(shingles) AS n FROM s),
+classes AS (SELECT cls, any_value(shingles) AS shingles, any_value(n) AS n, min(doc_id) AS first_id FROM c WHERE n > 0 GROUP BY cls),
+x AS (SELECT cls, n, unnest(shingles) AS shingle FROM classes),
+pairs AS (SELECT a.cls AS a, b.cls AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.shingle = b.shingle AND a.cls < b.cls GROUP BY a.cls, b.cls),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT cls, cls FROM classes UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+comp AS (SELECT r.a AS cls, min(k.first_id) AS component_id FROM reach r JOIN classes k ON k.cls = r.b GROUP BY r.a)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id, n = 0 OR doc_id = component_id AS kept FROM c LEFT JOIN comp ON comp.cls = c.cls AND n > 0
+"""
