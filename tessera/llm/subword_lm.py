@@ -3,20 +3,21 @@
 A word's probability under the subword model is the sum over all its segmentations into vocabulary pieces, got by a forward
 recursion in log space; pieces never cross white space, so a document's lattice factors into its words. Piece weights
 start from the scores of an existing vocabulary and are adapted to the training documents of each class by expectation steps in which
-the current weights weigh all segmentations. Classes are the ``CLASSES`` most frequent languages of the training documents and
+the current weights weigh all segmentations of the class's distinct words, as it is unseen words that the pieces answer for. Classes are the ``CLASSES`` most frequent languages of the training documents and
 the rest; a document's class is summed out, so nothing but the text decides its score. In each class the word itself is one more arc,
-with absolute discounting first to all classes together, then to the lattice (c: training count of N tokens and V types):
+with absolute discounting first to all classes together, then to the lattice (c: training count of N tokens and V types; u: the share of tokens
+whose word stands in one training text only, which is the share of unseen words that a further text is expected to have):
 
     p(word | class) = max(c_class - d, 0) / N_class + (d * V_class / N_class) * p(word)
-    p(word)         = max(c - d, 0) / N + (d * V / N) * p_lattice(word | class)
+    p(word)         = (1 - u) * max(c - d, 0) / (N - d * V) + u * p_lattice(word | class)
     p(text)         = sum over classes of share(class) * product over words of p(word | class)
 
 Each text ends in one end token. Counting, adaptation and lattice scores run once per distinct word, spread over the cluster. Documents
 then look their words up: the ``HEAD`` most frequent words are sent to the workers (a fixed bound), all others meet their scores in a
 shuffle join.
 
-Null texts are empty: one end token. Repeated rows count as often as they stand. A null id counts as training. An empty table gives an
-empty result. Only the id, the text and (for training documents) the language are read.
+Null texts are empty: one end token. Repeated rows count as often as they stand. A null id counts as training. Very long texts are read whole, a
+block each. Languages with as many documents rank by name. An empty table gives an empty result. Only the id, the text and (for training documents) the language are read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from tessera.llm.store import cut
 from tessera.llm.textbytes import Block, blocks, spark_long, string_parts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD, PASSES, LONGEST, CLASSES = 150_000, 3, 24, 5
+HEAD, PASSES, LONGEST, CLASSES = 150_000, 5, 24, 5
 FLUSH = 600_000  # distinct words that a worker holds before it hands them on
 _MARK = "▁".encode()
 _LOG10 = math.log(10.0)
@@ -174,8 +175,8 @@ def lower_bytes(data: np.ndarray) -> np.ndarray:
 
 
 def count_words(docs: DataFrame, classes: int) -> DataFrame:
-    """docs: (cls, text), cls -1 for held-out rows. Distinct words: h, word, n (tokens), c0 .. (training tokens of each class)."""
-    names = [f"c{i}" for i in range(classes)]
+    """docs: (cls, text), cls -1 for held-out rows. Distinct words: h, word, n (tokens), c0 .. (training tokens of each class), df (training texts that hold it)."""
+    names = [*(f"c{i}" for i in range(classes)), "df"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -193,7 +194,9 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
                     continue
                 h, first, back, n = np.unique(k.hashes(s, e, lower=True), return_index=True, return_inverse=True, return_counts=True)
                 of = cls[owner + k.first]
-                c = {x: np.bincount(back[of == i], minlength=len(h)).astype(np.int64) for i, x in enumerate(names)}
+                c = {x: np.bincount(back[of == i], minlength=len(h)).astype(np.int64) for i, x in enumerate(names[:-1])}
+                in_text = np.unique(back[of >= 0] * np.int64(k.n) + owner[of >= 0]) // k.n
+                c["df"] = np.bincount(in_text, minlength=len(h)).astype(np.int64)
                 offs = np.concatenate(([0], np.cumsum((e - s)[first])))
                 low = lower_bytes(k.data)[np.arange(int(offs[-1])) + np.repeat(s[first] - offs[:-1], (e - s)[first])]
                 word = pa.LargeStringArray.from_buffers(len(h), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(low)).cast(pa.string())
@@ -224,14 +227,15 @@ def adapt(words: DataFrame, classes: int, pieces: list[bytes], start: np.ndarray
             for b in batches:
                 words_ = marked(b.column(0))
                 for i in range(classes):
-                    c = b.column(1 + i).to_numpy().astype(float)
+                    # Each word counts once, and little if many texts hold it: the lattice is asked about words that none does.
+                    c = (b.column(1 + i).to_numpy() > 0) / b.column(1 + classes).to_numpy().clip(1)
                     total[i] += lattice.expected(i, *words_, c)
                     seen[i] += c.sum()
             for i in range(classes):
                 at = np.flatnonzero(total[i])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, i)), pa.array(np.append(at, -1)), pa.array(np.append(total[i][at], seen[i]))], names=["cls", "piece", "uses"])
 
-        sums = words.select("word", *names).mapInArrow(apply, "cls long, piece long, uses double").groupBy("cls", "piece").agg(F.sum("uses").alias("uses")).collect()  # at most a row a class and piece
+        sums = words.select("word", *names, "df").mapInArrow(apply, "cls long, piece long, uses double").groupBy("cls", "piece").agg(F.sum("uses").alias("uses")).collect()  # at most a row a class and piece
         uses, seen = np.zeros((classes, len(pieces))), np.zeros(classes)
         for r in sums:
             if r["piece"] < 0:
@@ -244,7 +248,7 @@ def adapt(words: DataFrame, classes: int, pieces: list[bytes], start: np.ndarray
             if all_ > 0:
                 stop[i] = min(0.9, max(0.05, seen[i] / all_))
                 # The vocabulary's own weights keep a hundredth of the mass, so that every text has a probability.
-                new.append(np.log((uses[i] / all_) * 0.99 + np.exp(start) * 0.01))
+                new.append(np.log((uses[i] / all_) * 0.999 + np.exp(start) * 0.001))
             else:
                 new.append(start)
         logp = new
@@ -281,7 +285,7 @@ def score_documents(
     ends = sum(doc_counts.values())
     whole = sum((F.col(x) for x in names[1:]), F.col(names[0]))
     stats = [f(c).alias(f"{n}_{i}") for i, c in enumerate([*(F.col(x) for x in names), whole]) for n, f in (("n", F.sum), ("v", lambda c: F.sum((c > 0).cast("long"))), ("o", lambda c: F.sum((c == 1).cast("long"))), ("t", lambda c: F.sum((c == 2).cast("long"))))]
-    s = counted.agg(*stats).first()
+    s = counted.agg(*stats, F.sum(F.when(F.col("df") == 1, whole)).alias("alone")).first()
 
     def law(i: int, more: int) -> tuple[float, float, int]:
         """Discount, share left to the next law, tokens: with ``more`` end tokens."""
@@ -292,6 +296,10 @@ def score_documents(
     laws = [law(i, doc_counts.get(i, 0)) for i in range(k_all)]
     d_all, share_all, total = law(k_all, ends)
     total = total if s[f"n_{k_all}"] or ends else 0
+    # The share of tokens whose word no other text holds is what a further text will have of unseen words; the seen ones make room for it.
+    kept = 1 - share_all
+    share_all = min(0.5, (s["alone"] or 0) / max(total, 1) or share_all)
+    seen = (1 - share_all) / kept if kept > 0 else 1.0
     types = (s[f"v_{k_all}"] or 0) + (ends > 0)
     pieces, start = load_pieces(vocabulary)
     lattice = Lattice(pieces, *adapt(counted, k_all, pieces, start))
@@ -302,7 +310,7 @@ def score_documents(
         with np.errstate(divide="ignore"):
             out = []
             for i, (d, share, n) in enumerate(laws):
-                back = np.logaddexp(np.log(np.maximum(both - d_all, 0) / max(total, 1)), math.log(share_all) + lat[:, i])
+                back = np.logaddexp(np.log(seen * np.maximum(both - d_all, 0) / max(total, 1)), math.log(share_all) + lat[:, i])
                 out.append(np.logaddexp(np.log(np.maximum(c[i] - d, 0) / n), math.log(max(share, 1e-12)) + back) / _LOG10)
             return out
 

@@ -289,3 +289,52 @@ def test_urls(spark):
     ]
     assert got == collections.Counter(want)
     assert url_filter.filter_urls(d.limit(0), rules).count() == 0 and url_filter.filter_urls(d, rules.limit(0)).where("rule IS NOT NULL").count() == 0
+
+
+def test_scores_against_the_formula(docs, rows):
+    """The law of the docstring with dictionaries, on top of the adapted lattice (which has a test of its own)."""
+    import numpy as np
+    import pyarrow as pa
+
+    train = [(t, g) for i, t, g, *_ in rows if not (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)]
+    order = [g for g, _ in sorted(collections.Counter(g for _, g in train if g).items(), key=lambda x: (-x[1], x[0]))][: subword_lm.CLASSES - 1]
+    k = len(order) + 1
+    words = lambda t: WORD.findall((t or "").translate(LOW))
+    by, texts_of, n_docs = [collections.Counter() for _ in range(k)], collections.Counter(), [0] * k
+    for t, g in train:
+        c = order.index(g) if g in order else k - 1
+        by[c].update(words(t))
+        n_docs[c] += 1
+        texts_of.update(set(words(t)))
+    both = sum(by, collections.Counter())
+    ends = len(train)
+
+    def law(counts, more):
+        one, two = (sum(v == x for v in counts.values()) for x in (1, 2))
+        d = one / (one + 2 * two) if one else 0.5
+        n = sum(counts.values()) + more
+        return (d, d * (len(counts) + (more > 0)) / n, n) if n else (0.0, 1.0, 1)
+
+    laws = [law(by[i], n_docs[i]) for i in range(k)]
+    d, old, total = law(both, ends)
+    u = min(0.5, sum(both[w] for w in both if texts_of[w] == 1) / total or old)
+    pieces, start = subword_lm.load_pieces()
+    spark = docs.sparkSession
+    held = spark.createDataFrame([(-1 if i is not None and zlib.crc32(str(i).encode()) % 7 == 2 else order.index(g) if g in order else k - 1, t) for i, t, g, *_ in rows], "cls int, text string")
+    lattice = subword_lm.Lattice(pieces, *subword_lm.adapt(subword_lm.count_words(held, k), k, pieces, start))
+    vocab = sorted({w for _, t, *_ in rows for w in words(t)})
+    lat = dict(zip(vocab, lattice.score(*subword_lm.marked(pa.array(vocab))), strict=True))
+
+    def log_p(w, c, n_class, n_both, low):
+        seen = (1 - u) / (1 - old) * max(n_both - d, 0) / total
+        back = np.logaddexp(math.log(seen) if seen else -math.inf, math.log(u) + low)
+        own = max(n_class - laws[c][0], 0) / laws[c][2]
+        return np.logaddexp(math.log(own) if own else -math.inf, math.log(max(laws[c][1], 1e-12)) + back)
+
+    want = []
+    for i, t, *_ in rows:
+        logs = [math.log((n_docs[c] + 0.5) / (ends + 0.5 * k)) + sum(log_p(w, c, by[c][w], both[w], lat[w][c]) for w in words(t)) + log_p(None, c, n_docs[c], sum(n_docs), math.log(1e-4)) for c in range(k)]
+        want.append((str(i), np.logaddexp.reduce(logs) / math.log(10)))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in subword_lm.score_documents(docs, head=20).collect())
+    for (a, x), (b, y) in zip(got, sorted(want), strict=True):
+        assert a == b and math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-6)
