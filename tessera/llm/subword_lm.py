@@ -37,7 +37,7 @@ from tessera.llm.store import cut
 from tessera.llm.textbytes import Block, blocks, spark_long, string_parts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD, PASSES, LONGEST, CLASSES = 150_000, 5, 24, 5
+HEAD, PASSES, LONGEST, CLASSES, SCALE = 150_000, 4, 24, 5, 8.0
 FLUSH = 600_000  # distinct words that a worker holds before it hands them on
 _MARK = "▁".encode()
 _LOG10 = math.log(10.0)
@@ -143,25 +143,58 @@ class Lattice:
         return out
 
     def expected(self, cls: int, data: np.ndarray, offs: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece when each word occurs ``count`` times."""
+        """Expected uses of each piece when each word occurs ``count`` times.
+
+        Probabilities are taken times SCALE a byte, which cancels out; words for which that still leaves the range of floats go by logarithms.
+        """
         total, n = np.zeros(self.size), np.diff(offs)
+        weight = np.append(np.exp(self.logp[cls]), 0.0)
         for rows, width in self._groups(offs):
             rows = rows[count[rows] > 0]
             if not len(rows):
                 continue
-            arcs = self._arcs(data, offs, rows, width)
-            alpha, weights = self._forward(cls, arcs, len(rows), width)
-            last = n[rows]
-            z = alpha[last, np.arange(len(rows))]
-            beta = np.full((width + 1, len(rows)), -np.inf)
-            for i in range(width, -1, -1):
-                terms = [w[:, i] + beta[i + length] for (length, _), w in zip(arcs, weights, strict=True) if i + length <= width]
-                beta[i] = self._lse([*terms, np.where(last == i, 0.0, -np.inf)])
-            for (length, ids), w in zip(arcs, weights, strict=True):
-                ok = ids >= 0
-                r, i = np.nonzero(ok)
+            arcs = [(length, np.ascontiguousarray(ids.T)) for length, ids in self._arcs(data, offs, rows, width)]
+            weights = [weight[ids] * SCALE**length for length, ids in arcs]
+            last, at = n[rows], np.arange(len(rows))
+            alpha, beta = np.zeros((width + 1, len(rows))), np.zeros((width + 1, len(rows)))
+            alpha[0] = 1
+            beta[last, at] = 1
+            with np.errstate(over="ignore", invalid="ignore"):
+                for i in range(1, width + 1):
+                    for (length, _), w in zip(arcs, weights, strict=True):
+                        if length <= i:
+                            alpha[i] += alpha[i - length] * w[i - length]
+                for i in range(width - 1, -1, -1):
+                    for (length, _), w in zip(arcs, weights, strict=True):
+                        if i + length <= width:
+                            beta[i] += w[i] * beta[i + length]
+                fine = np.isfinite(alpha).all(axis=0) & np.isfinite(beta).all(axis=0)
+                z = alpha[last, at]
+                fine &= (z > 1e-250) & (z < 1e250)
+                share = np.where(fine, count[rows] / np.where(fine, z, 1.0), 0.0)
+                for (length, ids), w in zip(arcs, weights, strict=True):
+                    post = alpha[: len(ids)] * w * beta[length : length + len(ids)] * share
+                    used = post > 0
+                    total += np.bincount(ids[used], post[used], self.size)
+            if not fine.all():
+                total += self._expected_by_logs(cls, data, offs, rows[~fine], width, count)
+        return total
+
+    def _expected_by_logs(self, cls: int, data: np.ndarray, offs: np.ndarray, rows: np.ndarray, width: int, count: np.ndarray) -> np.ndarray:
+        arcs = self._arcs(data, offs, rows, width)
+        alpha, weights = self._forward(cls, arcs, len(rows), width)
+        total, last = np.zeros(self.size), np.diff(offs)[rows]
+        z = alpha[last, np.arange(len(rows))]
+        beta = np.full((width + 1, len(rows)), -np.inf)
+        for i in range(width, -1, -1):
+            terms = [w[:, i] + beta[i + length] for (length, _), w in zip(arcs, weights, strict=True) if i + length <= width]
+            beta[i] = self._lse([*terms, np.where(last == i, 0.0, -np.inf)])
+        for (length, ids), w in zip(arcs, weights, strict=True):
+            ok = ids >= 0
+            r, i = np.nonzero(ok)
+            with np.errstate(invalid="ignore"):
                 post = np.exp(alpha[i, r] + w[ok] + beta[i + length, r] - z[r]) * count[rows][r]
-                total += np.bincount(ids[ok], np.nan_to_num(post), self.size)
+            total += np.bincount(ids[ok], np.nan_to_num(post), self.size)
         return total
 
 

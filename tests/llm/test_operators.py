@@ -223,6 +223,12 @@ def test_lattice_against_all_segmentations():
     n = lat.expected(0, *subword_lm.marked(pa.array(["abb"])), np.array([2.0]))
     sizes = np.array([len(p) for p in pieces])
     assert math.isclose((n * sizes).sum(), 2 * len("▁abb".encode()))
+    # Words out of the range of floats go by logarithms, with the same result.
+    long = pa.array(["abba" * 3, "ab" * 1500, "c"])
+    got, ones = lat.expected(0, *subword_lm.marked(long), np.ones(3)), np.ones(3)
+    data, offs = subword_lm.marked(long)
+    by_logs = sum(lat._expected_by_logs(0, data, offs, np.array([i]), int(np.diff(offs)[i]), ones) for i in range(2))
+    assert np.allclose(got, by_logs, rtol=1e-6)
 
 
 def test_scores(docs, rows, none):
