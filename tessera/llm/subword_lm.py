@@ -93,7 +93,7 @@ class Lattice:
             at = (offs[rows][:, None] + place[None, : width - length + 1])[ok]
             h = block.hashes(at, at + length)
             k = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            ids = np.full(ok.shape, -1)
+            ids = np.full(ok.shape, -1, np.int32)
             ids[ok] = np.where(self.sorted[k] == h, self.id[k], -1)
             if (ids >= 0).any():
                 out.append((length, ids))
@@ -105,7 +105,7 @@ class Lattice:
         low = 0
         for high in (8, 12, 16, 24, 40, *(2**k for k in range(6, 40))):
             rows = np.flatnonzero((n > low) & (n <= high))
-            step = max(1, 400_000 // max(1, high))
+            step = max(1, 150_000 // max(1, high))
             for i in range(0, len(rows), step):
                 part = rows[i : i + step]
                 yield part, int(n[part].max())
@@ -122,13 +122,15 @@ class Lattice:
             return safe + np.log(np.exp(m - safe).sum(axis=0))
 
     def _forward(self, cls: int, arcs, rows: int, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Log probabilities of all beginnings of the words, and the weights of the arcs by place."""
         lp = np.append(self.logp[cls], -np.inf)
-        weights = [lp[ids] for _, ids in arcs]
+        weights = [lp[np.ascontiguousarray(ids.T)] for _, ids in arcs]
         alpha = np.full((width + 1, rows), -np.inf)
         alpha[0] = 0
         for i in range(1, width + 1):
-            terms = [alpha[i - length] + w[:, i - length] for (length, _), w in zip(arcs, weights, strict=True) if length <= i]
-            alpha[i] = self._lse(terms)
+            terms = [alpha[i - length] + w[i - length] for (length, _), w in zip(arcs, weights, strict=True) if length <= i]
+            if terms:
+                alpha[i] = self._lse(terms)
         return alpha, weights
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -187,13 +189,13 @@ class Lattice:
         z = alpha[last, np.arange(len(rows))]
         beta = np.full((width + 1, len(rows)), -np.inf)
         for i in range(width, -1, -1):
-            terms = [w[:, i] + beta[i + length] for (length, _), w in zip(arcs, weights, strict=True) if i + length <= width]
+            terms = [w[i] + beta[i + length] for (length, _), w in zip(arcs, weights, strict=True) if i + length <= width]
             beta[i] = self._lse([*terms, np.where(last == i, 0.0, -np.inf)])
         for (length, ids), w in zip(arcs, weights, strict=True):
             ok = ids >= 0
             r, i = np.nonzero(ok)
             with np.errstate(invalid="ignore"):
-                post = np.exp(alpha[i, r] + w[ok] + beta[i + length, r] - z[r]) * count[rows][r]
+                post = np.exp(alpha[i, r] + w[i, r] + beta[i + length, r] - z[r]) * count[rows][r]
             total += np.bincount(ids[ok], np.nan_to_num(post), self.size)
         return total
 
