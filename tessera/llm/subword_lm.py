@@ -37,8 +37,8 @@ from tessera.llm.store import cut
 from tessera.llm.textbytes import Block, blocks, spark_long, string_parts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD, PASSES, LONGEST, CLASSES, SCALE = 150_000, 4, 24, 5, 8.0
-FLUSH = 600_000  # distinct words that a worker holds before it hands them on
+HEAD, PASSES, LONGEST, CLASSES, SCALE = 150_000, 3, 24, 5, 8.0
+FLUSH = 300_000  # distinct words that a worker holds before it hands them on
 _MARK = "▁".encode()
 _LOG10 = math.log(10.0)
 
@@ -245,6 +245,8 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
                         rows = 0
         if held:
             yield from merged().to_batches(max_chunksize=100_000)
+            held.clear()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     made = docs.mapInArrow(apply, "h long, word string, n long, " + ", ".join(f"{x} long" for x in names))
     return made.groupBy("h", "word").agg(*[F.sum(x).alias(x) for x in ("n", *names)])
