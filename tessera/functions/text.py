@@ -95,6 +95,37 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(F.regexp_like(text, p), F.aggregate(zipped, zero, step)["out"]).otherwise(zero["out"])
 
 
+def occurrences(text: Column, pattern: str, radius: int = 50) -> Column:
+    """All matches as array<struct<text, start, end, context>>; the context is the match and ``radius`` characters on both sides."""
+
+    def around(m):
+        lo = F.greatest(m["start"] - radius, F.lit(0))
+        return F.substring(text, (lo + 1).cast("int"), (m["end"] + radius - lo).cast("int"))
+
+    return F.transform(find_all(text, pattern), lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), around(m).alias("context")))
+
+
+def iso_date(ts: Column) -> Column:
+    """A time as ISO 8601 in UTC with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def seeded_units(seed: Column, n: int) -> Column:
+    """``n`` numbers from 0 to 1 of a 32-bit xorshift generator that starts from the seed (0: from 123456789)."""
+    low = F.lit(0xFFFFFFFF)
+    start = seed.cast("long").bitwiseAND(low)
+
+    def step(acc, _):
+        x = acc["x"]
+        x = x.bitwiseXOR(F.shiftleft(x, 13).bitwiseAND(low))
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, 17))
+        x = x.bitwiseXOR(F.shiftleft(x, 5).bitwiseAND(low))
+        return F.struct(x.alias("x"), F.concat(acc["out"], F.array(x / low)).alias("out"))
+
+    zero = F.struct(F.when(start == 0, F.lit(123456789).cast("long")).otherwise(start).alias("x"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), zero, step)["out"]
+
+
 def word_pattern(word: Column, before: str = "") -> Column:
     """Pattern of the word, maybe with a plural s, between ASCII word boundaries; the word is quoted."""
     return F.concat(F.lit("(?i)(?<![A-Za-z0-9_])" + before + r"\Q"), word, F.lit(r"\Es?(?![A-Za-z0-9_])"))

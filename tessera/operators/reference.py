@@ -8,6 +8,7 @@ earlier behaviour. See ``Options`` for window, nouns and synonyms.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,11 +55,14 @@ def forward_matches(text: Column) -> Column:
     return F.filter(all_, lambda m, i: (i == 0) | ~((F.try_element_at(all_, F.greatest(i, F.lit(1)))["start"] == m["start"]) & (F.try_element_at(all_, F.greatest(i, F.lit(1)))["end"] == m["end"])))
 
 
-def forward_refs(df: DataFrame, text: str, nouns: list[str]) -> DataFrame:
-    """A row for each forward reference: keys, span, head ('' unless a known noun follows), start, end."""
+def forward_refs(df: DataFrame, text: str, nouns: list[str], more: str | None = None) -> DataFrame:
+    """A row for each forward reference: keys, span, head ('' unless a known noun follows), start, end. ``more``: a column of further nouns."""
     d = df.withColumn("m", F.explode(forward_matches(F.col(text))))
     noun = T.normalize_noun(F.col("m.value"))
-    known = (F.col("m.value") != "") & (F.col("m.value").isin(*nouns) | noun.isin(*nouns))
+    known = F.col("m.value").isin(*nouns) | noun.isin(*nouns)
+    if more:
+        known = known | F.array_contains(more, F.col("m.value")) | F.array_contains(more, noun)
+    known = (F.col("m.value") != "") & known
     return d.select(*df.columns, F.col("m.text").alias("span"), F.col("m.value").alias("raw"), F.when(known, noun).otherwise(F.lit("")).alias("head"), F.col("m.start").alias("start"), F.col("m.end").alias("end"))
 
 
@@ -68,11 +72,75 @@ def bare_mentions(text: Column, nouns: list[str]) -> Column:
     return F.filter(F.array(*[F.lit(n) for n in nouns]), lambda n: F.regexp_like(low, T.word_pattern(n, NOT_THE)))
 
 
-def candidates(cases: DataFrame, options: Options = Options()) -> DataFrame:
-    """All candidates with what resolved them: method (null if nothing), penalty, confidence and matched word of the pattern check."""
+def is_verb(word: Column) -> Column:
+    """Whether a lower-case word is a verb form of the list, maybe with -s, -ed or -ing."""
+    stem = lambda n: F.left(word, F.length(word) - n)
+    return word.isin(*L.VERBS) | (F.endswith(word, F.lit("ing")) & stem(3).isin(*L.VERBS)) | (F.endswith(word, F.lit("ed")) & stem(2).isin(*L.VERBS)) | (F.endswith(word, F.lit("s")) & stem(1).isin(*L.VERBS))
+
+
+def extracted_nouns(text: Column, entities: Column, verbs: bool = True) -> Column:
+    """Nouns behind any determiner, and entities, each with its singular."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(L.ANY_DETERMINER), F.lit(2)), F.lower)
+    found = F.filter(found, lambda w: ~w.isin(*L.STOP_WORDS) & (~is_verb(w) if verbs else F.lit(True)))
+    both = F.concat(found, entities)
+    return F.array_distinct(F.concat(both, F.transform(both, T.normalize_noun)))
+
+
+def extracted_phrases(text: Column, entities: Column) -> Column:
+    """Definite noun phrases and entities: array<struct<start, head, end, span>> by start; of equal (start, head) the longest text.
+
+    An entity counts at its first place, from the determiner before it on.
+    """
+    shape = lambda start, head, end, span: F.struct(start.cast("long").alias("start"), head.alias("head"), (-end).cast("long").alias("back"), span.alias("span"))
+    np = F.filter(T.find_all(text, L.DEFINITE_NP, 2), lambda m: ~F.lower(m["value"]).isin(*L.STOP_WORDS) & ~is_verb(F.lower(m["value"])) & ~F.startswith(F.lower(m["text"]), F.lit("aforementioned")))
+    np = F.transform(np, lambda m: shape(m["start"], T.normalize_noun(m["value"]), m["end"], m["text"]))
+
+    def placed(w):
+        at = F.instr(F.lower(text), w) - 1
+        ahead = F.substring(text, F.greatest(at - 9, F.lit(1)), F.least(at, F.lit(10)))
+        start = at - F.length(F.regexp_extract(ahead, r"(?i)(?<![A-Za-z0-9_])(the|this|that|these|those|a|an)\s*$", 0))
+        end = at + F.length(w)
+        return shape(start, T.normalize_noun(w), end, F.substring(text, start + 1, end - start))
+
+    named = F.transform(F.filter(entities, lambda w: F.instr(F.lower(text), w) > 0), placed)
+    both = F.sort_array(F.concat(np, named))
+    before = lambda i: F.try_element_at(both, F.greatest(i, F.lit(1)))
+    kept = F.filter(both, lambda m, i: (i == 0) | (before(i)["start"] != m["start"]) | (before(i)["head"] != m["head"]))
+    return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["head"].alias("head"), (-m["back"]).alias("end"), m["span"].alias("span")))
+
+
+def dynamic_forward(text: Column) -> Column:
+    """"the X below" for any X: array<struct<start, head, end, span>>."""
+    return F.transform(T.find_all(text, L.DYNAMIC_FORWARD, 2), lambda m: F.struct(m["start"].alias("start"), T.normalize_noun(m["value"]).alias("head"), m["end"].alias("end"), m["text"].alias("span")))
+
+
+def extracted_candidates(v: DataFrame, nouns: list[str]) -> DataFrame:
+    """Candidates of the extraction mode, from views with ``more`` nouns and the entities of the current text, ``named``."""
+    row = lambda found, forward: v.withColumn("m", F.explode(found)).select(*v.columns, "m.span", F.lit(None).cast("string").alias("raw"), "m.head", "m.start", "m.end", F.lit(forward).alias("forward"))
+    fixed = forward_matches(F.col("cur"))
+    # A range that a fixed pattern gives the same head is not repeated.
+    noun = lambda m: T.normalize_noun(m["value"])
+    known = lambda m: (m["value"] != "") & (m["value"].isin(*nouns) | noun(m).isin(*nouns) | F.array_contains("more", m["value"]) | F.array_contains("more", noun(m)))
+    new = F.filter(dynamic_forward(F.col("cur")), lambda d: ~F.exists(fixed, lambda m: (m["start"] == d["start"]) & known(m) & (noun(m) == d["head"])))
+    forward = forward_refs(v, "cur", nouns, "more").withColumn("forward", F.lit(True))
+    return row(extracted_phrases(F.col("cur"), F.col("named")), False).unionByName(forward).unionByName(row(new, True))
+
+
+def candidates(cases: DataFrame, options: Options = Options(), entities: Callable[[Column], Column] | None = None) -> DataFrame:
+    """All candidates with what resolved them: method (null if nothing), penalty, confidence and matched word of the pattern check.
+
+    With ``use_nlp`` all definite phrases and entities are candidates, not those of known nouns alone; ``entities`` finds a text's entities.
+    """
     nouns = L.nouns(list(options.reference_heads))
     v = views(cases, options)
-    both = definite_phrases(v, "cur", nouns).withColumn("forward", F.lit(False)).unionByName(forward_refs(v, "cur", nouns).withColumn("forward", F.lit(True)))
+    if options.use_nlp:
+        named = entities or (lambda _: F.array().cast("array<string>"))
+        v = v.withColumn("named", F.coalesce(named(F.col("cur")), F.array())).withColumn("named_before", F.coalesce(named(F.col("hist")), F.array()))
+        v = v.withColumn("more", F.array_union(extracted_nouns(F.col("cur"), F.col("named")), extracted_nouns(F.col("hist"), F.col("named_before"))))
+        both = extracted_candidates(v, nouns)
+    else:
+        both = definite_phrases(v, "cur", nouns).withColumn("forward", F.lit(False)).unionByName(forward_refs(v, "cur", nouns).withColumn("forward", F.lit(True)))
+    is_noun = lambda s: s.isin(*nouns) | F.array_contains("more", s) if options.use_nlp else s.isin(*nouns)
     synonyms = L.synonyms(options.synonyms)
     table = F.create_map(*[x for h, s in synonyms.items() for x in (F.lit(h), F.array(*[F.lit(y) for y in s]))])
     of = lambda head: F.coalesce(F.try_element_at(table, head), F.array(head))
@@ -85,7 +153,7 @@ def candidates(cases: DataFrame, options: Options = Options()) -> DataFrame:
     d = d.withColumn("syns", of(F.col("head"))).withColumn("asked_syns", of(F.col("asked")))
     has = lambda text, w, before="": F.regexp_like(F.col(text), T.word_pattern(w, before))
     some = lambda text, arr, before="": F.exists(arr, lambda s: F.regexp_like(F.col(text), T.word_pattern(s, before)))
-    bare_too = lambda arr: F.exists(arr, lambda s: s.isin(*nouns) & F.regexp_like(F.col("raw_before"), T.word_pattern(s, NOT_THE)) & F.regexp_like(F.col("before"), T.word_pattern(s, NOT_OTHER + "(?<!the )")))
+    bare_too = lambda arr: F.exists(arr, lambda s: is_noun(s) & F.regexp_like(F.col("raw_before"), T.word_pattern(s, NOT_THE)) & F.regexp_like(F.col("before"), T.word_pattern(s, NOT_OTHER + "(?<!the )")))
     pattern = lambda text: has(text, F.col("asked")) | some(text, "asked_syns")
     empty = (F.col("head") == "") & F.lit(not options.strict_forward_refs)
     method = (
@@ -161,9 +229,5 @@ def noun_phrases(df: DataFrame, text: str, verbs: bool = True) -> DataFrame:
     """Definite noun phrases whose head is neither a stop word nor (if ``verbs``) a verb; of equal (start, head) the longest text."""
     d = definite_phrases(df, text).where(~F.col("raw").isin(*L.STOP_WORDS))
     if verbs:
-        forms = L.VERBS
-        base = F.col("raw")
-        stem = lambda n: F.left(base, F.length(base) - n)
-        verb = base.isin(*forms) | (F.endswith(base, F.lit("ing")) & stem(3).isin(*forms)) | (F.endswith(base, F.lit("ed")) & stem(2).isin(*forms)) | (F.endswith(base, F.lit("s")) & stem(1).isin(*forms))
-        d = d.where(~verb)
+        d = d.where(~is_verb(F.col("raw")))
     return d.groupBy(*df.columns, "start", "head").agg(F.max_by("span", F.length("span")).alias("span"))

@@ -25,6 +25,10 @@ class Models:
     entail: Callable[[list[str], list[str]], list[float]] | None = None
     entities: Callable[[list[str]], list[list[tuple[str, str]]]] | None = None
 
+    def available(self) -> dict[str, bool]:
+        """Which models there are."""
+        return {"embed": self.embed is not None, "entail": self.entail is not None, "entities": self.entities is not None}
+
 
 def embed_udf(model: Callable | None):
     if model is None:
@@ -48,19 +52,42 @@ def entail_udf(model: Callable | None):
     return run
 
 
+def entity_udf(model: Callable | None):
+    """Nouns that a tagger finds in a text: entities of known types, 3 characters or more, no stop words, lower-case, each once."""
+    if model is None:
+        return lambda c: F.array().cast("array<string>")
+    types, stop = set(L.ENTITY_TYPES), set(L.STOP_WORDS)
+
+    @F.pandas_udf("array<string>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            got = model(s.fillna("").tolist())
+            yield pd.Series([list(dict.fromkeys(w.lower().strip() for w, t in g if t.split("-")[-1].upper() in types and len(w.strip()) >= 3 and w.lower().strip() not in stop)) for g in got], index=s.index)
+
+    return run
+
+
+def pieces(text: Column, options: Options = Options()) -> Column:
+    """What a reference is compared with: key phrases, sentences, chunks (of long texts) or the whole text, which also stands in for none."""
+    if options.use_phrases or options.use_sentences:
+        parts = T.key_phrases(text) if options.use_phrases else T.sentences(text)
+        return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    cut = F.length(text) > 1000 if options.use_chunks is None else F.lit(options.use_chunks)
+    return F.when(cut, T.chunks(text, options.chunk_size, options.chunk_overlap)).otherwise(F.array(text))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Cosine clamped to 0 and 1; null without vectors."""
     return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), T.cosine(a, b))))
 
 
 def best_scores(pairs: DataFrame, models: Models, options: Options = Options()) -> DataFrame:
-    """pairs: (key, reference, context). Adds similarity (best over chunks or sentences) and entailment (best over hypotheses)."""
-    text = F.col("context")
-    pieces = F.when(F.length(text) > 1000, T.chunks(text, options.chunk_size, options.chunk_overlap)).otherwise(F.array(text))
+    """pairs: (key, reference, context). Adds similarity (best over the context's pieces) and entailment (best over hypotheses)."""
     ref = pairs.withColumn("r_", embed_udf(models.embed)(F.col("reference")))
-    parts = ref.withColumn("piece", F.explode(pieces)).withColumn("p_", embed_udf(models.embed)(F.col("piece")))
+    parts = ref.withColumn("piece", F.explode(pieces(F.col("context"), options))).withColumn("p_", embed_udf(models.embed)(F.col("piece")))
     sim = parts.groupBy("key").agg(F.max(similarity(F.col("r_"), F.col("p_"))).alias("similarity"))
-    hyp = pairs.withColumn("hypothesis", F.explode(T.hypotheses(F.col("reference")))).withColumn("e_", entail_udf(models.entail)(F.col("context"), F.col("hypothesis")))
+    say = T.hypotheses(F.col("reference"))
+    hyp = pairs.withColumn("hypothesis", F.explode(say if options.use_many_hypotheses else F.slice(say, 1, 1))).withColumn("e_", entail_udf(models.entail)(F.col("context"), F.col("hypothesis")))
     ent = hyp.groupBy("key").agg(F.max("e_").alias("entailment"))
     return pairs.join(sim, "key").join(ent, "key")
 
@@ -131,16 +158,5 @@ def conflict_rule(cases: DataFrame, models: Models, options: Options = Options()
 
 
 def entities(df: DataFrame, text: str, models: Models) -> DataFrame:
-    """Nouns a tagger finds: keys, noun; entities of known types, 3 characters or more, no stop words. Empty without a model."""
-    keys, schema = df.columns, df.schema
-    tag = models.entities
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            got = tag(p[text].fillna("").tolist()) if tag else [[] for _ in range(len(p))]
-            p = p.assign(noun=[[w.lower() for w, t in g if t.split("-")[-1].upper() in L.ENTITY_TYPES and len(w) >= 3 and w.lower() not in L.STOP_WORDS] for g in got])
-            yield p.explode("noun").dropna(subset=["noun"])
-
-    from pyspark.sql import types as Ty
-
-    return df.mapInPandas(run, Ty.StructType([*schema.fields, Ty.StructField("noun", Ty.StringType())])).select(*keys, "noun")
+    """A row for each noun that the tagger finds: keys, noun. Empty without a model."""
+    return df.select("*", F.explode(entity_udf(models.entities)(F.col(text))).alias("noun"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tessera import lexicon as L
 from tessera.plans.evaluate import DEFAULT_SETS, FLAGS
-from tessera.queries import EXPECTED, INJECTED, MODEL, SCHEMA
+from tessera.queries import EXPECTED, INJECTED, MODEL, SCHEMA, TAGS
 
 
 def _duck(pattern: str) -> str:
@@ -117,27 +117,58 @@ _OTHERS = ("this ", "that ", "a ", "an ", "some ", "any ", "each ", "every ")
 _THE = "the[ \\n\\t]"
 
 
-def _reference(*after: str) -> list[str]:
+_VERB_FORMS = _list(dict.fromkeys(v + x for v in L.VERBS for x in ("", "s", "ed", "ing")))
+
+
+def _tags(text: str) -> str:
+    for code, p in L.TAGGED:
+        text = f"regexp_replace({text}, '{_duck(p)}', '\\0[{code}]', 'g')"
+    return text
+
+
+def _more(column: str) -> str:
+    """Nouns that stand behind a determiner, with their singulars, by conversation."""
+    found = f"SELECT conv_id, lower(value) AS w FROM ({_scan('views', 'conv_id', column, L.ANY_DETERMINER, 2)})"
+    return f"SELECT conv_id, unnest([w, {_singular('w')}]) AS w FROM ({found}) WHERE w NOT IN {_list(L.STOP_WORDS)} AND w NOT IN {_VERB_FORMS}"
+
+
+def _extracted(definite: str, forward: str) -> list[str]:
+    """The tables of candidates in extraction mode."""
+    dynamic = f"SELECT conv_id, span, {_singular('lower(value)')} AS head, pos FROM ({_scan('views', 'conv_id', 'cur', L.DYNAMIC_FORWARD, 2)})"
+    known = f"noun <> '' AND (noun IN {_NOUNS} OR {_singular('noun')} IN {_NOUNS} OR (conv_id, noun) IN (SELECT conv_id, w FROM more) OR (conv_id, {_singular('noun')}) IN (SELECT conv_id, w FROM more))"
+    return [
+        f"more AS (SELECT DISTINCT conv_id, w FROM ({_more('cur')} UNION ALL {_more('hist')}))",
+        f"dn AS (SELECT conv_id, false AS forward, span, head, pos FROM ({definite}) WHERE raw NOT IN {_list(L.STOP_WORDS)} AND raw NOT IN {_VERB_FORMS} AND NOT starts_with(lower(span), 'aforementioned'))",
+        f"fx AS (SELECT conv_id, true AS forward, span, CASE WHEN {known} THEN {_singular('noun')} ELSE '' END AS head, pos FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, pos, length(span) ORDER BY k) AS r FROM ({forward})) WHERE r = 1)",
+        f"fw AS (SELECT * FROM fx UNION ALL SELECT conv_id, true, span, head, pos FROM ({dynamic}) d WHERE NOT EXISTS (SELECT 1 FROM fx WHERE fx.conv_id = d.conv_id AND fx.pos = d.pos AND fx.head = d.head))",
+    ]
+
+
+def _reference(*after: str, nlp: bool = False) -> list[str]:
     """Views, candidates and what resolves each of them; then the given tables."""
+    listed = lambda x: f"({x} IN {_NOUNS} OR (conv_id, {x}) IN (SELECT conv_id, w FROM more))" if nlp else f"{x} IN {_NOUNS}"
     span = "(the|this|that|these|those|aforementioned)"
     syn = "syn(s_head, syns) AS (VALUES " + ", ".join(f"('{h}', [" + ", ".join(f"'{x}'" for x in xs) + "])" for h, xs in L.synonyms().items()) + ")"
     forward = " UNION ALL ".join(f"SELECT conv_id, {i} AS k, span, {'lower(value)' if i == 0 else chr(39) * 2} AS noun, pos FROM ({_scan('views', 'conv_id', 'cur', p, 1 if i == 0 else 0)})" for i, p in enumerate(L.FORWARD_REFS))
     definite = f"SELECT conv_id, span, lower(value) AS raw, {_singular('lower(value)')} AS head, pos FROM ({_scan('views', 'conv_id', 'cur', L.DEFINITE_NP, 2)})"
-    return [
-        _TURNS, _TEXTS, _LAST, _VIEWS, syn,
+    taxonomy = [
         f"dn AS (SELECT conv_id, false AS forward, span, head, pos FROM ({definite}) WHERE raw IN {_NOUNS} OR head IN {_NOUNS})",
         f"fw AS (SELECT conv_id, true AS forward, span, CASE WHEN noun <> '' AND (noun IN {_NOUNS} OR {_singular('noun')} IN {_NOUNS}) THEN {_singular('noun')} ELSE '' END AS head, pos FROM "
         f"(SELECT *, row_number() OVER (PARTITION BY conv_id, pos, length(span) ORDER BY k) AS r FROM ({forward})) WHERE r = 1)",
+    ]
+    return [
+        _TURNS, _TEXTS, _LAST, _VIEWS, syn,
+        *(_extracted(definite, forward) if nlp else taxonomy),
         f"cd AS (SELECT row_number() OVER () AS k, c.*, attached, {_phrase('hist')} AS h, len(string_split_regex(trim(hist), '\\s+')) > 40 AS far, lower(substr(cur, 1, pos)) AS raw_before, {_phrase('substr(cur, 1, pos)')} AS before, "
         f"CASE WHEN forward THEN {_phrase('substr(cur, pos + length(span) + 1)')} ELSE '' END AS after, {_phrase('span')} AS ref FROM (SELECT * FROM dn UNION ALL SELECT * FROM fw) c JOIN views USING (conv_id))",
         f"ask AS (SELECT *, CASE WHEN word <> '' THEN {_singular('word')} ELSE string_split_regex(ref, '\\s+')[-1] END AS asked FROM (SELECT *, regexp_extract(ref, '\\b{span}\\s+([a-z][a-z0-9_-]{{2,}})\\b', 2) AS word FROM cd))",
         "two AS (SELECT ask.*, coalesce(a.syns, [head]) AS syns, coalesce(b.syns, [asked]) AS asked_syns FROM ask LEFT JOIN syn a ON a.s_head = head LEFT JOIN syn b ON b.s_head = asked)",
         f"s1 AS (SELECT k, bool_or({_has('h', 'x')}) AS in_h, bool_or({_has('after', 'x')}) AS in_after FROM (SELECT k, h, after, unnest(asked_syns) AS x FROM two) GROUP BY k)",
         f"s2 AS (SELECT k, bool_or({_behind('h', 'x', *_OTHERS)}) AS syn_h, bool_or({_behind('before', 'x', *_OTHERS, 'the ')}) AS syn_before, "
-        f"bool_or(x IN {_NOUNS} AND {_behind('raw_before', 'x', _THE)} AND {_behind('before', 'x', *_OTHERS, 'the ')}) AS bare, bool_or(contains(attached, x)) AS held FROM (SELECT k, h, before, raw_before, attached, unnest(syns) AS x FROM two) GROUP BY k)",
+        f"bool_or({listed('x')} AND {_behind('raw_before', 'x', _THE)} AND {_behind('before', 'x', *_OTHERS, 'the ')}) AS bare, bool_or(contains(attached, x)) AS held FROM (SELECT k, conv_id, h, before, raw_before, attached, unnest(syns) AS x FROM two) GROUP BY k)",
         f"judged AS (SELECT two.*, CASE WHEN {_has('h', 'asked')} OR in_h THEN 'pattern' WHEN forward AND after <> '' AND ({_has('after', 'asked')} OR in_after) THEN 'pattern' "
         f"WHEN head <> '' AND far AND {_has('h', 'head')} THEN 'exact' WHEN head <> '' AND NOT far AND {_behind('before', 'head', 'the ')} THEN 'exact' WHEN head <> '' AND far AND syn_h THEN 'synonym' WHEN head <> '' AND NOT far AND syn_before THEN 'synonym' "
-        f"WHEN head <> '' AND head IN {_NOUNS} AND {_behind('raw_before', 'head', _THE)} AND {_behind('before', 'head', *_OTHERS, 'the ')} THEN 'memory' WHEN head <> '' AND bare THEN 'synonym' WHEN head = '' OR contains(attached, head) OR held THEN 'attachment' END AS method "
+        f"WHEN head <> '' AND {listed('head')} AND {_behind('raw_before', 'head', _THE)} AND {_behind('before', 'head', *_OTHERS, 'the ')} THEN 'memory' WHEN head <> '' AND bare THEN 'synonym' WHEN head = '' OR contains(attached, head) OR held THEN 'attachment' END AS method "
         "FROM two JOIN s1 USING (k) JOIN s2 USING (k))",
         *after,
     ]
@@ -306,4 +337,35 @@ ORACLES = {
         _TURNS, _TEXTS, _SETS, _RUNS, "det AS (SELECT DISTINCT case_id, unnest(detected) AS code FROM runs WHERE parameter_set = 'baseline')", f"want AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS case_id, {EXPECTED} AS code FROM conversations)",
         q="SELECT kind, code, count(*) AS n FROM (SELECT 'hit' AS kind, * FROM (SELECT * FROM det INTERSECT SELECT * FROM want) UNION ALL SELECT 'extra', * FROM (SELECT * FROM det EXCEPT SELECT * FROM want)) GROUP BY ALL",
     ),
+    "label_references": _with(
+        _TURNS, "f AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, {i} AS k, '{t}' AS type, span, pos FROM ({_scan('turns', 'conv_id, turn', 'text', p)})" for i, (p, t) in enumerate(L.LABEL_REFERENCES)) + ")",
+        q="SELECT conv_id, turn, pos, lower(span) AS span, type FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, pos, length(span) ORDER BY k) AS r FROM f) WHERE r = 1",
+    ),
+    "tagged_prompts": _with(_TURNS, q="SELECT conv_id, turn, md5(" + _tags(f"({TAGS})") + ") AS digest FROM turns"),
+    "valid_messages": _with(
+        _TURNS, q="SELECT c.conv_id, coalesce(n, 2) AS n, md5(coalesce(m, 'You are a helpful assistant.' || chr(10) || 'Hello')) AS digest FROM (SELECT DISTINCT conv_id FROM turns) c LEFT JOIN (SELECT conv_id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS m FROM turns "
+        f"WHERE length(text) % 3 <> 0 AND role IN {_list(L.ROLES)} GROUP BY conv_id) g USING (conv_id)",
+    ),
+    "case_allocation": (
+        "WITH s AS (SELECT i, 303 // 8 + CASE WHEN i < 303 % 8 THEN 1 ELSE 0 END AS n FROM range(8) t(i)) SELECT 'sector ' || i AS sector, 'pattern ' || j AS pattern, CAST(n // 5 + CASE WHEN j < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS cases FROM s, range(5) u(j)"
+    ),
+    "seeded_units": (
+        "WITH " + ", ".join(
+            f"x{i} AS (SELECT doc_id, xor(c, (c << 5) & 4294967295) AS x{''.join(f', u{j}' for j in range(i))}, NULL AS n FROM (SELECT *, xor(b, b >> 17) AS c FROM (SELECT *, xor(a, (a << 13) & 4294967295) AS b FROM "
+            + ("(SELECT doc_id, CASE WHEN doc_id & 4294967295 = 0 THEN 123456789 ELSE doc_id & 4294967295 END AS a FROM documents)" if i == 0 else f"(SELECT doc_id, x AS a{''.join(f', u{j}' for j in range(i - 1))}, round(x / 4294967295.0::DOUBLE, 9) AS u{i - 1} FROM x{i - 1})")
+            + "))))" for i in range(3)
+        ).replace("))))", ")))") + " SELECT doc_id, u0, u1, round(x / 4294967295.0::DOUBLE, 9) AS u2 FROM x2"
+    ),
+    "conflict_context": _with(_TURNS, _TEXTS, q=f"SELECT conv_id, pos, span AS text, md5(substr(text, greatest(pos - 50, 0) + 1, pos + length(span) + 50 - greatest(pos - 50, 0))) AS context FROM ({_scan('texts', 'conv_id', 'text', L.VERBOSE)})"),
+    "dynamic_forward": _with(_TURNS, f"t AS (SELECT conv_id, turn, {TAGS} AS tagged FROM turns)", q=f"SELECT conv_id, turn, {_singular('lower(value)')} AS head, pos, lower(span) AS span FROM ({_scan('t', 'conv_id, turn', 'tagged', L.DYNAMIC_FORWARD, 2)})"),
+    "extracted_nouns": _with(
+        _TURNS, f"w AS (SELECT conv_id, turn, lower(value) AS w FROM ({_scan('turns', 'conv_id, turn', 'text', L.ANY_DETERMINER, 2)}))", f"ok AS (SELECT * FROM w WHERE w NOT IN {_list(L.STOP_WORDS)} AND w NOT IN {_VERB_FORMS})",
+        q=f"SELECT noun, count(*) AS n FROM (SELECT conv_id, turn, w AS noun FROM ok UNION SELECT conv_id, turn, {_singular('w')} FROM ok) GROUP BY noun",
+    ),
+    "extracted_phrases": _with(_TURNS, _NP, q=f"SELECT conv_id, turn, head, pos, lower(span) AS span FROM np WHERE raw NOT IN {_list(L.STOP_WORDS)} AND raw NOT IN {_VERB_FORMS} AND NOT starts_with(lower(span), 'aforementioned')"),
+    "methods_used": _with(
+        *_reference(*_REFERENCE_ISSUES), q="SELECT CAST(conv_id AS VARCHAR) AS case_id, CASE WHEN cue AND uncovered > 0 THEN 'none,pattern' WHEN cue THEN 'none' ELSE 'pattern' END AS methods FROM flagged",
+    ),
+    "nlp_reference_issues": _with(*_reference(*_REFERENCE_ISSUES, nlp=True), q="SELECT CAST(conv_id AS VARCHAR) AS case_id, detail, confidence, first_char FROM ri"),
+    "iso_dates": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,19 +42,26 @@ def accuracy(detected: Column, expected: Column) -> Column:
     return F.when(F.size(expected) > 0, F.struct(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), p.alias("precision"), r.alias("recall"), f1.alias("f1")))
 
 
-def results(cases: DataFrame, options_by_set: dict[str, Options], expected: str = "expected_issue_codes", iterations: int = 1) -> DataFrame:
-    """Result rows of real runs: the issue table is planned once a set; latency is the set's wall time spread over its cases."""
-    out = []
+def results(cases: DataFrame, options_by_set: dict[str, Options], expected: str = "expected_issue_codes", iterations: int = 1, models=None) -> DataFrame:
+    """Result rows of real runs: each set is run over all cases and timed; latency is its wall time, in milliseconds a case."""
+    out, n = [], max(cases.count(), 1)
     for name, options in options_by_set.items():
+        found = report.issue_table(cases, options, models).groupBy("case_id").agg(F.sort_array(F.collect_list("code")).alias("detected"), F.count("*").alias("issues_total"))
+        d = cases.join(found, "case_id", "left").withColumn("detected", F.coalesce("detected", F.array())).withColumn("issues_total", F.coalesce("issues_total", F.lit(0)))
+        d = d.withColumn("accuracy", accuracy(F.col("detected"), F.coalesce(F.col(expected), F.array().cast("array<string>"))))
         for i in range(iterations):
-            began = time.time()
-            found = report.issue_table(cases, options).groupBy("case_id").agg(F.sort_array(F.collect_list("code")).alias("detected"), F.count("*").alias("issues_total"))
-            d = cases.join(found, "case_id", "left").withColumn("detected", F.coalesce("detected", F.array())).withColumn("issues_total", F.coalesce("issues_total", F.lit(0)))
-            d = d.withColumn("accuracy", accuracy(F.col("detected"), F.coalesce(F.col(expected), F.array().cast("array<string>"))))
-            out.append(d.select("case_id", F.lit(name).alias("parameter_set"), F.lit(i + 1).alias("iteration"), F.lit((time.time() - began) * 1000).alias("latency"), "issues_total", "detected", "accuracy", F.lit(None).cast("string").alias("error")))
+            began = time.perf_counter()
+            found.write.format("noop").mode("overwrite").save()
+            each = (time.perf_counter() - began) * 1000 / n
+            out.append(d.select("case_id", F.lit(name).alias("parameter_set"), F.lit(i + 1).alias("iteration"), F.lit(each).alias("latency"), "issues_total", "detected", "accuracy", F.lit(None).cast("string").alias("error")))
     return reduce(DataFrame.unionByName, out)
 
 
+def modes(options: Options = Options()) -> dict[str, Options]:
+    """The options of the four-mode comparison: patterns alone, with embeddings, with entailment, with both."""
+    return {name: replace(options, use_semantic=s, use_nli=e) for name, s, e in (("baseline", False, False), ("semantic", True, False), ("nli", False, True), ("both", True, True))}
+
+
 def summary_by_set(rows: DataFrame) -> DataFrame:
     """Per set: runs, mean latency over all runs, issues, share without error, and means of accuracy where there is any."""
     return rows.groupBy("parameter_set").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -45,8 +46,10 @@ def issue_table(cases: DataFrame, options: Options = Options(), models: semantic
     for code, rule in RULES.items():
         if code in options.disabled_rules:
             continue
-        if models and code == "MISSING_REFERENCE" and (options.use_semantic or options.use_nli):
-            found = semantic.resolve(reference.candidates(cases, options), models, options)
+        if models and code == "MISSING_REFERENCE" and (options.use_semantic or options.use_nli or options.use_nlp):
+            found = reference.candidates(cases, options, semantic.entity_udf(models.entities))
+            if options.use_semantic or options.use_nli:
+                found = semantic.resolve(found, models, options)
             parts.append(reference.report(reference.views(cases, options), found))
         elif models and code == "CONFLICTING_INSTRUCTION" and (models.embed or models.entail):
             parts.append(semantic.conflict_rule(cases, models, options))
@@ -76,3 +79,27 @@ def analyze(cases: DataFrame, options: Options = Options(), models: semantic.Mod
     d = d.withColumn("summary_of", summary).withColumn("issues", F.coalesce("issues", F.array()))
     advice = F.flatten(F.transform("issues", lambda i: F.transform(i["suggestions"], lambda s: F.struct(s["type"].alias("type"), s["text"].alias("text"), i["id"].alias("for")))))
     return d.select("case_id", "issues", advice.alias("suggestions"), "cost", F.col("summary_of").alias("summary"))
+
+
+def methods_used(found: DataFrame) -> DataFrame:
+    """(case_id, methods): the distinct methods that judged a case's references, sorted."""
+    refs = found.where("code = 'MISSING_REFERENCE'")
+    per = refs.select("case_id", F.array_sort(F.array_distinct(F.filter(F.transform("occurrences", lambda o: o["fulfillment_method"]), lambda m: m.isNotNull()))).alias("methods"))
+    return per
+
+
+def rule_timings(cases: DataFrame, options: Options = Options(), models: semantic.Models | None = None) -> dict[str, float]:
+    """Milliseconds of each rule that is switched on, run by itself over all cases."""
+    out = {}
+    for code in RULES:
+        if code not in options.disabled_rules:
+            began = time.perf_counter()
+            issue_table(cases, options.without(*[c for c in RULES if c != code]), models).write.format("noop").mode("overwrite").save()
+            out[code] = (time.perf_counter() - began) * 1000
+    return out
+
+
+def attach(cases: DataFrame, options: Options = Options(), models: semantic.Models | None = None) -> DataFrame:
+    """The cases with their reports in a column, for ``cases.transform(attach)`` ahead of a model call."""
+    r = analyze(cases, options, models)
+    return cases.join(r.select("case_id", F.struct(*r.columns).alias("report")), "case_id", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import lexicon as L
 from tessera.functions import text as T
-from tessera.operators import conflicts, placeholders, reference, schema, semantic, tokens
+from tessera.operators import conflicts, labels, placeholders, reference, schema, semantic, tokens
 from tessera.options import Options
 from tessera.plans import evaluate, report
 from tessera.session import table
@@ -374,6 +374,68 @@ def set_ops_codes(s, d):
     return hit.withColumn("kind", F.lit("hit")).union(extra.withColumn("kind", F.lit("extra"))).groupBy("kind", "code").agg(F.count("*").alias("n"))
 
 
+TAGS = """concat(text, CASE (conv_id + turn) % 6 WHEN 0 THEN ' Go on as discussed earlier, then continue the list.' WHEN 1 THEN ' Respond in one sentence but also deliver an exhaustive tutorial.'
+ WHEN 2 THEN ' Output only valid JSON; then include a friendly narrative.' WHEN 3 THEN ' Please do not exceed 4,096 tokens.' WHEN 4 THEN ' See the rows below and the steps below.' ELSE '' END)"""
+
+
+def label_references(s, d):
+    r = turns(s, d).select("conv_id", "turn", F.explode(labels.references(F.col("text"))).alias("r"))
+    return r.select("conv_id", "turn", F.col("r.start").alias("pos"), F.lower("r.text").alias("span"), "r.type")
+
+
+def tagged_prompts(s, d):
+    return turns(s, d).selectExpr("conv_id", "turn", f"{TAGS} AS text").select("conv_id", "turn", F.md5(labels.tagged(F.col("text"))).alias("digest"))
+
+
+def valid_messages(s, d):
+    m = "transform(messages, m -> struct(CASE WHEN length(m.content) % 3 = 0 THEN 'tool' ELSE m.role END AS role, m.content AS content))"
+    c = cases(s, d).select("conv_id", labels.valid_messages(F.expr(m)).alias("m"))
+    return c.select("conv_id", F.size("m").cast("long").alias("n"), F.md5(T.join_messages(F.col("m"))).alias("digest"))
+
+
+def case_allocation(s, d):
+    return labels.allocation(s, 303, [f"sector {i}" for i in range(8)], [f"pattern {i}" for i in range(5)])
+
+
+def seeded_units(s, d):
+    u = table(s, d, "documents").select("doc_id", T.seeded_units(F.col("doc_id"), 3).alias("u"))
+    return u.select("doc_id", *[F.round(F.col("u")[i], 9).alias(f"u{i}") for i in range(3)])
+
+
+def conflict_context(s, d):
+    o = texts(s, d).select("conv_id", F.explode(T.occurrences(F.col("text"), L.VERBOSE)).alias("o"))
+    return o.select("conv_id", F.col("o.start").alias("pos"), "o.text", F.md5("o.context").alias("context"))
+
+
+def dynamic_forward(s, d):
+    t = turns(s, d).selectExpr("conv_id", "turn", f"{TAGS} AS text")
+    m = t.select("conv_id", "turn", F.explode(reference.dynamic_forward(F.col("text"))).alias("m"))
+    return m.select("conv_id", "turn", "m.head", F.col("m.start").alias("pos"), F.lower("m.span").alias("span"))
+
+
+def extracted_nouns(s, d):
+    n = turns(s, d).select("conv_id", "turn", F.explode(reference.extracted_nouns(F.col("text"), F.array().cast("array<string>"))).alias("noun"))
+    return n.groupBy("noun").agg(F.count("*").alias("n"))
+
+
+def extracted_phrases(s, d):
+    m = turns(s, d).select("conv_id", "turn", F.explode(reference.extracted_phrases(F.col("text"), F.array().cast("array<string>"))).alias("m"))
+    return m.select("conv_id", "turn", "m.head", F.col("m.start").alias("pos"), F.lower("m.span").alias("span"))
+
+
+def nlp_reference_issues(s, d):
+    """The reference rule in extraction mode, patterns alone."""
+    return reference.rule(report.complete(cases(s, d)), Options(use_nlp=True)).select("case_id", "detail", "confidence", "first_char")
+
+
+def methods_used(s, d):
+    return report.methods_used(reference.rule(report.complete(cases(s, d)))).select("case_id", F.array_join("methods", ",").alias("methods"))
+
+
+def iso_dates(s, d):
+    return table(s, d, "events").select("event_id", T.iso_date(F.col("ts")).alias("iso"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {turns, cases, texts, views, queries}
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and f not in own and not isinstance(f, type)}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import evaluate
+
 MESSAGES = "array<struct<role:string,content:string>>"
 CASE = f"id string, category string, prompt string, messages {MESSAGES}, schema string, expectedIssueCodes array<string>, notes string"
 
@@ -58,16 +61,37 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases from a CSV file, a text file, an indexed directory, or a directory of texts."""
     if path.endswith(".csv"):
         return csv_cases(spark, path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/index.json")
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if files(spark, f"{path}/index.json"):
         return indexed_cases(spark, path)
-    if path.endswith(".txt") or "." not in path.rsplit("/", 1)[-1]:
+    if path.endswith(".txt") or files(spark, f"{path}/*"):
         return text_cases(spark, path)
     raise ValueError(f"no reader for {path}")
 
 
+def files(spark: SparkSession, pattern: str, names: str = r"^[A-Za-z0-9._ -]+$") -> list[str]:
+    """Paths that fit a pattern and whose names fit ``names``, in order; the files are listed, not read. For directories of a person's size."""
+    try:
+        found = spark.read.format("binaryFile").load(pattern).select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(r["path"] for r in found.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike(names)).collect())
+
+
+def find_dataset(spark: SparkSession, root: str) -> str | None:
+    """The first directory under the root, else under its ``generator``, that has an index."""
+    for pattern in (f"{root}/*/index.json", f"{root}/generator/*/index.json"):
+        if found := files(spark, pattern):
+            return found[0].rsplit("/", 1)[0]
+    return None
+
+
 def parameter_sets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    """name, description, and the flags of the sets in a file; a flag that a set does not name has its default."""
+    raw = spark.read.schema("name string, description string, options map<string,string>").option("multiLine", True).json(path)
+    flag = lambda f: F.coalesce(F.lower(F.try_element_at("options", F.lit(f))) == "true", F.lit(f == "usePatternMatching")).alias(f)
+    return raw.select(F.col("name").alias("parameter_set"), "description", *[flag(f) for f in evaluate.FLAGS])
 
 
 def past_reports(spark: SparkSession, path: str, most: int = 10) -> DataFrame:
