@@ -35,19 +35,27 @@ def placeholder_counts(turns: DataFrame, time_col: str = "ts", delay: str = "10
     return found.withWatermark(time_col, delay).groupBy(F.window(time_col, window).alias("window"), "variable").agg(F.count("*").alias("count"))
 
 
-def conversation_state(turns: DataFrame, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Running turns, characters and cheap tokens of each conversation; state is three numbers a conversation, dropped after ``idle_ms`` without a turn."""
+def conversation_state(turns: DataFrame, time_col: str | None = None, delay: str = "1 hour", idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """Running turns, characters and cheap tokens of each conversation; state is three numbers a conversation.
+
+    With a time column, state goes once the watermark has passed a conversation's last turn by ``idle_ms``; without one it stays.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         n, chars, tokens = state.get if state.exists else (0, 0, 0)
+        last = 0
         for p in parts:
             lengths = p["text"].fillna("").str.len()
             n, chars, tokens = n + len(p), chars + int(lengths.sum()), tokens + int((-(-lengths // 4)).sum())
+            if time_col and p[time_col].notna().any():
+                last = max(last, int(p[time_col].max().timestamp() * 1000))
         state.update((n, chars, tokens))
-        state.setTimeoutDuration(idle_ms)
+        if time_col:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [n], "chars": [chars], "tokens": [tokens]})
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id bigint, turns bigint, chars bigint, tokens bigint", "n bigint, chars bigint, tokens bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows, ends = (turns.withWatermark(time_col, delay), GroupStateTimeout.EventTimeTimeout) if time_col else (turns, GroupStateTimeout.NoTimeout)
+    return rows.groupBy("conv_id").applyInPandasWithState(step, "conv_id bigint, turns bigint, chars bigint, tokens bigint", "n bigint, chars bigint, tokens bigint", "update", ends)

@@ -1,3 +1,5 @@
+import os
+
 from tessera.plans import report
 from tessera.streaming import stream
 
@@ -20,3 +22,22 @@ def test_conversation_state(spark, tmp_path):
     q = stream.conversation_state(stream.read_turns(spark, src)).writeStream.format("memory").queryName("state_t").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("state_t").collect())) == [(1, 2, 9, 3), (2, 1, 0, 0)]
+
+
+def test_idle_conversations_and_windows(spark, tmp_path):
+    src, kind = tmp_path / "timed", "conv_id bigint, turn bigint, role string, text string, ts timestamp"
+    src.mkdir()
+    for i, (conv, ts) in enumerate([(1, "2024-01-01T00:00:00Z"), (2, "2024-01-02T00:00:00Z"), (2, "2024-01-02T00:00:30Z"), (1, "2024-01-02T00:01:00Z")]):
+        (src / f"{i}.json").write_text(f'{{"conv_id":{conv},"turn":{i},"role":"user","text":"{{{{a}}}}","ts":"{ts}"}}')
+        os.utime(src / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are read by age
+    live = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(str(src))
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+        return spark.table(name).collect()
+
+    got = run(stream.conversation_state(live(), "ts", "1 minute", 60_000), "idle_t")
+    assert sorted((r["conv_id"], r["turns"]) for r in got) == [(1, 1), (1, 1), (2, 1), (2, 2)]
+    counts = run(stream.placeholder_counts(live(), "ts", "2 days", "1 day"), "window_t")
+    assert max(r["count"] for r in counts) == 3 and {r["variable"] for r in counts} == {"a"}
