@@ -81,6 +81,27 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op11_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.threshold_topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.periodic import find_runs, planted_order
+
+    out = find_runs(table(spark, sf_dir, "documents"), planted_order)
+    return out.withColumn("collapsed_sha256", F.sha2("collapsed", 256)).drop("runs", "collapsed", "n_words")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fill_middle import Plan, fill_in_middle, restore
+
+    out = fill_in_middle(table(spark, sf_dir, "documents"), Plan(salt="7", rate=100, spm=50))
+    out = out.withColumn("restored_sha256", restore(out)["sha256"])
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
