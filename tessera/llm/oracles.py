@@ -119,3 +119,51 @@ reach(a, b) AS (SELECT cls, cls FROM classes UNION SELECT r.a, e.b FROM reach r
 comp AS (SELECT r.a AS cls, min(k.first_id) AS component_id FROM reach r JOIN classes k ON k.cls = r.b GROUP BY r.a)
 SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id, n = 0 OR doc_id = component_id AS kept FROM c LEFT JOIN comp ON comp.cls = c.cls AND n > 0
 """
+
+ORACLES["op11_threshold_topk"] = r"""
+WITH e AS (SELECT vec_id, embedding AS x, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+q AS (SELECT DISTINCT vec_id, v FROM e WHERE vec_id % 100 = 0),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM q JOIN e ON e.vec_id <> q.vec_id AND len(e.v) = len(q.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
+"""
+
+# The CRC-32 of a number's decimal digits, byte by byte and bit by bit.
+_CRC32 = r"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, u: xor(x >> 1, (x & 1) * CAST(3988292384 AS BIGINT)))), CAST(4294967295 AS BIGINT))"""
+
+# Equal words of a document at each lag are paired; consecutive pairs of a lag form stretches; a stretch within one of a lag that divides its own goes.
+ORACLES["op12_periodic_runs"] = (
+    r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS raw, """
+    + _CRC32.format("CAST(doc_id AS VARCHAR)")
+    + r""" AS h FROM documents),
+a AS (SELECT *, len(raw) AS n, h // 10 AS g, CASE WHEN len(raw) > 0 THEN (h // 10) % len(raw) ELSE 0 END AS a FROM d),
+o AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+  THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN raw[i + 1] ELSE raw[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE raw END AS ws FROM a),
+w AS (SELECT rid, n, unnest(ws) AS word, unnest(range(0, n)) AS i FROM o),
+k AS (SELECT rid, n, i, md5_number_lower(word) AS word FROM w),
+pair AS (SELECT x.rid, y.i - x.i AS q, x.i FROM k x JOIN k y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+isle AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS g FROM pair),
+stretch AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM isle GROUP BY rid, q, g HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS (SELECT * FROM stretch x WHERE NOT EXISTS (SELECT 1 FROM stretch y WHERE y.rid = x.rid AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.len >= x.s + x.len)),
+per AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS said, arg_min(struct_pack(s := s, l := len, q := q), [-len, s, q]) AS best FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT w.rid, string_agg(word, ' ' ORDER BY w.i) AS t FROM w ANTI JOIN gone USING (rid, i) GROUP BY w.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period, CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM o LEFT JOIN per USING (rid) LEFT JOIN kept USING (rid)
+"""
+)
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS s FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS whole FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS z, CASE WHEN whole THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN NOT whole THEN length(p) END AS prefix_chars, CASE WHEN NOT whole THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || z || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || z || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
