@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import lexicon as L
 from tessera.functions import text as T
-from tessera.operators import issues
+from tessera.operators import bpe, issues
 from tessera.options import Options
 
 #: Methods from least to most conservative.
@@ -33,38 +32,13 @@ def band(cheap: Column, window: Column, mode: str = "auto") -> Column:
     return F.when(cheap < 0.6 * window, "cheap").when(cheap > 1.1 * window, "cheap_over").otherwise("exact_boundary")
 
 
-def exact_counter(ranks_path: str | None):
-    """A pandas UDF that counts BPE tokens with a ``.tiktoken`` rank file; the file is read once a worker."""
-    @F.pandas_udf("long")
-    def count(parts: pd.Series) -> pd.Series:
-        enc = _encoding(ranks_path)
-        return parts.map(lambda t: len(enc.encode_ordinary(t)) if t else 0)
-
-    return count
-
-
-_ENCODINGS: dict = {}
-
-
-def _encoding(path: str):
-    if path not in _ENCODINGS:
-        import base64
-
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        _ENCODINGS[path] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
-
-
-def estimate(df: DataFrame, text: str, window: Column, mode: str = "auto", ranks_path: str | None = None) -> DataFrame:
-    """Adds tokens and method. Only rows that need exact counts go through Python, as a branch of their own."""
+def estimate(df: DataFrame, text: str, window: Column, mode: str = "auto", ranks: bpe.RankFiles | None = None, model: str | None = None) -> DataFrame:
+    """Adds tokens and method. Only rows that need exact counts are cut into pieces, as a branch of their own; without rank files they fall back to words."""
     d = df.withColumn("cheap_", cheap_tokens(F.col(text))).withColumn("method", band(F.col("cheap_"), window, mode))
     exact = F.col("method").isin("exact", "exact_boundary")
     plain = d.withColumn("tokens", F.when(F.col("method") == "off", F.lit(0).cast("long")).when(exact, fallback_tokens(F.col(text))).otherwise(F.col("cheap_")))
-    if ranks_path:
-        plain = plain.where(~exact).unionByName(d.where(exact).withColumn("tokens", exact_counter(ranks_path)(F.col(text))))
+    if ranks:
+        plain = plain.where(~exact).unionByName(bpe.count_tokens(d.where(exact), text, ranks, model))
     return plain.drop("cheap_")
 
 
@@ -79,14 +53,14 @@ def cost(tokens: Column, in_usd: Column, out_usd: Column) -> Column:
     return tokens / 1000 * in_usd + F.ceil(tokens * 0.5) / 1000 * out_usd
 
 
-def costs(cases: DataFrame, options: Options = Options(), ranks_path: str | None = None) -> DataFrame:
+def costs(cases: DataFrame, options: Options = Options(), ranks: bpe.RankFiles | None = None) -> DataFrame:
     """One row a case with a model: text length, tokens, method, window, cost."""
     d = cases.where(F.col("model").isNotNull() & (F.col("model") != "")).select("case_id", "model", F.col("prompt").isNotNull().alias("has_prompt"), "messages", T.full_text(F.col("prompt"), F.col("messages")).alias("text"))
     d = with_model(d.where(F.coalesce("text", F.lit("")) != "")).withColumn("char_count", F.length("text").cast("long"))
     huge = d.where(F.col("char_count") > options.max_chars).select("case_id", "model", "has_prompt", "char_count", "window", F.ceil(F.col("char_count") / 4).cast("long").alias("tokens"), F.lit("char_estimate").alias("method"), F.lit(None).cast("double").alias("usd"))
     rest = d.where(F.col("char_count") <= options.max_chars)
     parts = F.when(F.size("messages") > 0, F.transform("messages", lambda m: F.coalesce(m["content"], F.lit("")))).otherwise(F.array("text"))
-    each = estimate(rest.select("case_id", "window", F.posexplode(parts).alias("ord", "part")), "part", F.col("window"), options.token_estimation, ranks_path)
+    each = estimate(rest.select("case_id", "model", "window", F.posexplode(parts).alias("ord", "part")), "part", F.col("window"), options.token_estimation, ranks, "model")
     rank = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
     total = each.groupBy("case_id").agg(F.sum("tokens").alias("tokens"), F.max_by("method", F.struct(rank, -F.col("ord"))).alias("method"))
     rest = rest.join(total, "case_id")
@@ -94,8 +68,8 @@ def costs(cases: DataFrame, options: Options = Options(), ranks_path: str | None
     return huge.unionByName(rest.select("case_id", "model", "has_prompt", "char_count", "window", "tokens", "method", usd.alias("usd")))
 
 
-def rule(cases: DataFrame, options: Options = Options(), ranks_path: str | None = None) -> DataFrame:
-    c = costs(cases, options, ranks_path)
+def rule(cases: DataFrame, options: Options = Options(), ranks: bpe.RankFiles | None = None) -> DataFrame:
+    c = costs(cases, options, ranks)
     num = lambda x: F.format_number(x, 0)
     one = lambda t: F.array(F.struct(F.lit(t).alias("text"), F.lit(1).cast("long").alias("count")))
     occ = lambda t: F.array(issues.occurrence(text=t, start=F.lit(0), end=F.lit(0)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import lexicon as L
 from tessera.functions import text as T
-from tessera.operators import conflicts, labels, placeholders, reference, schema, semantic, tokens
+from tessera.operators import bpe, conflicts, labels, placeholders, reference, schema, semantic, tokens
 from tessera.options import Options
 from tessera.plans import evaluate, report
 from tessera.session import table
@@ -128,6 +128,26 @@ def token_auto_method(s, d):
     return tokens.estimate(t, "text", F.col("window")).select("doc_id", "method", "tokens")
 
 
+def _models(s, d) -> DataFrame:
+    t = table(s, d, "documents").selectExpr("doc_id", "text", "CASE doc_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4' ELSE 'other-model' END AS model")
+    return t
+
+
+#: Folder of the public vocabularies, and which of their files serves which model.
+TOKENIZERS = "/opt/tokenizers"
+RANKS = bpe.RankFiles(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", {"gpt-4o": f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"})
+
+
+def token_exact(s, d):
+    """Exact tokens of every document, by its model's rank file."""
+    return bpe.count_tokens(_models(s, d), "text", RANKS, "model").select("doc_id", "model", "tokens")
+
+
+def token_exact_boundary(s, d):
+    """Automatic estimates with exact counts near the window of 1,000 tokens."""
+    return tokens.estimate(_models(s, d), "text", F.lit(1000).cast("long"), ranks=RANKS, model="model").select("doc_id", "method", "tokens")
+
+
 def token_overage(s, d):
     return tokens.rule(report.complete(cases(s, d)), Options(max_input_tokens=400)).where("code = 'TOKEN_OVERAGE'").select("case_id", "detail", F.col("first_char").alias("tokens"))
 

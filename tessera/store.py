@@ -3,7 +3,7 @@
 ``cut`` writes a DataFrame as Parquet under the folder that the session names in ``spark.checkpoint.dir`` (or that was set
 by ``SparkContext.setCheckpointDir``) and reads it back, so later plans start from files that every executor sees. Where neither is set, a folder is made
 if the session runs in one process (``local[...]``); on a cluster that would lose rows without an error, so ``cut`` raises instead.
-``drop`` deletes a table that no later plan reads; what is left at the end of the driver's process in a folder made here goes with it.
+``drop`` deletes a table that no later plan reads; what is left at the end of the driver's process goes with it, in shared folders too.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._cut_at = path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return out
 
 
