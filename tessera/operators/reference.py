@@ -1,6 +1,6 @@
 """References without an antecedent: definite noun phrases, forward references and deictic cues.
 
-The current text's candidates are judged against the history (any mention resolves them), the current text before them
+The current text's candidates are judged (see ``antecedents``) against the history (any mention resolves them), the current text before them
 (mentions without an article or determiner), and attachment names. Forward references without a noun are always
 resolved unless ``strict_forward_refs`` is set, and "the following X" looks for the word "following" first; both keep
 earlier behaviour. See ``Options`` for window, nouns and synonyms.
@@ -16,13 +16,9 @@ from pyspark.sql import functions as F
 
 from tessera import lexicon as L
 from tessera.functions import text as T
-from tessera.operators import issues
+from tessera.operators import antecedents, issues
 from tessera.options import Options
 
-_SKIP = ["this ", "that ", "a ", "an ", "some ", "any ", "each ", "every "]
-NOT_THE = "(?<!the[ \n\t])"
-NOT_OTHER = "".join(f"(?<!{w})" for w in _SKIP)
-_MATCH = "array<struct<text:string,value:string,start:bigint,end:bigint>>"
 
 
 def views(cases: DataFrame, options: Options = Options()) -> DataFrame:
@@ -66,12 +62,6 @@ def forward_refs(df: DataFrame, text: str, nouns: list[str], more: str | None =
     return d.select(*df.columns, F.col("m.text").alias("span"), F.col("m.value").alias("raw"), F.when(known, noun).otherwise(F.lit("")).alias("head"), F.col("m.start").alias("start"), F.col("m.end").alias("end"))
 
 
-def bare_mentions(text: Column, nouns: list[str]) -> Column:
-    """Nouns that stand somewhere without "the" before them."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(n) for n in nouns]), lambda n: F.regexp_like(low, T.word_pattern(n, NOT_THE)))
-
-
 def is_verb(word: Column) -> Column:
     """Whether a lower-case word is a verb form of the list, maybe with -s, -ed or -ing."""
     stem = lambda n: F.left(word, F.length(word) - n)
@@ -114,20 +104,36 @@ def dynamic_forward(text: Column) -> Column:
     return F.transform(T.find_all(text, L.DYNAMIC_FORWARD, 2), lambda m: F.struct(m["start"].alias("start"), T.normalize_noun(m["value"]).alias("head"), m["end"].alias("end"), m["text"].alias("span")))
 
 
-def extracted_candidates(v: DataFrame, nouns: list[str]) -> DataFrame:
-    """Candidates of the extraction mode, from views with ``more`` nouns and the entities of the current text, ``named``."""
-    row = lambda found, forward: v.withColumn("m", F.explode(found)).select(*v.columns, "m.span", F.lit(None).cast("string").alias("raw"), "m.head", "m.start", "m.end", F.lit(forward).alias("forward"))
+def _as_candidates(found: Column, forward: bool) -> Column:
+    return F.transform(found, lambda m: F.struct(m["span"].alias("span"), m["head"].alias("head"), m["start"].alias("start"), m["end"].alias("end"), F.lit(forward).alias("forward")))
+
+
+def _known(m: Column, nouns: list[str], more: bool) -> Column:
+    """Whether the noun of "the following X" is one that the case or the lists know."""
+    noun = T.normalize_noun(m["value"])
+    listed = m["value"].isin(*nouns) | noun.isin(*nouns)
+    return (m["value"] != "") & (listed | F.array_contains("more", m["value"]) | F.array_contains("more", noun) if more else listed)
+
+
+def candidate_list(nouns: list[str], extract: bool) -> Column:
+    """All candidates of a case's current text ``cur`` as one array, so that they are found in one pass.
+
+    With ``extract`` the views also have ``more`` nouns and the entities of the current text, ``named``.
+    """
     fixed = forward_matches(F.col("cur"))
+    head = lambda m: F.when(_known(m, nouns, extract), T.normalize_noun(m["value"])).otherwise(F.lit(""))
+    forward = F.transform(fixed, lambda m: F.struct(m["text"].alias("span"), head(m).alias("head"), m["start"].alias("start"), m["end"].alias("end")))
+    if not extract:
+        near = F.filter(T.find_all(F.col("cur"), L.DEFINITE_NP, 2), lambda m: F.lower(m["value"]).isin(*nouns) | T.normalize_noun(m["value"]).isin(*nouns))
+        near = F.transform(near, lambda m: F.struct(m["text"].alias("span"), T.normalize_noun(m["value"]).alias("head"), m["start"].alias("start"), m["end"].alias("end")))
+        return F.concat(_as_candidates(near, False), _as_candidates(forward, True))
     # A range that a fixed pattern gives the same head is not repeated.
-    noun = lambda m: T.normalize_noun(m["value"])
-    known = lambda m: (m["value"] != "") & (m["value"].isin(*nouns) | noun(m).isin(*nouns) | F.array_contains("more", m["value"]) | F.array_contains("more", noun(m)))
-    new = F.filter(dynamic_forward(F.col("cur")), lambda d: ~F.exists(fixed, lambda m: (m["start"] == d["start"]) & known(m) & (noun(m) == d["head"])))
-    forward = forward_refs(v, "cur", nouns, "more").withColumn("forward", F.lit(True))
-    return row(extracted_phrases(F.col("cur"), F.col("named")), False).unionByName(forward).unionByName(row(new, True))
+    new = F.filter(dynamic_forward(F.col("cur")), lambda d: ~F.exists(forward, lambda m: (m["start"] == d["start"]) & (m["head"] == d["head"]) & (m["head"] != "")))
+    return F.concat(_as_candidates(extracted_phrases(F.col("cur"), F.col("named")), False), _as_candidates(forward, True), _as_candidates(new, True))
 
 
 def candidates(cases: DataFrame, options: Options = Options(), entities: Callable[[Column], Column] | None = None) -> DataFrame:
-    """All candidates with what resolved them: method (null if nothing), penalty, confidence and matched word of the pattern check.
+    """All candidates with what resolves them, as ``antecedents.judge`` returns them.
 
     With ``use_nlp`` all definite phrases and entities are candidates, not those of known nouns alone; ``entities`` finds a text's entities.
     """
@@ -137,45 +143,8 @@ def candidates(cases: DataFrame, options: Options = Options(), entities: Callabl
         named = entities or (lambda _: F.array().cast("array<string>"))
         v = v.withColumn("named", F.coalesce(named(F.col("cur")), F.array())).withColumn("named_before", F.coalesce(named(F.col("hist")), F.array()))
         v = v.withColumn("more", F.array_union(extracted_nouns(F.col("cur"), F.col("named")), extracted_nouns(F.col("hist"), F.col("named_before"))))
-        both = extracted_candidates(v, nouns)
-    else:
-        both = definite_phrases(v, "cur", nouns).withColumn("forward", F.lit(False)).unionByName(forward_refs(v, "cur", nouns).withColumn("forward", F.lit(True)))
-    is_noun = lambda s: s.isin(*nouns) | F.array_contains("more", s) if options.use_nlp else s.isin(*nouns)
-    synonyms = L.synonyms(options.synonyms)
-    table = F.create_map(*[x for h, s in synonyms.items() for x in (F.lit(h), F.array(*[F.lit(y) for y in s]))])
-    of = lambda head: F.coalesce(F.try_element_at(table, head), F.array(head))
-    d = both.withColumn("h", T.normalize_phrase(F.col("hist"))).withColumn("long_hist", T.count_words(F.col("hist")) > 40)
-    d = d.withColumn("raw_before", F.lower(F.substring(F.col("cur"), F.lit(1), F.col("start").cast("int")))).withColumn("before", T.normalize_phrase(F.col("raw_before")))
-    d = d.withColumn("after", F.when(F.col("forward"), T.normalize_phrase(F.substring(F.col("cur"), (F.col("end") + 1).cast("int"), F.length("cur")))).otherwise(F.lit("")))
-    ref = T.normalize_phrase(F.col("span"))
-    word = F.regexp_extract(ref, r"(?<![A-Za-z0-9_])(the|this|that|these|those|aforementioned)\s+([a-z][a-z0-9_-]{2,})(?![A-Za-z0-9_])", 2)
-    d = d.withColumn("asked", F.when(word != "", T.normalize_noun(word)).otherwise(F.element_at(F.split(ref, r"\s+"), -1)))
-    d = d.withColumn("syns", of(F.col("head"))).withColumn("asked_syns", of(F.col("asked")))
-    has = lambda text, w, before="": F.regexp_like(F.col(text), T.word_pattern(w, before))
-    some = lambda text, arr, before="": F.exists(arr, lambda s: F.regexp_like(F.col(text), T.word_pattern(s, before)))
-    bare_too = lambda arr: F.exists(arr, lambda s: is_noun(s) & F.regexp_like(F.col("raw_before"), T.word_pattern(s, NOT_THE)) & F.regexp_like(F.col("before"), T.word_pattern(s, NOT_OTHER + "(?<!the )")))
-    pattern = lambda text: has(text, F.col("asked")) | some(text, "asked_syns")
-    empty = (F.col("head") == "") & F.lit(not options.strict_forward_refs)
-    method = (
-        F.when(pattern("h"), "pattern")
-        .when(F.col("forward") & (F.col("after") != "") & pattern("after"), "pattern")
-        .when((F.col("head") != "") & F.col("long_hist") & has("h", F.col("head")), "exact")
-        .when((F.col("head") != "") & ~F.col("long_hist") & has("before", F.col("head"), "(?<!the )"), "exact")
-        .when((F.col("head") != "") & F.col("long_hist") & some("h", "syns", NOT_OTHER), "synonym")
-        .when((F.col("head") != "") & ~F.col("long_hist") & some("before", "syns", NOT_OTHER + "(?<!the )"), "synonym")
-        .when((F.col("head") != "") & bare_too(F.array("head")), "memory")
-        .when((F.col("head") != "") & bare_too(F.col("syns")), "synonym")
-        .when(empty | ((F.col("head") != "") & (F.contains(F.col("attached"), F.col("head")) | F.exists("syns", lambda s: F.contains(F.col("attached"), s)))), "attachment")
-    )
-    d = d.withColumn("method", method)
-    matched = F.coalesce(F.when(has("h", F.col("asked")), F.col("asked")), F.get(F.filter("asked_syns", lambda s: F.regexp_like(F.col("h"), T.word_pattern(s))), 0))
-    d = d.withColumn("matched", F.when(F.col("method") == "pattern", matched))
-    sure = F.when(F.col("method").isNull(), F.lit(0.0)).when(F.col("method") != "pattern", F.lit(0.8)).when(F.col("matched") == F.col("asked"), F.lit(0.9)).otherwise(F.lit(0.8))
-    # A synonym far before its candidate lowers confidence; the first that fits counts.
-    fit = F.get(F.filter("syns", lambda s: F.regexp_like(F.col("before"), T.word_pattern(s, NOT_OTHER + "(?<!the )"))), 0)
-    place = F.length(F.get(F.split(F.col("before"), T.word_pattern(fit, NOT_OTHER + "(?<!the )"), 2), 0))
-    d = d.withColumn("penalty", (F.col("method") == "synonym") & ~F.col("long_hist") & F.coalesce((F.col("start") - place) > 5000, F.lit(False)))
-    return d.select("case_id", "message_index", "cur", "hist", "forward", "span", "head", "start", "end", "method", "matched", sure.alias("sure"), F.coalesce("penalty", F.lit(False)).alias("penalty"))
+    both = v.withColumn("c", F.explode(candidate_list(nouns, options.use_nlp))).select(*v.columns, "c.*")
+    return antecedents.judge(v, both, options)
 
 
 def deictic(text: Column) -> Column:
@@ -188,33 +157,24 @@ def rule(cases: DataFrame, options: Options = Options()) -> DataFrame:
 
 def report(v: DataFrame, found: DataFrame) -> DataFrame:
     """Issues from the cases' views and their judged candidates."""
-    occ = issues.occurrence(
-        text=F.col("span"), start=F.col("start"), end=F.col("end"), preview=T.preview(F.col("cur"), F.col("start"), F.col("end")), message_index=F.col("message_index"), resolution=F.lit("unresolved"),
-        fulfillment_status=F.lit("unfulfilled"), fulfillment_method=F.lit("pattern"), fulfillment_confidence=F.lit(0.0), term=F.nullif("head", F.lit("")),
-    )
-    open_ = F.col("method").isNull()
-    per = found.groupBy("case_id").agg(
-        F.count("*").alias("n"), F.sum(open_.cast("int")).alias("uncovered"),
-        F.sum(F.when(F.col("method").isin("exact", "synonym", "pattern"), -2).when(F.col("method").isin("memory", "attachment"), -1).otherwise(0)).alias("points"),
-        F.max(F.col("method").isin("synonym", "memory", "pattern")).alias("unsure"), F.max("penalty").alias("penalty"),
-        F.sort_array(F.collect_list(F.when(open_, F.struct("forward", "start", F.lower("span").alias("key"), "head", occ.alias("o"))))).alias("open"),
+    d = antecedents.scores(v, found).where("flagged")
+    told = lambda x: issues.occurrence(
+        text=x["span"], start=x["start"], end=x["end"], preview=x["preview"], message_index=x["message_index"], resolution=F.lit("unresolved"),
+        fulfillment_status=x["status"], fulfillment_method=x["checked_by"], fulfillment_confidence=x["sure"], term=F.nullif(x["head"], F.lit("")),
     )
-    d = v.withColumn("cue", deictic(F.col("cur"))).join(per, "case_id", "left")
-    d = d.withColumn("uncovered", F.coalesce("uncovered", F.lit(0))).withColumn("n", F.coalesce("n", F.lit(0))).withColumn("open", F.coalesce("open", F.array()))
-    d = d.withColumn("score", F.col("cue").cast("int") + (F.col("n") > 0).cast("int") + F.coalesce("points", F.lit(0)))
-    d = d.where((F.col("uncovered") > 0) | (F.col("cue") & (F.col("n") == 0)))
     keys = F.array_distinct(F.transform("open", lambda x: x["key"]))
     counted = F.transform(keys, lambda k, i: F.struct((-F.size(F.filter("open", lambda x: x["key"] == k))).cast("long").alias("neg"), i.alias("ord"), k.alias("key")))
     counted = F.concat(counted, F.when(F.col("cue"), F.array(F.struct(F.lit(-1).cast("long").alias("neg"), F.size(keys).alias("ord"), F.lit("deictic cue").alias("key")))).otherwise(F.array().cast("array<struct<neg:bigint,ord:int,key:string>>")))
     summary = F.transform(F.sort_array(counted), lambda x: F.struct(x["key"].alias("text"), (-x["neg"]).alias("count")))
     d = d.withColumn("summary_", summary)
     cue_row = issues.occurrence(text=F.lit("deictic cue present"), start=F.lit(-1), end=F.lit(-1), message_index=F.col("message_index"), preview=F.lit(""), resolution=F.lit("unresolved"), fulfillment_status=F.lit("unfulfilled"), fulfillment_method=F.lit("none"), fulfillment_confidence=F.lit(0.0))
-    occurrences = F.concat(F.transform(F.slice("open", 1, 50), lambda x: x["o"]), F.when(F.col("cue"), F.array(cue_row)).otherwise(F.array().cast(f"array<{issues.OCCURRENCE}>")))
+    occurrences = F.concat(F.transform(F.slice("open", 1, 50), told), F.when(F.col("cue"), F.array(cue_row)).otherwise(F.array().cast(f"array<{issues.OCCURRENCE}>")))
     words = T.count_words(F.col("hist"))
-    confidence = F.when(words < 20, "low").when((F.col("uncovered") > 0) & F.coalesce("unsure", F.lit(False)), "medium").otherwise("high")
-    confidence = F.when(F.coalesce("penalty", F.lit(False)) & (F.col("uncovered") == 0), F.when(confidence == "high", "medium").otherwise("low")).otherwise(confidence)
-    told = F.transform(F.slice("summary_", 1, 3), lambda s: F.concat(F.lit('"'), s["text"], F.lit('"'), F.when(s["count"] > 1, F.concat(F.lit(" (×"), s["count"].cast("string"), F.lit(")"))).otherwise(F.lit(""))))
-    detail = F.concat(F.lit("References "), F.array_join(told, ", "), F.lit(" without antecedent in prior context or attachments."))
+    confidence = F.when(words < 20, "low").when((F.col("uncovered") > 0) & F.col("unsure"), "medium").otherwise("high")
+    confidence = F.when(F.col("penalty") & (F.col("uncovered") == 0), F.when(confidence == "high", "medium").otherwise("low")).otherwise(confidence)
+    said = F.transform(F.slice("summary_", 1, 3), lambda s: F.concat(F.lit('"'), s["text"], F.lit('"'), F.when(s["count"] > 1, F.concat(F.lit(" (×"), s["count"].cast("string"), F.lit(")"))).otherwise(F.lit(""))))
+    # The wording of the detail and of the suggestions.
+    detail = F.concat(F.lit("References "), F.array_join(said, ", "), F.lit(" without antecedent in prior context or attachments."))
     heads = F.transform("open", lambda x: x["head"])
     any_of = lambda *hs: reduce(lambda a, b: a | b, [F.array_contains(heads, h) for h in hs])
     advice = issues.suggestions(

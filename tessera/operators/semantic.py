@@ -110,9 +110,9 @@ def combined(pattern: Column, sim: Column, ent: Column, options: Options = Optio
     return F.struct(score.alias("score"), status.alias("status"), method.alias("method"))
 
 
-def resolve(found: DataFrame, models: Models, options: Options = Options()) -> DataFrame:
-    """Candidates of ``reference.candidates``, the open ones judged by the models against history and earlier text."""
-    open_ = found.where(F.col("method").isNull())
+def resolve(found: DataFrame, v: DataFrame, models: Models, options: Options = Options()) -> DataFrame:
+    """Candidates of ``reference.candidates``, the open ones judged by the models against history and earlier text of their case's views ``v``."""
+    open_ = found.where(F.col("method").isNull()).join(v.select("case_id", "cur", "hist"), "case_id")
     key = F.xxhash64("case_id", "start", "end", "forward")
     context = F.concat_ws("\n", F.nullif("hist", F.lit("")), F.nullif(F.substring(F.col("cur"), F.lit(1), F.col("start").cast("int")), F.lit("")))
     pairs = open_.select(key.alias("key"), F.col("span").alias("reference"), context.alias("context")).dropDuplicates(["key"])
@@ -125,7 +125,7 @@ def resolve(found: DataFrame, models: Models, options: Options = Options()) -> D
     else:
         method = F.when(s >= options.similarity_threshold, "semantic-similarity").when(n >= options.entailment_threshold, "nli-entailment")
         sure = F.greatest(F.coalesce(s, F.lit(0.0)), F.coalesce(n, F.lit(0.0)))
-    d = d.withColumn("method", method).withColumn("sure", sure).drop("similarity", "entailment")
+    d = d.withColumn("method", method).withColumn("sure", sure).drop("similarity", "entailment", "cur", "hist")
     return found.where(F.col("method").isNotNull()).unionByName(d)
 
 

@@ -289,7 +289,21 @@ ORACLES = {
     ),
     "attachment_contains": _with(_TURNS, _LAST, _VIEWS, _NPV, q="SELECT np.conv_id, head, pos AS start FROM np JOIN views USING (conv_id) WHERE contains(attached, head)"),
     "uncovered_anti_join": _with(_TURNS, _LAST, _VIEWS, _NPV, _WORDS, q="SELECT conv_id, head, pos AS start FROM np WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.conv_id = np.conv_id AND w.word IN (np.head, np.head || 's'))"),
-    "reference_candidates": _with(*_reference(), q="SELECT coalesce(method, 'none') AS method, forward, count(*) AS n FROM judged GROUP BY ALL"),
+    "reference_candidates": _with(
+        *_reference(), f"m AS (SELECT k, arg_min(x, o) AS matched FROM (SELECT k, h, unnest(asked_syns) AS x, unnest(range(0, len(asked_syns))) AS o FROM two) WHERE {_has('h', 'x')} GROUP BY k)",
+        "d AS (SELECT j.*, CASE WHEN method = 'pattern' THEN matched END AS said FROM judged j LEFT JOIN m USING (k))",
+        q="SELECT CAST(conv_id AS VARCHAR) AS case_id, forward, lower(span) AS span, head, pos AS start, method, said AS matched, "
+        "CASE WHEN method IN ('exact', 'synonym', 'memory', 'attachment') THEN 'resolved-by-' || method ELSE 'unresolved' END AS resolution, CASE WHEN method IS NULL THEN 'unfulfilled' ELSE 'fulfilled' END AS status, "
+        "CASE WHEN method IS NULL OR method = 'pattern' THEN 'pattern' ELSE 'none' END AS checked_by, CAST(CASE WHEN method IS NULL THEN 0 WHEN method = 'pattern' AND said = asked THEN 0.9 ELSE 0.8 END AS DOUBLE) AS sure, false AS penalty FROM d",
+    ),
+    "reference_scores": _with(
+        *_reference(), f"c AS (SELECT conv_id, CAST(regexp_matches(cur, '{_duck(L.DEICTIC)}') AS BIGINT) AS cue FROM views)",
+        "p AS (SELECT conv_id, count(*) AS n, count(*) FILTER (method IS NULL) AS u, sum(CASE WHEN method IN ('exact', 'synonym', 'pattern') THEN 2 WHEN method IN ('memory', 'attachment') THEN 1 ELSE 0 END) AS less, "
+        "string_agg(DISTINCT method, ',' ORDER BY method) AS m FROM judged GROUP BY conv_id)",
+        "s AS (SELECT conv_id, cue, coalesce(n, 0) AS n, coalesce(u, 0) AS uncovered, CAST(cue + CASE WHEN n > 0 THEN 1 ELSE 0 END - coalesce(less, 0) AS BIGINT) AS score, coalesce(m, '') AS methods FROM c LEFT JOIN p USING (conv_id))",
+        q="SELECT CAST(conv_id AS VARCHAR) AS case_id, n, uncovered, score, uncovered > 0 OR (cue = 1 AND n = 0) OR score >= 2 AS flagged, methods FROM s",
+    ),
+    "reference_methods": _with(*_reference(), q="SELECT coalesce(method, 'none') AS method, forward, count(*) AS n FROM judged GROUP BY ALL"),
     "reference_issues": _with(*_reference(*_REFERENCE_ISSUES), q="SELECT CAST(conv_id AS VARCHAR) AS case_id, detail, confidence, first_char, n_occurrences FROM ri"),
     "issue_counts": _with(*_reference(*_REFERENCE_ISSUES, *_ALL_ISSUES), q="SELECT code, severity, count(*) AS n FROM found GROUP BY ALL"),
     "disabled_rules": _with(*_reference(*_REFERENCE_ISSUES, *_ALL_ISSUES), q="SELECT code, count(*) AS n FROM found WHERE code NOT IN ('MISSING_REFERENCE', 'INVALID_SCHEMA', 'TOKEN_OVERAGE', 'SCHEMA_RISK') GROUP BY ALL"),

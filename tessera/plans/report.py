@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import conflicts, issues, placeholders, reference, schema, semantic, tokens
+from tessera.operators import antecedents, conflicts, issues, placeholders, reference, schema, semantic, tokens
 from tessera.options import Options
 
 CASES = (
@@ -48,9 +48,10 @@ def issue_table(cases: DataFrame, options: Options = Options(), models: semantic
             continue
         if models and code == "MISSING_REFERENCE" and (options.use_semantic or options.use_nli or options.use_nlp):
             found = reference.candidates(cases, options, semantic.entity_udf(models.entities))
+            v = reference.views(cases, options)
             if options.use_semantic or options.use_nli:
-                found = semantic.resolve(found, models, options)
-            parts.append(reference.report(reference.views(cases, options), found))
+                found = semantic.resolve(found, v, models, options)
+            parts.append(reference.report(v, found))
         elif models and code == "CONFLICTING_INSTRUCTION" and (models.embed or models.entail):
             parts.append(semantic.conflict_rule(cases, models, options))
         else:
@@ -82,10 +83,15 @@ def analyze(cases: DataFrame, options: Options = Options(), models: semantic.Mod
 
 
 def methods_used(found: DataFrame) -> DataFrame:
-    """(case_id, methods): the distinct methods that judged a case's references, sorted."""
+    """(case_id, methods): the distinct methods that judged the references an issue lists, sorted."""
     refs = found.where("code = 'MISSING_REFERENCE'")
-    per = refs.select("case_id", F.array_sort(F.array_distinct(F.filter(F.transform("occurrences", lambda o: o["fulfillment_method"]), lambda m: m.isNotNull()))).alias("methods"))
-    return per
+    return refs.select("case_id", F.array_sort(F.array_distinct(F.filter(F.transform("occurrences", lambda o: o["fulfillment_method"]), lambda m: m.isNotNull()))).alias("methods"))
+
+
+def resolved_by(cases: DataFrame, options: Options = Options()) -> DataFrame:
+    """(case_id, candidates, uncovered, score, flagged, methods) of every case, with the methods that resolved its references."""
+    v = reference.views(complete(cases), options)
+    return antecedents.scores(v, reference.candidates(complete(cases), options)).select("case_id", "n", "uncovered", "score", "flagged", "methods")
 
 
 def rule_timings(cases: DataFrame, options: Options = Options(), models: semantic.Models | None = None) -> dict[str, float]:

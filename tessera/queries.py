@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import lexicon as L
 from tessera.functions import text as T
-from tessera.operators import bpe, conflicts, labels, placeholders, reference, schema, semantic, tokens
+from tessera.operators import antecedents, bpe, conflicts, labels, placeholders, reference, schema, semantic, tokens
 from tessera.options import Options
 from tessera.plans import evaluate, report
 from tessera.session import table
@@ -272,10 +272,21 @@ def uncovered_anti_join(s, d):
 
 
 def reference_candidates(s, d):
+    """A row a candidate of every case: what resolves it, and how a report would tell it."""
+    c = antecedents.described(reference.candidates(report.complete(cases(s, d))))
+    return c.select("case_id", "forward", F.lower("span").alias("span"), "head", "start", "method", "matched", "resolution", "status", "checked_by", "sure", "penalty")
+
+
+def reference_methods(s, d):
     c = reference.candidates(report.complete(cases(s, d)))
     return c.groupBy(F.coalesce("method", F.lit("none")).alias("method"), "forward").agg(F.count("*").alias("n"))
 
 
+def reference_scores(s, d):
+    r = report.resolved_by(cases(s, d))
+    return r.select("case_id", F.col("n").cast("long").alias("n"), F.col("uncovered").cast("long").alias("uncovered"), F.col("score").cast("long").alias("score"), "flagged", F.array_join("methods", ",").alias("methods"))
+
+
 def reference_issues(s, d):
     return reference.rule(report.complete(cases(s, d))).select("case_id", "detail", "confidence", "first_char", F.size("occurrences").cast("long").alias("n_occurrences"))
 

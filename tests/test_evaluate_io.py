@@ -72,9 +72,9 @@ def test_models_plug_in(spark):
     c = report.complete(spark.createDataFrame([("a", "x", "We have a summary of sales. Read the report.")], "case_id string, y string, prompt string").drop("y"))
     found = reference.candidates(c)
     assert found.first()["method"] is None
-    o = Options(use_semantic=True)
-    assert semantic.resolve(found, semantic.Models(embed=_embed), o).first()["method"] == "semantic-similarity"
-    assert semantic.resolve(found, semantic.Models(), o).first()["method"] is None
+    o, v = Options(use_semantic=True), reference.views(c)
+    assert semantic.resolve(found, v, semantic.Models(embed=_embed), o).first()["method"] == "semantic-similarity"
+    assert semantic.resolve(found, v, semantic.Models(), o).first()["method"] is None
     k = report.complete(spark.createDataFrame([("a", "Keep it short. Be thorough please.")], "case_id string, prompt string"))
     m = semantic.Models(embed=lambda ts: [[1.0, 0.0] if "short" in t else [0.0, 1.0] for t in ts], entail=_entail)
     assert sorted(r["bucket"] for r in semantic.semantic_conflicts(k, m).collect()) in (["logical", "verbosity"], ["logical", "semantic"])
