@@ -8,16 +8,18 @@ prefix) is crowded, the next values decide who is near whom, so the depth adapts
 
 1. in the first ``FIRST_TREES`` trees, each class with the next one;
 2. in all trees, each class with the ``BEST`` of other components, by their sketches, among its next 4, 32, then ``REACH`` neighbours, and
-   among ``REACH`` again until a round adds no link. Of two components, the members of the smaller one ask.
+   among ``REACH`` again until a round adds no link. Of two components, the members of the smaller one ask;
+3. at last, in each region that still holds more classes than one can ask and more than one component, all pairs of different components (``exhaust``):
+   the region is cut into tiles, each pair of tiles drops the classes that no sketch brings near another one and counts the common shingles of the others in one
+   product. A pair of tiles returns one link for two components, so rows grow with the region, though comparisons grow with its square.
 
-Of the neighbours, pairs go on whose sizes allow the threshold and whose sketches (one bit of each MinHash value) differ no more than
+Of the neighbours in the rounds before, pairs go on whose sizes allow the threshold and whose sketches (one bit of each MinHash value) differ no more than
 4.5 standard deviations above what a pair right at the threshold expects. They are confirmed on the full shingle sets
-(100 * intersection >= threshold * union), and confirmed links are joined into components. Every round gives a fixed number of neighbours a
-class and tree, whatever the size of a group; there are no pivots, and no region is crossed.
+(100 * intersection >= threshold * union), and confirmed links are joined into components. Those rounds give a fixed number of neighbours a
+class and tree, whatever the size of a group, and leave little to the last step.
 
-Chance that a pair of similarity 0.8 shares no START values in any tree: (1 - 0.8**3)**20 = 6e-7. In a region of more than ``REACH`` classes
-a pair is missed if in every tree over REACH others stand between them. That takes a crowd whose own similarity is just
-below the threshold; the README has measured figures. Missing a pair does not matter where others link its ends.
+Chance that a pair of similarity 0.8 shares no START values in any tree: (1 - 0.8**3)**20 = 6e-7. Of the pairs that share them, all whose sketches
+are near enough are confirmed or stand in one component already.
 
 Null texts and texts without words have empty sets, link with nothing and are kept. Fewer words than a shingle
 make one shingle of the whole. Repeated rows and ties are copies of each other; the smallest id stays. A class whose ids are all null has component id
@@ -42,8 +44,10 @@ from tessera.llm.textbytes import U64, Block, blocks, mix, spark_long, string_pa
 
 TREES, START, DEPTH, FIRST_TREES, REACHES, BEST = 20, 3, 12, 4, (1, 4, 32, 256), 4
 REACH = REACHES[-1]
-#: A class with no such neighbour within this reach has none further on.
+#: Regions of more classes than this are kept whole; in smaller ones a class without such a neighbour goes.
 MARKED = 64
+#: Classes of a tile of a crowded region, and shingles that one product counts.
+TILE, SLICE = 512, 8_192
 #: Tree rows of a range partition, of the run that a worker holds at once, and of a block in which neighbours are compared.
 PART_ROWS, HELD_ROWS, BLOCK_ROWS = 150_000, 100_000, 4_096
 _VALUES = TREES * DEPTH
@@ -211,6 +215,7 @@ def in_regions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         mark[: len(seen)] = seen
         for i, j, _ in rows.near(MARKED):
             mark[i] = mark[j] = True
+        mark |= np.bincount(rows.region)[rows.region] > MARKED
         if at == 0:
             mark[: min(REACH, int((rows.region == 0).sum()))] = True  # the region may begin in an earlier partition
         cut_at = max(0, rows.n - REACH)
@@ -267,6 +272,83 @@ def neighbours(trees: DataFrame, labels: DataFrame | None, parts: list[int], rea
     return dealt.groupBy("p", "b").applyInArrow(lambda t: compare(t), "a binary, b binary").distinct()
 
 
+def _near(n: np.ndarray, bits: np.ndarray, label: np.ndarray, tile: np.ndarray, one: bool, percent: int) -> np.ndarray:
+    """Which classes of a pair of tiles (or of ``one``) have another of a different component that may be near enough."""
+    agree = (1 + percent / 100) / 2
+    most = _VALUES * (1 - agree) + 4.5 * math.sqrt(_VALUES * agree * (1 - agree))
+    out = np.zeros(len(n), bool)
+    for at in range(0, len(n), 64):
+        i = slice(at, at + 64)
+        ok = (label[i, None] != label[None]) & (100 * np.minimum(n[i, None], n[None]) >= percent * np.maximum(n[i, None], n[None]))
+        if not one:
+            ok &= tile[i, None] != tile[None]
+        a, b = np.nonzero(ok)
+        far = np.bitwise_count(bits[at + a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most
+        out[at + a[far]] = True
+    return out
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, of, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[of] > 1
+    number = np.cumsum(times > 1) - 1
+    column, owner = number[of[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+        a, b = np.searchsorted(column, (at, at + SLICE))
+        has = np.zeros((len(sets), SLICE), np.float32)
+        has[owner[a:b], column[a:b] - at] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
+def exhaust(trees: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between all components that share a region in which a class has more others than it could ask; one of each two components a pair of tiles."""
+    rows = trees.select("tree", F.shiftright("first", 16 * (4 - START)).alias("key"), "cls", "n", "bits")
+    if labels is None:
+        rows = rows.withColumn("label", F.col("cls"))
+    else:
+        rows = rows.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    crowded = rows.groupBy("tree", "key").agg(F.count("*").alias("r"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(f"r > {BEST + 1} AND lo <> hi")
+    d = rows.join(crowded.select("tree", "key", F.ceil(F.col("r") / TILE).alias("tiles")), ["tree", "key"]).withColumn("t", F.pmod(F.xxhash64("cls"), F.col("tiles")))
+    d = d.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    d = d.select("tree", "key", F.least("t", "u").alias("ta"), F.greatest("t", "u").alias("tb"), "t", "cls", "label", "n", "bits")
+    keys, kept = ["tree", "key", "ta", "tb"], ["tree", "key", "ta", "tb", "t", "cls", "label"]
+    numbers = lambda column: np.unique(_words(column), return_inverse=True, axis=0)[1].ravel()
+    one = lambda table: table.column("ta")[0].as_py() == table.column("tb")[0].as_py()
+
+    def near(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        raw, _ = string_parts(table.column("bits").combine_chunks())
+        bits = raw.reshape(table.num_rows, -1)
+        wide = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), np.uint8)
+        wide[:, : bits.shape[1]] = bits
+        ok = _near(table.column("n").to_numpy(), wide.view(U64), numbers(table.column("label")), table.column("t").to_numpy(), one(table), percent)
+        return table.filter(pa.array(ok)).select(kept)
+
+    def link(table: pa.Table) -> pa.Table:
+        cls, label, tile = table.column("cls").to_pylist(), numbers(table.column("label")), table.column("t").to_numpy()
+        held = table.column("shingles").combine_chunks()
+        flat, offs = held.flatten().to_numpy(), np.concatenate(([0], np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False))))
+        size = np.diff(offs)
+        common = _common([flat[offs[i] : offs[i + 1]] for i in range(len(cls))])
+        ok = np.triu((100 * common >= percent * (size[:, None] + size[None] - common)) & (label[:, None] != label[None]), 1)
+        if not one(table):
+            ok &= tile[:, None] != tile[None]
+        i, j = np.nonzero(ok)
+        pair = np.sort(np.column_stack((label[i], label[j])), axis=1)
+        first = np.unique(pair, axis=0, return_index=True)[1]
+        found = [tuple(sorted((cls[i[x]], cls[j[x]]))) for x in first]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    may = d.groupBy(*keys).applyInArrow(lambda t: near(t), "tree int, key bigint, ta bigint, tb bigint, t bigint, cls binary, label binary")
+    return may.join(sets, "cls").groupBy(*keys).applyInArrow(lambda t: link(t), "a binary, b binary").distinct()
+
+
 def _best(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Those of the pairs (i, j, difference) that are among the BEST least different ones of i or of j: of the one whose component is smaller here."""
     size = np.bincount(label)[label]
@@ -320,6 +402,9 @@ def near_duplicates(
             continue
         labels = merge_labels(labels, links)
         reaches = reaches or [REACH]
+    links = cut(exhaust(trees, labels, sets, percent), "links")
+    if not links.isEmpty():
+        labels = merge_labels(labels, links)
     drop(trees, sets)
     if labels is None:
         labels = rows.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)

@@ -81,6 +81,39 @@ def test_near_duplicates_in_crowds_below_the_threshold(spark):
     assert got == _exact(texts)
 
 
+def _edited(r, text, n):
+    w = text.split()
+    for i in r.sample(range(len(w)), n):
+        w[i] = _say(r, 1)
+    return " ".join(w)
+
+
+def test_near_duplicates_lose_no_link_in_a_crowd_of_long_texts(spark):
+    """240 edits of one text at a similarity of about 0.77, and 40 of them edited again to stand just above the threshold."""
+    r = random.Random(12)
+    base = _say(r, 900)
+    crowd = [_edited(r, base, 15) for _ in range(240)]
+    texts = crowd + [_edited(r, t, 23) for t in crowd[:40]]
+    want = _exact(texts)
+    assert sum(want[i] != i for i in want) >= 20
+    got = {x["doc_id"]: x["component_id"] for x in lsh_forest.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_duplicates_in_a_crowd_of_many_tiles(spark, monkeypatch):
+    """The last step alone, with regions cut into tiles and products into slices."""
+    r = random.Random(13)
+    monkeypatch.setattr(lsh_forest, "TILE", 50)
+    monkeypatch.setattr(lsh_forest, "SLICE", 64)
+    monkeypatch.setattr(lsh_forest, "REACHES", (1,))
+    monkeypatch.setattr(lsh_forest, "REACH", 1)
+    base = _say(r, 150)
+    crowd = [_edited(r, base, r.randint(3, 6)) for _ in range(300)]
+    texts = crowd + [_edited(r, t, 3) for t in crowd[:60]] + [_say(r, 40) for _ in range(20)]
+    got = {x["doc_id"]: x["component_id"] for x in lsh_forest.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == _exact(texts)
+
+
 def test_near_duplicates_across_the_edges_of_partitions(spark, monkeypatch):
     """The same links, whether neighbours stand in one range partition and block or in several."""
     r = random.Random(8)
