@@ -7,8 +7,8 @@ number of equal labels splits. Candidates are neighbours that share ``START`` va
 prefix) is crowded, the next values decide who is near whom, so the depth adapts to each region. They are drawn in rounds:
 
 1. in the first ``FIRST_TREES`` trees, each class with the next one;
-2. in all trees, each class with the ``BEST`` of other components, by their sketches, among its next 4, 32, then ``REACH`` neighbours, and
-   among ``REACH`` again until a round adds no link. Of two components, the members of the smaller one ask;
+2. in all trees, each class with the ``BEST`` of other components, by their sketches, among its next 4, then 32 neighbours. Of two
+   components, the members of the smaller one ask;
 3. at last, in each region that still holds more classes than one can ask and more than one component, all pairs of different components (``exhaust``):
    the region is cut into tiles, each pair of tiles drops the classes that no sketch brings near another one and counts the common shingles of the others in one
    product. A pair of tiles returns one link for two components, so rows grow with the region, though comparisons grow with its square.
@@ -42,8 +42,9 @@ from tessera.llm.components import merge_labels
 from tessera.llm.store import cut, drop
 from tessera.llm.textbytes import U64, Block, blocks, mix, spark_long, string_parts
 
-TREES, START, DEPTH, FIRST_TREES, REACHES, BEST = 20, 3, 12, 4, (1, 4, 32, 256), 4
-REACH = REACHES[-1]
+TREES, START, DEPTH, FIRST_TREES, REACHES, BEST = 20, 3, 12, 4, (1, 4, 32), 4
+#: Rows at the edges of a worker's runs and of a partition that are looked at with what follows.
+EDGE = 256
 #: Regions of more classes than this are kept whole; in smaller ones a class without such a neighbour goes.
 MARKED = 64
 #: Classes of a tile of a crowded region, and shingles that one product counts.
@@ -217,8 +218,8 @@ def in_regions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             mark[i] = mark[j] = True
         mark |= np.bincount(rows.region)[rows.region] > MARKED
         if at == 0:
-            mark[: min(REACH, int((rows.region == 0).sum()))] = True  # the region may begin in an earlier partition
-        cut_at = max(0, rows.n - REACH)
+            mark[: min(EDGE, int((rows.region == 0).sum()))] = True  # the region may begin in an earlier partition
+        cut_at = max(0, rows.n - EDGE)
         yield from put(t.slice(0, cut_at), mark[:cut_at], at, False)
         at += cut_at
         carry, seen = t.slice(cut_at), mark[cut_at:]
@@ -391,17 +392,14 @@ def near_duplicates(
         both = F.size(F.array_intersect("x", "y"))
         return cut(pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
 
-    labels, tested, reaches = None, None, list(REACHES)
-    while reaches:
-        reach = reaches.pop(0)
+    labels, tested = None, None
+    for reach in REACHES:
         pairs = neighbours(trees.where(F.col("tree") < FIRST_TREES) if reach == 1 else trees, labels, held, reach, percent)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         links = confirm(pairs)
-        if links.isEmpty():
-            continue
-        labels = merge_labels(labels, links)
-        reaches = reaches or [REACH]
+        if not links.isEmpty():
+            labels = merge_labels(labels, links)
     links = cut(exhaust(trees, labels, sets, percent), "links")
     if not links.isEmpty():
         labels = merge_labels(labels, links)

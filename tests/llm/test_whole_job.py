@@ -105,8 +105,7 @@ def test_near_duplicates_in_a_crowd_of_many_tiles(spark, monkeypatch):
     r = random.Random(13)
     monkeypatch.setattr(lsh_forest, "TILE", 50)
     monkeypatch.setattr(lsh_forest, "SLICE", 64)
-    monkeypatch.setattr(lsh_forest, "REACHES", (1,))
-    monkeypatch.setattr(lsh_forest, "REACH", 1)
+    monkeypatch.setattr(lsh_forest, "REACHES", (1, 4))
     base = _say(r, 150)
     crowd = [_edited(r, base, r.randint(3, 6)) for _ in range(300)]
     texts = crowd + [_edited(r, t, 3) for t in crowd[:60]] + [_say(r, 40) for _ in range(20)]
