@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 _PUNCTUATION = ".,;:!?()[]{}'\""
 
 
+def words_of(words: list[str]) -> Column:
+    """A list of words as one constant; made of one literal, as plans of many literals are slow to build."""
+    return F.split(F.lit("\x01".join(words)), "\x01") if words else F.array().cast("array<string>")
+
+
+def listed(word: Column, words: list[str]) -> Column:
+    return F.array_contains(words_of(words), word)
+
+
 def join_messages(messages: Column) -> Column:
     """Contents of the messages, one a line."""
     return F.array_join(F.transform(messages, lambda m: m["content"]), "\n")
@@ -51,17 +60,12 @@ def normalize_phrase(text: Column) -> Column:
 
 # The plural endings below, and the patterns and wording of key_phrases and hypotheses.
 def singularize(word: Column) -> Column:
-    """English plural endings cut by rule: ies, then es after hissing sounds, les/res/nes, other es, then s."""
-    cut = lambda n: F.left(word, F.length(word) - n)
-    ends = lambda *xs: F.coalesce(*[F.when(F.endswith(word, F.lit(x)), F.lit(True)) for x in xs], F.lit(False))
-    return (
-        F.when(ends("ies") & (F.length(word) > 3), F.concat(cut(3), F.lit("y")))
-        .when(ends("ses", "xes", "zes", "ches", "shes"), cut(2))
-        .when(ends("les", "res", "nes"), cut(1))
-        .when(ends("es"), cut(2))
-        .when(ends("s") & ~ends("ss"), cut(1))
-        .otherwise(word)
-    )
+    """English plural endings cut by rule: ies, then es after hissing sounds, les/res/nes, other es, then s.
+
+    One pattern with one branch an ending, so that plans hold the word three times and not for every ending.
+    """
+    shorter = F.regexp_replace(word, r"(?:(?<![lrn])es|(?<=[lrn]e)s|(?<![se])s)\z", "")
+    return F.when(F.regexp_like(word, F.lit(r"(?s).ies\z")), F.regexp_replace(word, r"ies\z", "y")).otherwise(shorter)
 
 
 def normalize_noun(word: Column) -> Column:
@@ -76,11 +80,22 @@ def preview(text: Column, start: Column, end: Column, radius: int = 40) -> Colum
     return F.concat(F.when(lo > 0, F.lit("…")).otherwise(F.lit("")), body, F.when(hi < n, F.lit("…")).otherwise(F.lit("")))
 
 
-def find_all(text: Column, pattern: str, group: int = 0) -> Column:
+_FIND_ALL = """CASE WHEN regexp_like({t}, {p}) THEN aggregate(
+  arrays_zip(slice(split({t}, {p}, -1), 1, size(regexp_extract_all({t}, {p}, 0))), regexp_extract_all({t}, {p}, 0), regexp_extract_all({t}, {p}, {g})),
+  named_struct('at', 0L, 'out', CAST(array() AS {kind})),
+  (acc, z) -> named_struct('at', acc.at + length(z.`0`) + length(z.`1`), 'out', concat(acc.out, array(named_struct('text', z.`1`, 'value', z.`2`,
+    'start', acc.at + length(z.`0`), 'end', acc.at + length(z.`0`) + length(z.`1`))))),
+  acc -> acc.out) ELSE CAST(array() AS {kind}) END"""
+
+
+def find_all(text: Column | str, pattern: str, group: int = 0) -> Column:
     """All matches, leftmost first, as array<struct<text, value, start, end>>; value is the group.
 
-    The pieces between matches and the matches themselves tell each match's offset, summed in one fold.
+    The pieces between matches and the matches themselves tell each match's offset, summed in one fold. Given the name of a column, the same
+    is said as one SQL text, which is quicker to build.
     """
+    if isinstance(text, str):
+        return F.expr(_FIND_ALL.format(t=f"`{text}`", p=f"r'{pattern}'", g=group, kind="array<struct<text:string,value:string,start:bigint,end:bigint>>"))
     p = F.lit(pattern)
     gaps, whole, part = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<text:string,value:string,start:bigint,end:bigint>>").alias("out"))

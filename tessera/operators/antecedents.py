@@ -50,7 +50,7 @@ def word_index(texts: DataFrame, options: Options | None = None) -> DataFrame:
     # Exploded first, so that what follows is compiled: each word with the word and the characters before it.
     x = d.select("case_id", "part", "ahead", F.posexplode(each).alias("at", "x")).select("case_id", "part", "ahead", "at", "x.*")
     if options:
-        known = lambda w: w.isin(vocabulary(options)) | F.array_contains("ahead", w)
+        known = lambda w: T.listed(w, vocabulary(options)) | F.array_contains("ahead", w)
         x = x.where(known(F.col("word")) | (F.endswith("word", F.lit("s")) & known(F.expr("left(word, length(word) - 1)"))))
     close, the = F.col("gap") == " ", F.endswith("prev", F.lit("the"))
     other = ~(close & F.regexp_like("prev", F.lit(_SKIP_END)))
@@ -67,12 +67,12 @@ def terms(found: DataFrame, options: Options = Options(), nouns: list[str] | Non
     """Candidates with what is asked for: the noun of the span (``asked``), its synonyms and those of the head, and which of them are nouns."""
     nouns = L.nouns(list(options.reference_heads)) if nouns is None else nouns
     synonyms = L.synonyms(options.synonyms)
-    table = F.create_map(*[x for h, s in synonyms.items() for x in (F.lit(h), F.array(*[F.lit(y) for y in s]))])
-    of = lambda head: F.coalesce(F.try_element_at(table, head), F.array(head))
+    table = F.str_to_map(F.lit("\x02".join(f"{h}\x03" + "\x01".join(s) for h, s in synonyms.items())), F.lit("\x02"), F.lit("\x03"))
+    of = lambda head: F.coalesce(F.split(F.try_element_at(table, head), "\x01"), F.array(head))
     ref = T.normalize_phrase(F.col("span"))
     word = F.regexp_extract(ref, r"(?<![A-Za-z0-9_])(the|this|that|these|those|aforementioned)\s+([a-z][a-z0-9_-]{2,})(?![A-Za-z0-9_])", 2)
     asked = F.when(word != "", T.normalize_noun(word)).otherwise(F.element_at(F.split(ref, r"\s+"), -1))
-    noun = lambda s: s.isin(*nouns) | F.array_contains("more", s) if "more" in found.columns else s.isin(*nouns)
+    noun = lambda s: T.listed(s, nouns) | F.array_contains("more", s) if "more" in found.columns else T.listed(s, nouns)
     d = found.withColumn("asked", asked).withColumns({"syns": of(F.col("head")), "asked_syns": of(F.col("asked")), "head_noun": noun(F.col("head"))})
     return d.withColumn("noun_syns", F.filter("syns", noun))
 

@@ -33,14 +33,14 @@ def views(cases: DataFrame, options: Options = Options()) -> DataFrame:
 
 def definite_phrases(df: DataFrame, text: str, nouns: list[str] | None = None) -> DataFrame:
     """A row for each definite noun phrase: keys, span, head (normalised), start, end. With ``nouns``, only heads among them."""
-    d = df.withColumn("m", F.explode(T.find_all(F.col(text), L.DEFINITE_NP, 2))).withColumn("raw", F.lower("m.value"))
+    d = df.withColumn("m", F.explode(T.find_all(text, L.DEFINITE_NP, 2))).withColumn("raw", F.lower("m.value"))
     d = d.withColumn("head", T.normalize_noun(F.col("raw")))
     if nouns is not None:
-        d = d.where(F.col("raw").isin(*nouns) | F.col("head").isin(*nouns))
+        d = d.where(T.listed(F.col("raw"), nouns) | T.listed(F.col("head"), nouns))
     return d.select(*df.columns, F.col("m.text").alias("span"), "raw", "head", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
 
 
-def forward_matches(text: Column) -> Column:
+def forward_matches(text: str) -> Column:
     """Forward references: array of (start, end, text, value), each range once, in order; value is the noun of "the following X"."""
     parts = [T.find_all(text, p, 1 if i == 0 else 0) for i, p in enumerate(L.FORWARD_REFS)]
     def keyed(x: Column, i: int) -> Column:
@@ -53,9 +53,9 @@ def forward_matches(text: Column) -> Column:
 
 def forward_refs(df: DataFrame, text: str, nouns: list[str], more: str | None = None) -> DataFrame:
     """A row for each forward reference: keys, span, head ('' unless a known noun follows), start, end. ``more``: a column of further nouns."""
-    d = df.withColumn("m", F.explode(forward_matches(F.col(text))))
+    d = df.withColumn("m", F.explode(forward_matches(text)))
     noun = T.normalize_noun(F.col("m.value"))
-    known = F.col("m.value").isin(*nouns) | noun.isin(*nouns)
+    known = T.listed(F.col("m.value"), nouns) | T.listed(noun, nouns)
     if more:
         known = known | F.array_contains(more, F.col("m.value")) | F.array_contains(more, noun)
     known = (F.col("m.value") != "") & known
@@ -65,13 +65,13 @@ def forward_refs(df: DataFrame, text: str, nouns: list[str], more: str | None =
 def is_verb(word: Column) -> Column:
     """Whether a lower-case word is a verb form of the list, maybe with -s, -ed or -ing."""
     stem = lambda n: F.left(word, F.length(word) - n)
-    return word.isin(*L.VERBS) | (F.endswith(word, F.lit("ing")) & stem(3).isin(*L.VERBS)) | (F.endswith(word, F.lit("ed")) & stem(2).isin(*L.VERBS)) | (F.endswith(word, F.lit("s")) & stem(1).isin(*L.VERBS))
+    return T.listed(word, L.VERBS) | (F.endswith(word, F.lit("ing")) & T.listed(stem(3), L.VERBS)) | (F.endswith(word, F.lit("ed")) & T.listed(stem(2), L.VERBS)) | (F.endswith(word, F.lit("s")) & T.listed(stem(1), L.VERBS))
 
 
 def extracted_nouns(text: Column, entities: Column, verbs: bool = True) -> Column:
     """Nouns behind any determiner, and entities, each with its singular."""
     found = F.transform(F.regexp_extract_all(text, F.lit(L.ANY_DETERMINER), F.lit(2)), F.lower)
-    found = F.filter(found, lambda w: ~w.isin(*L.STOP_WORDS) & (~is_verb(w) if verbs else F.lit(True)))
+    found = F.filter(found, lambda w: ~T.listed(w, L.STOP_WORDS) & (~is_verb(w) if verbs else F.lit(True)))
     both = F.concat(found, entities)
     return F.array_distinct(F.concat(both, F.transform(both, T.normalize_noun)))
 
@@ -82,7 +82,7 @@ def extracted_phrases(text: Column, entities: Column) -> Column:
     An entity counts at its first place, from the determiner before it on.
     """
     shape = lambda start, head, end, span: F.struct(start.cast("long").alias("start"), head.alias("head"), (-end).cast("long").alias("back"), span.alias("span"))
-    np = F.filter(T.find_all(text, L.DEFINITE_NP, 2), lambda m: ~F.lower(m["value"]).isin(*L.STOP_WORDS) & ~is_verb(F.lower(m["value"])) & ~F.startswith(F.lower(m["text"]), F.lit("aforementioned")))
+    np = F.filter(T.find_all(text, L.DEFINITE_NP, 2), lambda m: ~T.listed(F.lower(m["value"]), L.STOP_WORDS) & ~is_verb(F.lower(m["value"])) & ~F.startswith(F.lower(m["text"]), F.lit("aforementioned")))
     np = F.transform(np, lambda m: shape(m["start"], T.normalize_noun(m["value"]), m["end"], m["text"]))
 
     def placed(w):
@@ -99,7 +99,7 @@ def extracted_phrases(text: Column, entities: Column) -> Column:
     return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["head"].alias("head"), (-m["back"]).alias("end"), m["span"].alias("span")))
 
 
-def dynamic_forward(text: Column) -> Column:
+def dynamic_forward(text: Column | str) -> Column:
     """"the X below" for any X: array<struct<start, head, end, span>>."""
     return F.transform(T.find_all(text, L.DYNAMIC_FORWARD, 2), lambda m: F.struct(m["start"].alias("start"), T.normalize_noun(m["value"]).alias("head"), m["end"].alias("end"), m["text"].alias("span")))
 
@@ -111,7 +111,7 @@ def _as_candidates(found: Column, forward: bool) -> Column:
 def _known(m: Column, nouns: list[str], more: bool) -> Column:
     """Whether the noun of "the following X" is one that the case or the lists know."""
     noun = T.normalize_noun(m["value"])
-    listed = m["value"].isin(*nouns) | noun.isin(*nouns)
+    listed = T.listed(m["value"], nouns) | T.listed(noun, nouns)
     return (m["value"] != "") & (listed | F.array_contains("more", m["value"]) | F.array_contains("more", noun) if more else listed)
 
 
@@ -120,15 +120,15 @@ def candidate_list(nouns: list[str], extract: bool) -> Column:
 
     With ``extract`` the views also have ``more`` nouns and the entities of the current text, ``named``.
     """
-    fixed = forward_matches(F.col("cur"))
+    fixed = forward_matches("cur")
     head = lambda m: F.when(_known(m, nouns, extract), T.normalize_noun(m["value"])).otherwise(F.lit(""))
     forward = F.transform(fixed, lambda m: F.struct(m["text"].alias("span"), head(m).alias("head"), m["start"].alias("start"), m["end"].alias("end")))
     if not extract:
-        near = F.filter(T.find_all(F.col("cur"), L.DEFINITE_NP, 2), lambda m: F.lower(m["value"]).isin(*nouns) | T.normalize_noun(m["value"]).isin(*nouns))
+        near = F.filter(T.find_all("cur", L.DEFINITE_NP, 2), lambda m: T.listed(F.lower(m["value"]), nouns) | T.listed(T.normalize_noun(m["value"]), nouns))
         near = F.transform(near, lambda m: F.struct(m["text"].alias("span"), T.normalize_noun(m["value"]).alias("head"), m["start"].alias("start"), m["end"].alias("end")))
         return F.concat(_as_candidates(near, False), _as_candidates(forward, True))
     # A range that a fixed pattern gives the same head is not repeated.
-    new = F.filter(dynamic_forward(F.col("cur")), lambda d: ~F.exists(forward, lambda m: (m["start"] == d["start"]) & (m["head"] == d["head"]) & (m["head"] != "")))
+    new = F.filter(dynamic_forward("cur"), lambda d: ~F.exists(forward, lambda m: (m["start"] == d["start"]) & (m["head"] == d["head"]) & (m["head"] != "")))
     return F.concat(_as_candidates(extracted_phrases(F.col("cur"), F.col("named")), False), _as_candidates(forward, True), _as_candidates(new, True))
 
 
@@ -187,7 +187,7 @@ def report(v: DataFrame, found: DataFrame) -> DataFrame:
 
 def noun_phrases(df: DataFrame, text: str, verbs: bool = True) -> DataFrame:
     """Definite noun phrases whose head is neither a stop word nor (if ``verbs``) a verb; of equal (start, head) the longest text."""
-    d = definite_phrases(df, text).where(~F.col("raw").isin(*L.STOP_WORDS))
+    d = definite_phrases(df, text).where(~T.listed(F.col("raw"), L.STOP_WORDS))
     if verbs:
         d = d.where(~is_verb(F.col("raw")))
     return d.groupBy(*df.columns, "start", "head").agg(F.max_by("span", F.length("span")).alias("span"))

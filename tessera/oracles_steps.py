@@ -30,3 +30,11 @@ exact AS (SELECT src.doc_id, src.model, src.text, CAST(coalesce(sum(n * coalesce
 ORACLES["token_exact"] = f"WITH RECURSIVE {_TOKENS} SELECT doc_id, model, tokens FROM exact"
 ORACLES["token_exact_boundary"] = f"""WITH RECURSIVE {_TOKENS}, cheap AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) AS c FROM exact)
 SELECT doc_id, CASE WHEN c < 0.6 * 1000 THEN 'cheap' WHEN c > 1.1 * 1000 THEN 'cheap_over' ELSE 'exact_boundary' END AS method, CASE WHEN c < 0.6 * 1000 OR c > 1.1 * 1000 THEN c ELSE tokens END AS tokens FROM cheap"""
+
+ORACLES["best_match_all"] = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e),
+p AS (SELECT q.vec_id AS q_id, e.vec_id, round(list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2])) / (q.norm * e.norm), 9) AS c FROM n q JOIN n e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY c DESC, vec_id) AS k FROM p)
+SELECT q_id, vec_id AS best_id, round(c, 5) AS best FROM r WHERE k = 1
+"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import lexicon as L
 from tessera.functions import text as T
-from tessera.operators import antecedents, bpe, conflicts, labels, placeholders, reference, schema, semantic, tokens
+from tessera.operators import antecedents, bpe, conflicts, labels, nearest, placeholders, reference, schema, semantic, tokens
 from tessera.options import Options
 from tessera.plans import evaluate, report
 from tessera.session import table
@@ -392,6 +392,12 @@ def best_match_similarity(s, d):
     return q.join(e, "label").where("q_id <> vec_id").groupBy("q_id").agg(F.round(F.max(T.cosine(F.col("x"), F.col("embedding"))), 5).alias("best"))
 
 
+def best_match_all(s, d):
+    """For the vectors whose id is divisible by 50, the best match among all others."""
+    m = nearest.best_match(table(s, d, "embeddings"), F.col("vec_id") % 50 == 0)
+    return m.select(F.col("query").alias("q_id"), F.col("id").alias("best_id"), F.round("cosine", 5).alias("best"))
+
+
 def combined_score(s, d):
     e = table(s, d, "events").selectExpr("event_id", "event_id % 10 / 10.0D AS p", "event_id % 7 / 7.0D AS s", "event_id % 11 / 11.0D AS n")
     c = semantic.combined(F.col("p"), F.col("s"), F.col("n"))
