@@ -30,7 +30,8 @@ def _case(r, i):
 def _cases(spark, n=45):
     r = random.Random(11)
     kind = "case_id string, prompt string, messages array<struct<role:string,content:string>>, attachments array<struct<type:string,name:string>>"
-    return report.complete(spark.createDataFrame([_case(r, i) for i in range(n)], kind).repartition(3))
+    far = ("far", "Our memo is here. " + "filler words here " * 300 + "Read the report.", [], [])
+    return report.complete(spark.createDataFrame([far, *(_case(r, i) for i in range(n))], kind).repartition(3))
 
 
 @pytest.mark.parametrize("options", [
