@@ -39,12 +39,14 @@ def word_index(texts: DataFrame, options: Options | None = None) -> DataFrame:
     """(case_id, part, word, first, last, clear, plain, other, bare) from (case_id, part, text, and ``cur`` with options).
 
     With options only words that a candidate of known nouns can ask for are kept: the vocabulary and the nouns that ``cur`` has behind "the following".
-    clear: first place without "the " before it; other: without another determiner; plain: without either; bare: without "the" and white space in the text as written.
+    clear: first place without "the " before it; other: without another determiner; plain: without either; bare: without "the" and white space in the
+    text as written.
     """
     norm = T.normalize_phrase(F.col("text"))
     ahead = F.transform(F.regexp_extract_all("cur", F.lit(L.FORWARD_REFS[0]), F.lit(1)), F.lower) if options else F.array().cast("array<string>")
     ahead = F.array_distinct(F.concat(ahead, F.transform(ahead, T.normalize_noun)))
-    d = texts.select("case_id", "part", ahead.alias("ahead"), F.regexp_extract_all(norm, F.lit(_WORD), F.lit(0)).alias("w"), F.split(norm, _WORD).alias("gap"), F.split(F.lower("text"), _WORD).alias("raw"))
+    d = texts.select("case_id", "part", ahead.alias("ahead"), F.regexp_extract_all(norm, F.lit(_WORD), F.lit(0)).alias("w"),
+        F.split(norm, _WORD).alias("gap"), F.split(F.lower("text"), _WORD).alias("raw"))
     prev = F.concat(F.array(F.lit("")), F.col("w"))
     each = F.slice(F.arrays_zip(F.col("w").alias("word"), F.col("gap").alias("gap"), F.col("raw").alias("raw"), prev.alias("prev")), 1, F.size("w"))
     # Exploded first, so that what follows is compiled: each word with the word and the characters before it.
@@ -54,7 +56,8 @@ def word_index(texts: DataFrame, options: Options | None = None) -> DataFrame:
         x = x.where(known(F.col("word")) | (F.endswith("word", F.lit("s")) & known(F.expr("left(word, length(word) - 1)"))))
     close, the = F.col("gap") == " ", F.endswith("prev", F.lit("the"))
     other = ~(close & F.regexp_like("prev", F.lit(_SKIP_END)))
-    x = x.select("case_id", "part", "word", "at", (~(close & the)).alias("clear"), other.alias("other"), (~(F.col("raw").isin(" ", "\n", "\t") & the)).alias("bare"))
+    x = x.select("case_id", "part", "word", "at", (~(close & the)).alias("clear"), other.alias("other"),
+        (~(F.col("raw").isin(" ", "\n", "\t") & the)).alias("bare"))
     forms = F.when(F.endswith("word", F.lit("s")) & (F.length("word") > 1), F.array("word", F.left("word", F.length("word") - 1))).otherwise(F.array("word"))
     at = lambda ok: F.min(F.when(ok, F.col("at")))
     return x.withColumn("word", F.explode(forms)).groupBy("case_id", "part", "word").agg(
@@ -100,13 +103,15 @@ def by_index(asked: DataFrame, texts: DataFrame, options: Options) -> DataFrame:
     rest = [c for c in asked.columns if c not in _KEY]
     probes = asked.select(*_KEY, F.struct(*rest).alias("rest"), F.explode_outer(wanted).alias("word"))
     hit = F.when(F.col("part").isNotNull(), F.struct("word", "part", "first", "last", "clear", "plain", "other", "bare"))
-    met = probes.join(word_index(texts, None if options.use_nlp else options), ["case_id", "word"], "left").groupBy(*_KEY).agg(F.first("rest").alias("rest"), F.collect_list(hit).alias("hits"))
+    met = probes.join(word_index(texts, None if options.use_nlp else options), ["case_id", "word"],
+        "left").groupBy(*_KEY).agg(F.first("rest").alias("rest"), F.collect_list(hit).alias("hits"))
     d = met.select(*_KEY, "rest.*", "hits")
     some = lambda words, ok: F.exists(words, lambda s: F.exists("hits", lambda x: (x["word"] == s) & F.coalesce(ok(x), F.lit(False))))
     one = lambda word, ok: F.exists("hits", lambda x: (x["word"] == F.col(word)) & F.coalesce(ok(x), F.lit(False)))
     in_h = lambda x: x["part"] == "h"
     early = lambda c: lambda x: (x["part"] == "c") & (x[c] < F.col("n_before"))
-    bare = lambda words: F.exists(words, lambda s: F.exists("hits", lambda x: (x["word"] == s) & F.coalesce(early("bare")(x) & early("plain")(x), F.lit(False))))
+    bare = lambda words: F.exists(words, lambda s: F.exists("hits",
+        lambda x: (x["word"] == s) & F.coalesce(early("bare")(x) & early("plain")(x), F.lit(False))))
     method = decided(options, {
         "asked_h": some("asked_syns", in_h), "asked_after": some("asked_syns", lambda x: (x["part"] == "c") & (x["last"] >= F.col("n_until"))),
         "head_h": one("head", in_h), "head_before": one("head", early("clear")), "syn_h": some("syns", lambda x: in_h(x) & x["other"].isNotNull()),
@@ -117,13 +122,15 @@ def by_index(asked: DataFrame, texts: DataFrame, options: Options) -> DataFrame:
     nth = F.get(F.filter("hits", lambda x: (x["part"] == "c") & (x["word"] == fit)), 0)["plain"]
     # The place in characters of the nth word of the text before, which only candidates far in carry.
     size = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, s: a + F.length(s))
-    place = F.when(F.col("far_text").isNotNull(), size(F.split("far_text", _WORD), nth + 1) + size(F.regexp_extract_all("far_text", F.lit(_WORD), F.lit(0)), nth))
+    place = F.when(F.col("far_text").isNotNull(), size(F.split("far_text", _WORD),
+        nth + 1) + size(F.regexp_extract_all("far_text", F.lit(_WORD), F.lit(0)), nth))
     return d.withColumn("told", F.coalesce("told", verdict(method, matched, place))).drop("hits")
 
 
 def verdict(method: Column, matched: Column, place: Column) -> Column:
     """What is kept of a candidate: the method, the matched word of the pattern check, the place of the synonym before it."""
-    return F.struct(method.alias("method"), F.when(method == "pattern", matched).alias("matched"), F.when(method == "synonym", place).cast("long").alias("place"))
+    return F.struct(method.alias("method"), F.when(method == "pattern", matched).alias("matched"),
+        F.when(method == "synonym", place).cast("long").alias("place"))
 
 
 def by_patterns(options: Options) -> Column:
@@ -136,8 +143,10 @@ def by_patterns(options: Options) -> Column:
     plain = NOT_OTHER + "(?<!the )"
     bare = lambda words: F.exists(words, lambda s: has(raw, s, NOT_THE) & has(before, s, plain))
     method = decided(options, {
-        "asked_h": some(h, "asked_syns"), "asked_after": (after != "") & some(after, "asked_syns"), "head_h": has(h, F.col("head")), "head_before": has(before, F.col("head"), "(?<!the )"),
-        "syn_h": some(h, "syns", NOT_OTHER), "syn_before": some(before, "syns", plain), "head_bare": F.col("head_noun") & bare(F.array("head")), "syn_bare": bare("noun_syns"),
+        "asked_h": some(h, "asked_syns"), "asked_after": (after != "") & some(after, "asked_syns"), "head_h": has(h,
+            F.col("head")), "head_before": has(before, F.col("head"), "(?<!the )"),
+        "syn_h": some(h, "syns", NOT_OTHER), "syn_before": some(before, "syns",
+            plain), "head_bare": F.col("head_noun") & bare(F.array("head")), "syn_bare": bare("noun_syns"),
     })
     fit = F.get(F.filter("syns", lambda s: has(before, s, plain)), 0)
     place = F.when(F.col("start") > FAR, F.length(F.get(F.split(before, T.word_pattern(fit, plain), 2), 0)))
@@ -152,13 +161,15 @@ def judge(v: DataFrame, found: DataFrame, options: Options = Options()) -> DataF
     count = lambda size: F.regexp_count(F.substring(F.col("cur"), F.lit(1), F.col(size).cast("int")), F.lit("[A-Za-z0-9_]+"))
     word = lambda s: F.regexp_like(s, F.lit(f"^{_WORD}$"))
     d = terms(found, options).withColumns({
-        "long_hist": T.count_words(F.col("hist")) > 40, "n_before": count("start"), "n_until": count("end"), "preview": T.preview(F.col("cur"), F.col("start"), F.col("end")),
+        "long_hist": T.count_words(F.col("hist")) > 40, "n_before": count("start"), "n_until": count("end"), "preview": T.preview(F.col("cur"),
+            F.col("start"), F.col("end")),
         "far_text": F.when(F.col("start") > FAR, T.normalize_phrase(F.substring(F.col("cur"), F.lit(1), F.col("start").cast("int")))),
         "held": F.contains(F.col("attached"), F.col("head")) | F.exists("syns", lambda s: F.contains(F.col("attached"), s)),
     })
     odd = ~(word(F.col("asked")) & F.forall("asked_syns", word) & F.forall("syns", lambda s: (s == "") | word(s)))
     own = [*_KEY, "message_index", "preview", "asked"]
-    narrow = d.select(*own, "asked_syns", "syns", "noun_syns", "head_noun", "long_hist", "n_before", "n_until", "far_text", "held", F.when(odd, by_patterns(options)).alias("told"))
+    narrow = d.select(*own, "asked_syns", "syns", "noun_syns", "head_noun", "long_hist", "n_before", "n_until", "far_text", "held",
+        F.when(odd, by_patterns(options)).alias("told"))
     parts = F.array(F.struct(F.lit("h").alias("part"), F.col("hist").alias("text")), F.struct(F.lit("c").alias("part"), F.col("cur").alias("text")))
     method = F.col("told.method")
     sure = F.when(method.isNull(), F.lit(0.0)).when((method == "pattern") & (F.col("told.matched") == F.col("asked")), F.lit(0.9)).otherwise(F.lit(0.8))
@@ -174,7 +185,8 @@ def described(judged: DataFrame) -> DataFrame:
     models = method.isin("semantic-similarity", "nli-entailment", "combined")
     checked = F.when(models, method).when(open_ | (method == "pattern"), "pattern").otherwise("none")
     points = F.when(method.isin("exact", "synonym", "pattern"), -2).when(method.isin("memory", "attachment"), -1).otherwise(0)
-    return judged.withColumns({"resolution": resolution, "status": F.when(open_, "unfulfilled").otherwise("fulfilled"), "checked_by": checked, "points": points})
+    return judged.withColumns({"resolution": resolution, "status": F.when(open_, "unfulfilled").otherwise("fulfilled"), "checked_by": checked,
+        "points": points})
 
 
 def scores(v: DataFrame, judged: DataFrame) -> DataFrame:
@@ -187,9 +199,11 @@ def scores(v: DataFrame, judged: DataFrame) -> DataFrame:
     per = d.groupBy("case_id").agg(
         F.count("*").alias("n"), F.sum(open_.cast("int")).alias("uncovered"), F.sum("points").alias("points"), F.max("penalty").alias("penalty"),
         F.max(F.col("method").isin("synonym", "memory", "pattern")).alias("unsure"), F.array_sort(F.collect_set("method")).alias("methods"),
-        F.sort_array(F.collect_list(F.when(open_, F.struct("forward", "start", F.lower("span").alias("key"), "head", "span", "end", "preview", "message_index", "status", "checked_by", "sure")))).alias("open"),
+        F.sort_array(F.collect_list(F.when(open_, F.struct("forward", "start", F.lower("span").alias("key"), "head", "span", "end", "preview",
+            "message_index", "status", "checked_by", "sure")))).alias("open"),
     )
-    none = {"n": F.lit(0), "uncovered": F.lit(0), "penalty": F.lit(False), "unsure": F.lit(False), "methods": F.array().cast("array<string>"), "open": F.array().cast(per.schema["open"].dataType), "points": F.lit(0)}
+    none = {"n": F.lit(0), "uncovered": F.lit(0), "penalty": F.lit(False), "unsure": F.lit(False), "methods": F.array().cast("array<string>"),
+        "open": F.array().cast(per.schema["open"].dataType), "points": F.lit(0)}
     out = v.withColumn("cue", F.regexp_like("cur", F.lit(L.DEICTIC))).join(per, "case_id", "left").withColumns({c: F.coalesce(c, x) for c, x in none.items()})
     out = out.withColumn("score", F.col("cue").cast("int") + (F.col("n") > 0).cast("int") + F.col("points")).drop("points")
     return out.withColumn("flagged", (F.col("uncovered") > 0) | (F.col("cue") & (F.col("n") == 0)) | (F.col("score") >= 2))

@@ -1,8 +1,10 @@
 """The best match of each query vector among all vectors, exactly, by blocked matrix products.
 
-Rows are packed into blocks of one vector length; queries too, which go along as a broadcast of at most ``ROUND_BYTES``, checked, with as many rounds over the rows as
+Rows are packed into blocks of one vector length; queries too, which go along as a broadcast of at most ``ROUND_BYTES``, checked, with as many rounds
+over the rows as
 that takes. A task multiplies each block of rows by each block of queries and returns one row a query; a grouped maximum picks the best. Cosines are
-compared after rounding to 9 decimals, ties go to the smaller id. Null vectors, vectors with a null or non-finite component, rows with a null id and a query's own id take no part;
+compared after rounding to 9 decimals, ties go to the smaller id. Null vectors, vectors with a null or non-finite component, rows with a null id and
+a query's own id take no part;
 zero vectors have a cosine of 0 with all. Vectors of other lengths are not compared.
 """
 
@@ -34,7 +36,8 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = flat[starts[some][:, None] + np.arange(dims)].astype(np.float64)
                 norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
                 unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-                row = {"dims": pa.array([dims], pa.int64()), "ids": pa.array([ids[some].tobytes()], pa.binary()), "units": pa.array([unit.tobytes()], pa.binary())}
+                row = {"dims": pa.array([dims], pa.int64()), "ids": pa.array([ids[some].tobytes()], pa.binary()),
+                    "units": pa.array([unit.tobytes()], pa.binary())}
                 yield pa.RecordBatch.from_pydict(row)
 
 

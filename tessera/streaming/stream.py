@@ -65,13 +65,15 @@ def conversation_state(turns: DataFrame, time_col: str | None = None, delay: str
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [n], "chars": [chars], "tokens": [tokens]})
 
     rows, ends = (turns.withWatermark(time_col, delay), GroupStateTimeout.EventTimeTimeout) if time_col else (turns, GroupStateTimeout.NoTimeout)
-    return rows.groupBy("conv_id").applyInPandasWithState(step, "conv_id bigint, turns bigint, chars bigint, tokens bigint", "n bigint, chars bigint, tokens bigint", "update", ends)
+    return rows.groupBy("conv_id").applyInPandasWithState(step, "conv_id bigint, turns bigint, chars bigint, tokens bigint",
+        "n bigint, chars bigint, tokens bigint", "update", ends)
 
 
 class History(StatefulProcessor):
     """The last ``keep`` messages of each conversation as list state, and how many there were.
 
-    Messages count in the order of their turns within a micro-batch, and of the micro-batches. By event time a timer clears a conversation that has been idle for
+    Messages count in the order of their turns within a micro-batch, and of the micro-batches. By event time a timer clears a conversation that has
+    been idle for
     ``idle_ms``; by processing time the state's time to live does; without ``idle_ms`` it stays.
     """
 
@@ -110,7 +112,8 @@ class History(StatefulProcessor):
 def with_history(turns: DataFrame, keep: int, idle_ms: int | None = None, time_col: str | None = None, delay: str = "1 hour") -> DataFrame:
     """A case for each turn of a stream: case_id (conversation:turn), seen (messages before it), messages (the last ``keep`` before it, and itself).
 
-    With ``idle_ms`` the state of an idle conversation goes: by the watermark of a time column if there is one, else by the clock; a stream that lives by the clock
+    With ``idle_ms`` the state of an idle conversation goes: by the watermark of a time column if there is one, else by the clock; a stream that
+    lives by the clock
     does not end by itself, even where it is asked for what is available now.
     """
     rows = turns.withWatermark(time_col, delay) if time_col else turns
