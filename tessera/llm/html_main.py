@@ -5,8 +5,11 @@ scripts and styles are dropped by tag, role or class; a class word does not drop
 blocks of all pages are judged by their host: the token streams of the host's pages are concatenated, a suffix array
 over them finds strings of ``RUN`` tokens or more that stand on distinct pages. Blocks mostly covered by
 such strings are boilerplate, while unique runs stay. Structure sets how much must be covered: ``COVERED`` of a block
-outside an article (``article``, ``main`` or their roles), all of a block inside one, by strings inside the block; and where ``COPIED`` of a page's articles or more is covered, the
-page is taken for a copy of another and its articles stay whole.
+outside an article (``article``, ``main`` or their roles). A block inside one goes only if strings inside the block that also stand outside all articles
+on another page of the host cover all of it, so articles that share a sentence keep it; and where ``COPIED`` of a page's articles or more is covered,
+the page is taken for a copy of another and its articles stay whole. Outside articles too, a block goes or stays whole: taking single strings out of it
+would tear sentences. A host with a single page loses nothing; equal strings are ties and are judged alike. Very long pages are read whole. Only the
+id, URL and HTML columns are read, so extra columns may have any names.
 
 A host's pages are dealt at random into shards of about ``SHARD_PAGES`` pages, each with a suffix array of its own, so that no task gets a host of
 unbounded size. The distinct windows of ``RUN`` tokens of each shard are first counted across the host's shards by hash, in
@@ -196,22 +199,32 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
         k *= 2
 
 
-def _stream(pages: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Token numbers of all pages, one after another, the page of each, and the tokens by number."""
+def _stream(pages: list[list[tuple[list[str], int]]]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Token numbers of all pages, one after another, the page of each, the tokens by number, and whether each place is outside all articles."""
     ids: dict[str, int] = {}
-    stream, owner = [], []
+    stream, owner, outside = [], [], []
     for p, blocks_ in enumerate(pages):
-        for b in blocks_:
+        for b, kind in blocks_:
             stream += [ids.setdefault(t, len(ids) + 1) for t in b]
             owner += [p] * len(b)
+            outside += [kind != INSIDE] * len(b)
         stream.append(-1 - p)  # a separator of its own, so that no string crosses pages
         owner.append(p)
-    return np.array(stream, np.int64), np.array(owner, np.int64), list(ids)
+        outside.append(False)
+    return np.array(stream, np.int64), np.array(owner, np.int64), list(ids), np.array(outside, bool)
 
 
-def _repeated_starts(x: np.ndarray, owner: np.ndarray, run: int) -> np.ndarray:
-    """Whether a string of ``run`` tokens that stands on two pages starts at each place."""
-    starts = np.zeros(len(x), bool)
+def _throughout(mask: np.ndarray, run: int) -> np.ndarray:
+    """Whether the mask holds at ``run`` places from each place on."""
+    out = np.ones(max(0, len(mask) - run + 1), bool)
+    for i in range(run):
+        out &= mask[i : i + len(out)]
+    return out
+
+
+def _repeated_starts(x: np.ndarray, owner: np.ndarray, outside: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a string of ``run`` tokens that stands on two pages starts at each place, and one that stands outside all articles on another page."""
+    starts, slipped = np.zeros(len(x), bool), np.zeros(len(x), bool)
     if len(x) > run:
         order = suffix_array(x, run)
         order = order[order + run <= len(x)]
@@ -225,7 +238,13 @@ def _repeated_starts(x: np.ndarray, owner: np.ndarray, run: int) -> np.ndarray:
         np.minimum.at(least, group, own)
         np.maximum.at(most, group, own)
         starts[order[(least < most)[group]]] = True
-    return starts
+        out = _throughout(outside, run)[order]
+        least[:], most[:] = np.iinfo(np.int64).max, -1
+        np.minimum.at(least, group[out], own[out])
+        np.maximum.at(most, group[out], own[out])
+        some, other = (most >= 0)[group], (least[group] != own) | (most[group] != own)
+        slipped[order[some & other]] = True
+    return starts, slipped
 
 
 def _window_keys(x: np.ndarray, tokens: list[str], shards: int, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,39 +254,41 @@ def _window_keys(x: np.ndarray, tokens: list[str], shards: int, run: int) -> tup
         return np.empty(0, U64), np.empty(0, bool)
     data, offs = string_parts(pa.array(tokens, pa.large_string()))
     code = np.concatenate((np.zeros(1, U64), Block(data, offs, 0).hashes(offs[:-1], offs[1:])))[np.maximum(x, 0)]
-    h, whole = np.zeros(n, U64), np.ones(n, bool)
+    h = np.zeros(n, U64)
     for i in range(run):
         h += code[i : i + n] * _STEP[i]
-        whole &= x[i : i + n] > 0
     h = mix(h)
-    return ((h & U64(0xFFFFFFFF)) % U64(shards)) << U64(32) | h >> U64(32), whole
+    return ((h & U64(0xFFFFFFFF)) % U64(shards)) << U64(32) | h >> U64(32), _throughout(x > 0, run)
 
 
-def windows(pages: list[list[list[str]]], shards: int, run: int = RUN) -> np.ndarray:
-    """Sorted keys of the pages' windows, each once."""
-    x, _, tokens = _stream(pages)
+def windows(pages: list[list[tuple[list[str], int]]], shards: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the pages' windows, each once, and of those that stand outside all articles."""
+    x, _, tokens, outside = _stream(pages)
     keys, whole = _window_keys(x, tokens, shards, run)
-    return np.unique(keys[whole])
+    return np.unique(keys[whole]), np.unique(keys[_throughout(outside, run)]) if len(keys) else keys
 
 
-def repeated_tokens(pages: list[list[list[str]]], run: int = RUN, elsewhere: np.ndarray | None = None, shards: int = 1) -> list[list[tuple[np.ndarray, bool]]]:
+def repeated_tokens(
+    pages: list[list[tuple[list[str], int]]], run: int = RUN, elsewhere: np.ndarray | None = None, elsewhere_outside: np.ndarray | None = None, shards: int = 1
+) -> list[list[tuple[np.ndarray, bool]]]:
     """For each page and block, which tokens are covered by a string of ``run`` tokens that stands on another page too, and whether
-    such strings inside the block cover all of it.
+    strings inside the block that stand outside all articles on another page cover all of it.
 
-    ``elsewhere``: keys of windows that stand on pages of other shards."""
-    x, owner, tokens = _stream(pages)
-    starts = _repeated_starts(x, owner, run)
+    ``elsewhere``: keys of windows that stand on pages of other shards; ``elsewhere_outside``: outside all articles there."""
+    x, owner, tokens, outside = _stream(pages)
+    starts, slipped = _repeated_starts(x, owner, outside, run)
     if elsewhere is not None and len(elsewhere):
         keys, whole = _window_keys(x, tokens, shards, run)
         starts[: len(keys)] |= whole & np.isin(keys, elsewhere)
+        slipped[: len(keys)] |= whole & np.isin(keys, elsewhere_outside)
     covered, hit = np.zeros(len(x), bool), np.flatnonzero(starts)
     for i in range(run):
         covered[hit + i] = True
     out, at = [], 0
     for blocks_ in pages:
         out.append([])
-        for b in blocks_:
-            own, inner = np.flatnonzero(starts[at : at + max(0, len(b) - run + 1)]), np.zeros(len(b), bool)
+        for b, _ in blocks_:
+            own, inner = np.flatnonzero(slipped[at : at + max(0, len(b) - run + 1)]), np.zeros(len(b), bool)
             for i in range(run):
                 inner[own + i] = True
             out[-1].append((covered[at : at + len(b)], bool(inner.all())))
@@ -302,8 +323,8 @@ def _unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=U64)
 
 
-def _words(blocks_: list[tuple[str, int]]) -> list[list[str]]:
-    return [b.split(" ") for b, _ in blocks_]
+def _words(blocks_: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
+    return [(b.split(" "), kind) for b, kind in blocks_]
 
 
 def pack_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,29 +340,46 @@ def pack_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, types, strict=True)], names="host shard shards ids urls counts size body".split())
 
 
+_KEYS = "host string, shard long, bucket long, keys binary, outside binary"
+
+
+def _key_rows(host: str, shard: list[int], bucket: list[int], keys: list[np.ndarray], outside: list[np.ndarray]) -> pa.Table:
+    columns = {"host": pa.array([host] * len(keys), pa.string()), "shard": pa.array(shard, pa.int64()), "bucket": pa.array(bucket, pa.int64())}
+    packed = {name: pa.array([_pack_keys(k) for k in some], pa.binary()) for name, some in (("keys", keys), ("outside", outside))}
+    return pa.table(columns | packed)
+
+
 def shard_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct windows of each pack, a row a bucket."""
     for b in batches:
         for r in b.to_pylist():
-            keys = windows([_words(p) for p in _unpack(r["size"], r["body"], r["counts"])], r["shards"])
-            bucket = (keys >> U64(32)).astype(np.int64)
-            edges = np.searchsorted(bucket, np.arange(r["shards"] + 1))
-            some = np.flatnonzero(np.diff(edges))
-            packed = [_pack_keys(keys[edges[k] : edges[k + 1]] & U64(0xFFFFFFFF)) for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array([r["host"]] * len(some), pa.string()), pa.array([r["shard"]] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(packed, pa.binary())], names=["host", "shard", "bucket", "keys"])
+            both = windows([_words(p) for p in _unpack(r["size"], r["body"], r["counts"])], r["shards"])
+            parts = [np.split(k & U64(0xFFFFFFFF), np.searchsorted(k >> U64(32), np.arange(1, r["shards"], dtype=U64))) for k in both]
+            some = [k for k, x in enumerate(parts[0]) if len(x)]
+            rows = _key_rows(r["host"], [r["shard"]] * len(some), some, *([p[k] for k in some] for p in parts))
+            yield from rows.to_batches()
 
 
 def shared_keys(table: pa.Table) -> pa.Table:
-    """For each shard, those of its windows in a bucket that another shard holds too."""
-    shard = table.column("shard").to_numpy()
-    parts = [_unpack_keys(k) for k in table.column("keys").to_pylist()]
-    of, at = np.unique(shard, return_inverse=True)
-    own = [np.unique(np.concatenate([p for p, x in zip(parts, at, strict=True) if x == k])) for k in range(len(of))]
-    keys, counts = np.unique(np.concatenate(own), return_counts=True)
-    hits = [x[np.isin(x, keys[counts > 1])] for x in own]
+    """For each shard, those of its windows in a bucket that another shard holds too, and those that another shard holds outside all articles."""
+    of, at = np.unique(table.column("shard").to_numpy(), return_inverse=True)
+
+    def by_shard(column: str) -> list[np.ndarray]:
+        parts = [_unpack_keys(k) for k in table.column(column).to_pylist()]
+        return [np.unique(np.concatenate([p for p, x in zip(parts, at, strict=True) if x == k])) for k in range(len(of))]
+
+    def on_several(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = np.unique(np.concatenate(sets), return_counts=True)
+        return keys, keys[counts > 1]
+
+    own, outside = by_shard("keys"), by_shard("outside")
+    _, twice = on_several(own)
+    out, out_twice = on_several(outside)
+    hits = [x[np.isin(x, twice)] for x in own]
+    slipped = [h[np.isin(h, out_twice) | (np.isin(h, out) & ~np.isin(h, o))] for h, o in zip(hits, outside, strict=True)]
     some = [k for k, x in enumerate(hits) if len(x)]
     host, bucket = table.column("host")[0].as_py(), table.column("bucket")[0].as_py()
-    return pa.table({"host": pa.array([host] * len(some), pa.string()), "shard": pa.array(of[some], pa.int64()), "bucket": pa.array([bucket] * len(some), pa.int64()), "keys": pa.array([_pack_keys(hits[k]) for k in some], pa.binary())})
+    return _key_rows(host, of[some].tolist(), [bucket] * len(some), [hits[k] for k in some], [slipped[k] for k in some])
 
 
 def _left(blocks_: list[tuple[str, int]], marks: list[tuple[np.ndarray, bool]]) -> str:
@@ -358,10 +396,13 @@ def judge_shard(table: pa.Table, shared: pa.Table) -> pa.Table:
     seen: dict[str, int] = {}
     for i, (_, url, _) in enumerate(rows):
         seen.setdefault(url, i)
-    elsewhere = np.concatenate([np.empty(0, U64), *(_unpack_keys(k) | U64(b) << U64(32) for b, k in zip(shared.column("bucket").to_pylist(), shared.column("keys").to_pylist(), strict=True))])
+    buckets = [U64(b) << U64(32) for b in shared.column("bucket").to_pylist()]
+    elsewhere, outside = (
+        np.concatenate([np.empty(0, U64), *(_unpack_keys(k) | b for b, k in zip(buckets, shared.column(c).to_pylist(), strict=True))]) for c in ("keys", "outside")
+    )
     firsts = list(seen.values())
     shards = table.column("shards")[0].as_py() if table.num_rows else 1
-    marks = dict(zip(firsts, repeated_tokens([_words(rows[i][2]) for i in firsts], elsewhere=elsewhere, shards=shards), strict=True))
+    marks = dict(zip(firsts, repeated_tokens([_words(rows[i][2]) for i in firsts], RUN, elsewhere, outside, shards), strict=True))
     texts = [_left(blocks_, marks[i] if i in marks else repeated_like(blocks_, rows[seen[url]][2], marks[seen[url]])) for i, (_, url, blocks_) in enumerate(rows)]
     return pa.table({"page_id": pa.array([x[0] for x in rows], pa.int64()), "url": pa.array([x[1] for x in rows], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
@@ -389,8 +430,8 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     dealt = rows.where(named).withColumn("host", host_of(F.col("url"))).join(side, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long")))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("url"), F.col("shards"))).select("host", "shard", "shards", "page_id", "url", "html")
     packs = cut(dealt.mapInArrow(pack_pages, _PACK), "pages")
-    held = packs.where(F.col("shards") > 1).mapInArrow(shard_windows, "host string, shard long, bucket long, keys binary")
-    shared = cut(held.groupBy("host", "bucket").applyInArrow(lambda t: shared_keys(t), "host string, shard long, bucket long, keys binary"), "shared")
+    held = packs.where(F.col("shards") > 1).mapInArrow(shard_windows, _KEYS)
+    shared = cut(held.groupBy("host", "bucket").applyInArrow(lambda t: shared_keys(t), _KEYS), "shared")
     judged = packs.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard")).applyInArrow(lambda t, s: judge_shard(t, s), _OUT)
     out = rows.where(~named).mapInArrow(texts, _OUT).union(judged)
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

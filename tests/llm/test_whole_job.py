@@ -19,10 +19,28 @@ def test_html_structure_is_only_a_prior(spark):
         f"<div class='related'><p>{lead[2]}</p></div><article><p>{body[2]}</p></article>",
         f"<article><p>{body[3]}</p></article>",
         f"<article><p>{body[3]}</p></article>",  # a copy of the page before
+        f"<div>{note}</div><article><p>{body[2][:59]} {lead[3]}</p></article>",  # the note as furniture
     ]
     d = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     got = {x["page_id"]: x["text"] for x in html_main.extract_main(d).collect()}
-    assert got == {0: f"{lead[0]}\n{body[0]}", 1: f"{lead[1]}\n{body[1]}", 2: body[2], 3: body[3], 4: body[3]}
+    assert got == {0: f"{lead[0]}\n{body[0]}", 1: f"{lead[1]}\n{body[1]}", 2: body[2], 3: body[3], 4: body[3], 5: f"{body[2][:59]} {lead[3]}"}
+
+
+def test_html_articles_keep_shared_sentences(spark):
+    """A sentence that articles share stays; one that also stands outside all articles on another page goes, within a shard and across shards."""
+    r = random.Random(5)
+    shared, slipped, own = _say(r, 9), _say(r, 9), _say(r, 9)
+    pages = [f"<article><p>{_say(r, 30)}</p><p>{shared}</p><p>{slipped}</p></article>" for _ in range(24)]
+    pages[3] += f"<div>{slipped}</div>"
+    pages[4] = f"<article><p>{_say(r, 30)}</p><p>{own}</p></article><div>{own}</div>"  # twice on one page only
+    rows = [(i, f"http://h/{i}", p, "x") for i, p in enumerate(pages)] + [(50, "http://one/1", pages[0], "x"), (3, "http://h/3", pages[3], "x")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    lead = [p[12:].split("</p>")[0] for p in pages]
+    want = {i: f"{lead[i]}\n{shared}" for i in range(24)} | {50: f"{lead[0]}\n{shared}\n{slipped}", 4: f"{lead[4]}\n{own}\n{own}"}
+    want[3] = f"{lead[3]}\n{shared}\n{slipped}"  # no other page tells that it is furniture there, while the block outside is repeated
+    for size in (4, 256):
+        got = html_main.extract_main(d, shard_pages=size).collect()
+        assert len(got) == 26 and {x["page_id"]: x["text"] for x in got} == want
 
 
 def test_html_repeats_across_shards(spark):
