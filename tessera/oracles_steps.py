@@ -38,3 +38,11 @@ p AS (SELECT q.vec_id AS q_id, e.vec_id, round(list_sum(list_transform(list_zip(
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY c DESC, vec_id) AS k FROM p)
 SELECT q_id, vec_id AS best_id, round(c, 5) AS best FROM r WHERE k = 1
 """
+
+ORACLES["line_diff_copies"] = """
+WITH l AS (SELECT doc_id, text, list_max(list_transform(string_split(text, chr(10)), lambda x: struct_pack(size := length(x), line := x))) AS longest FROM documents WHERE text IS NOT NULL),
+f AS (SELECT longest, min(doc_id) AS first_id FROM l GROUP BY 1),
+p AS (SELECT DISTINCT f.first_id, l.doc_id, b.text AS before, l.text AS after FROM l JOIN f USING (longest) JOIN l b ON b.doc_id = f.first_id AND b.longest = f.longest WHERE l.doc_id <> f.first_id)
+SELECT first_id, doc_id, CAST(len(string_split(before, chr(10))) AS BIGINT) AS n_before, CAST(len(string_split(after, chr(10))) AS BIGINT) AS n_after,
+ before <> after AS changed, sha256(before) AS before_sha256, sha256(after) AS after_sha256 FROM p
+"""

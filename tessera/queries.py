@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import lexicon as L
 from tessera.functions import text as T
-from tessera.operators import antecedents, bpe, conflicts, labels, nearest, placeholders, reference, schema, semantic, tokens
+from tessera.operators import antecedents, bpe, conflicts, labels, linediff, nearest, placeholders, reference, schema, semantic, tokens
 from tessera.options import Options
 from tessera.plans import evaluate, report
 from tessera.session import table
@@ -398,6 +398,17 @@ def best_match_all(s, d):
     return m.select(F.col("query").alias("q_id"), F.col("id").alias("best_id"), F.round("cosine", 5).alias("best"))
 
 
+def line_diff_copies(s, d):
+    """Line diffs between each document and the first one with the same longest line; both texts as they come back from the diff."""
+    pairs = linediff.copies(table(s, d, "documents")).withColumn("ids", F.struct("first_id", "doc_id"))
+    p = linediff.patches(pairs, "ids", "before", "after")
+    digest = lambda gone: F.sha2(linediff.side_of(F.col("diff"), gone), 256)
+    return p.select(
+        "ids.first_id", "ids.doc_id", (F.col("n_same") + F.col("n_removed")).alias("n_before"), (F.col("n_same") + F.col("n_added")).alias("n_after"),
+        (F.col("n_removed") + F.col("n_added") > 0).alias("changed"), digest(linediff.ADDED).alias("before_sha256"), digest(linediff.REMOVED).alias("after_sha256"),
+    )
+
+
 def combined_score(s, d):
     e = table(s, d, "events").selectExpr("event_id", "event_id % 10 / 10.0D AS p", "event_id % 7 / 7.0D AS s", "event_id % 11 / 11.0D AS n")
     c = semantic.combined(F.col("p"), F.col("s"), F.col("n"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import labels
+from tessera.operators import labels, linediff
 from tessera.plans import evaluate
 
 
@@ -82,6 +80,6 @@ def annotate(text, spans, tag: str = " [MISSING_REFERENCE]"):
     return F.aggregate(order, text, lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["end"].cast("int")), F.lit(tag), F.substring(acc, (s["end"] + 1).cast("int"), F.length(acc))))
 
 
-def line_diff(before: str, after: str) -> str:
-    """Lines of both texts, each behind +, - or a blank."""
-    return "\n".join(x[0] + x[2:] for x in difflib.ndiff(before.split("\n"), after.split("\n")) if x[0] != "?")
+def write_patches(pairs: DataFrame, path: str, id_col: str = "id", before: str = "original", after: str = "proposed") -> None:
+    """One JSON row a pair of texts: its id, line diff and counts of kept, removed and added lines."""
+    linediff.patches(pairs, id_col, before, after).write.mode("overwrite").json(path)

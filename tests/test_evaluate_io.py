@@ -50,12 +50,13 @@ def test_readers(spark, tmp_path):
     assert got["test_0001"]["history"][0]["content"] == "h" and got["test_0002"]["prompt"] is None and got["test_0002"]["expected_issue_codes"] == ["X"]
 
 
-def test_sinks(spark):
+def test_sinks(spark, tmp_path):
     old, new = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"), spark.createDataFrame([("b", 3)], "id string, v int")
     assert sorted(map(tuple, sinks.upsert_cases(old, new).collect())) == [("a", 1), ("b", 3)]
     d = spark.createDataFrame([("the a and the b", [(0, 5), (10, 15)])], "t string, s array<struct<start:int,end:int>>")
     assert d.select(sinks.annotate(F.col("t"), F.col("s"), "[X]")).first()[0] == "the a[X] and the b[X]"
-    assert sinks.line_diff("a\nb", "a\nc").split("\n") == [" a", "-b", "+c"]
+    sinks.write_patches(spark.createDataFrame([(1, "a\nb", "a\nc")], "id long, original string, proposed string"), f"{tmp_path}/patches")
+    assert spark.read.json(f"{tmp_path}/patches").first()["diff"].split("\n") == [" a", "-b", "+c"]
 
 
 def _embed(texts):
