@@ -71,3 +71,22 @@ def test_rules_use_exact_counts(spark):
     assert got == {"a": (want, "exact"), "b": (_slow(b"short", ranks), "exact")}
     words = tokens.estimate(cases, "prompt", F.lit(100).cast("long"), "exact").select("case_id", "tokens").collect()
     assert {r[0]: r[1] for r in words} == {"a": 30, "b": 1, "c": 1}
+
+
+@needs_files
+def test_memory_of_a_task_is_bounded(spark, monkeypatch, capsys):
+    """Pieces are counted inside each row, without a group or shuffle of texts; rare pieces are dealt by their number; copies and texts without a piece count right."""
+    rows = [(i, t) for i, t in enumerate(["b a  b", "b a  b", "a" * 9, None, "", "7 7 7 x"])]
+    d = spark.createDataFrame(rows, "id long, text string").selectExpr("encode(string(id), 'UTF-8') AS digest", "0 AS file", "text").repartition(2)
+    counted = bpe.piece_counts(d, r"\w")
+    assert sorted((sorted(map(tuple, r["pieces"]))) for r in counted.collect()) == [[("7", 3), ("x", 1)], [("a", 1), ("b", 2)], [("a", 1), ("b", 2)], [("a", 9)]]
+    assert bpe.piece_counts(d, "z").select("pieces").distinct().collect()[0][0] == []
+    counted.explain()
+    plan = capsys.readouterr().out.split("RoundRobin")[0]
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan and "Sort " not in plan
+    words = spark.createDataFrame(rows, "id long, text string")
+    want = bpe.count_tokens(words, "text", bpe.RankFiles(ONE)).collect()
+    monkeypatch.setattr(bpe, "HEAD", 1)
+    monkeypatch.setattr(bpe, "RARE_ROWS", 2)
+    got = bpe.count_tokens(words, "text", bpe.RankFiles(ONE))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and got.where("tokens > 0").count() == 4
