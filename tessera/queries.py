@@ -387,9 +387,8 @@ def cosine_similarity(s, d):
 
 def best_match_similarity(s, d):
     """For the vectors whose id is divisible by 50, the best cosine among vectors of the same label."""
-    e = table(s, d, "embeddings").select("vec_id", "label", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "label", F.col("embedding").alias("x"))
-    return q.join(e, "label").where("q_id <> vec_id").groupBy("q_id").agg(F.round(F.max(T.cosine(F.col("x"), F.col("embedding"))), 5).alias("best"))
+    m = nearest.best_in_group(table(s, d, "embeddings"), F.col("vec_id") % 50 == 0, "label")
+    return m.select(F.col("query").alias("q_id"), F.round("cosine", 5).alias("best"))
 
 
 def best_match_all(s, d):
