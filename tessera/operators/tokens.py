@@ -69,7 +69,11 @@ def costs(cases: DataFrame, options: Options = Options(), ranks: bpe.RankFiles |
 
 
 def rule(cases: DataFrame, options: Options = Options(), ranks: bpe.RankFiles | None = None) -> DataFrame:
-    c = costs(cases, options, ranks)
+    return overages(costs(cases, options, ranks), options)
+
+
+def overages(c: DataFrame, options: Options = Options()) -> DataFrame:
+    """Issues of the cases' costs."""
     num = lambda x: F.format_number(x, 0)
     one = lambda t: F.array(F.struct(F.lit(t).alias("text"), F.lit(1).cast("long").alias("count")))
     occ = lambda t: F.array(issues.occurrence(text=t, start=F.lit(0), end=F.lit(0)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import antecedents, conflicts, issues, placeholders, reference, schema, semantic, tokens
 from tessera.options import Options
+from tessera.store import cut
 
 CASES = (
     "case_id string, prompt string, messages array<struct<role:string,content:string>>, schema_json string, model string, template_dialect string, "
@@ -39,8 +40,8 @@ def _fields(ddl: str) -> list[str]:
     return [*out, ddl[start:]]
 
 
-def issue_table(cases: DataFrame, options: Options = Options(), models: semantic.Models | None = None) -> DataFrame:
-    """One row an issue. Rules that are switched off are not planned; with models, references and conflicts use them."""
+def issue_table(cases: DataFrame, options: Options = Options(), models: semantic.Models | None = None, costs: DataFrame | None = None) -> DataFrame:
+    """One row an issue. Rules that are switched off are not planned; with models, references and conflicts use them. ``costs``: those of the cases, if known."""
     cases = complete(cases)
     parts = []
     for code, rule in RULES.items():
@@ -54,6 +55,8 @@ def issue_table(cases: DataFrame, options: Options = Options(), models: semantic
             parts.append(reference.report(v, found))
         elif models and code == "CONFLICTING_INSTRUCTION" and (models.embed or models.entail):
             parts.append(semantic.conflict_rule(cases, models, options))
+        elif costs is not None and code == "TOKEN_OVERAGE":
+            parts.append(tokens.overages(costs, options))
         else:
             parts.append(rule(cases, options))
     return reduce(DataFrame.unionByName, parts) if parts else placeholders.rule(cases.limit(0), options)
@@ -66,14 +69,18 @@ def issue_counts(found: DataFrame) -> DataFrame:
 
 
 def analyze(cases: DataFrame, options: Options = Options(), models: semantic.Models | None = None) -> DataFrame:
-    """One nested report a case: issues in rule order, suggestions, cost, summary (null without issues)."""
-    cases = complete(cases)
-    found = issue_table(cases, options, models)
+    """One nested report a case: issues in rule order, suggestions, cost, summary (null without issues).
+
+    All rules read the cases, most of them several times; so cases and costs are written once, and not put together again in each branch.
+    """
+    cases = cut(complete(cases), "cases")
+    costs = tokens.costs(cases, options) if "TOKEN_OVERAGE" not in options.disabled_rules else tokens.costs(cases.limit(0), options)
+    costs = cut(costs, "costs")
+    found = issue_table(cases, options, models, costs)
     body = F.struct("rule_ord", "id", "code", "severity", "detail", "confidence", "summary", "occurrences", "first_char", "message_index", "suggestions")
     per = found.groupBy("case_id").agg(F.sort_array(F.collect_list(body)).alias("issues"))
     count = lambda code: F.size(F.filter("issues", lambda i: i["code"] == code)).cast("long")
     counted = F.filter(F.array(*[F.struct(F.lit(c).alias("code"), count(c).alias("n")) for c in sorted(RULES)]), lambda x: x["n"] > 0)
-    costs = tokens.costs(cases, options) if "TOKEN_OVERAGE" not in options.disabled_rules else tokens.costs(cases.limit(0), options)
     cost = costs.select("case_id", F.struct(F.col("tokens").alias("est_input_tokens"), F.col("usd").alias("est_usd"), "char_count", "method").alias("cost"))
     d = cases.select("case_id").join(per, "case_id", "left").join(cost, "case_id", "left")
     summary = F.when(F.col("issues").isNotNull(), F.struct(F.map_from_entries(counted).alias("issue_counts"), F.lit("high").alias("confidence")))
