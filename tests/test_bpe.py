@@ -90,3 +90,20 @@ def test_memory_of_a_task_is_bounded(spark, monkeypatch, capsys):
     monkeypatch.setattr(bpe, "RARE_ROWS", 2)
     got = bpe.count_tokens(words, "text", bpe.RankFiles(ONE))
     assert sorted(map(str, got.collect())) == sorted(map(str, want)) and got.where("tokens > 0").count() == 4
+
+
+@needs_files
+def test_boundary_counts_inside_rows(spark, monkeypatch, capsys):
+    """Automatic estimates near the window count pieces row by row too."""
+    plans, write = [], bpe.cut
+
+    def seen(df, name):
+        df.explain()
+        plans.append((name, capsys.readouterr().out))
+        return write(df, name)
+
+    monkeypatch.setattr(bpe, "cut", seen)
+    d = spark.createDataFrame([(1, "a b " * 10, "m"), (2, "c", "m")], "id long, text string, model string")
+    got = tokens.estimate(d, "text", F.lit(10).cast("long"), ranks=bpe.RankFiles(ONE), model="model")
+    assert {r["id"]: r["method"] for r in got.collect()} == {1: "exact_boundary", 2: "cheap"}
+    assert plans[0][0] == "pieces" and "Aggregate" not in plans[0][1] and "Exchange" not in plans[0][1]
