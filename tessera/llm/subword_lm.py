@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,9 @@ from tessera.llm.store import cut
 from tessera.llm.textbytes import Block, blocks, spark_long, string_parts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD, PASSES, LONGEST, CLASSES, SCALE = 150_000, 3, 24, 5, 8.0
+HEAD, PASSES, LONGEST, CLASSES, SCALE = 150_000, 5, 24, 5, 8.0
 FLUSH = 300_000  # distinct words that a worker holds before it hands them on
+PAD = 256  # read behind a word's end; no byte
 _MARK = "▁".encode()
 _LOG10 = math.log(10.0)
 
@@ -67,41 +69,93 @@ def load_pieces(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
     return names, np.log(p / p.sum())
 
 
+@lru_cache(maxsize=2)
+def trie(pieces: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All beginnings of the pieces as nodes, the empty one first, their steps in one flat table (rows with gaps, laid over one another).
+
+    From a node, byte b leads to slot ``base[node] + b``; if ``owner`` of that slot is the node, ``to`` is the next one. ``piece`` is a node's piece or -1.
+    """
+    number: dict[bytes, int] = {b"": 0}
+    steps: list[list[tuple[int, int]]] = [[]]
+    for x in pieces:
+        at = 0
+        for i in range(len(x)):
+            node = number.setdefault(x[: i + 1], len(steps))
+            if node == len(steps):
+                steps.append([])
+                steps[at].append((x[i], node))
+            at = node
+    free, after = 0, 2 * len(steps) + 1024
+    owner, to = [-1] * after, [0] * after
+    base, piece = np.zeros(len(steps), np.int32), np.full(len(steps), -1, np.int32)
+    for node in sorted(range(len(steps)), key=lambda i: -len(steps[i])):
+        if not steps[node]:
+            break
+        low, spare = steps[node][0][0], 0
+        while owner[free] >= 0:
+            free += 1
+        slot = max(free, low)
+        while any(owner[slot - low + b] >= 0 for b, _ in steps[node]):
+            slot, spare = slot + 1, spare + 1
+            if slot + PAD >= len(owner):
+                owner += [-1] * after
+                to += [0] * after
+        if spare > 30 and len(steps[node]) > 1:
+            free = min(slot, free + 100)  # a crowded stretch is left behind
+        base[node] = slot - low
+        for b, child in steps[node]:
+            owner[slot - low + b], to[slot - low + b] = node, child
+    used = max((i for i, x in enumerate(owner) if x >= 0), default=0) + 1
+    base[[i for i, x in enumerate(steps) if not x]] = used  # nothing follows
+    piece[[number[x] for x in pieces]] = np.arange(len(pieces))
+    return base, np.array(owner[:used] + [-1] * (PAD + 1), np.int32), np.array(to[:used] + [0] * (PAD + 1), np.int32), piece
+
+
 class Lattice:
     """Segmentations of words under one set of piece weights a class."""
 
     def __init__(self, pieces: list[bytes], logp: list[np.ndarray], stop: list[float]):
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        offs = np.concatenate(([0], np.cumsum([len(x) for x in pieces])))
-        h = Block(data, offs, 0).hashes(offs[:-1], offs[1:])
-        order = np.argsort(h)
-        self.sorted, self.id = h[order], order
-        self.lengths = sorted({len(x) for x in pieces})
+        self.trie = trie(tuple(pieces))
+        self.longest = max(len(x) for x in pieces)
         self.size = len(pieces)
         self.logp = [p + math.log1p(-q) for p, q in zip(logp, stop, strict=True)]
         self.end = [math.log(q) - math.log1p(-q) for q in stop]
 
-    def _arcs(self, data: np.ndarray, offs: np.ndarray, rows: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
-        """(length, piece id at each place of each row, -1 for none) over the given words."""
-        n = np.diff(offs)[rows]
-        place = np.arange(width)
-        block, out = Block(data, offs, 0), []
-        for length in self.lengths:
-            if length > width:
+    def _arcs(self, data: np.ndarray, offs: np.ndarray, rows: np.ndarray, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, piece ids) of all pieces in the given words; byte i of the k-th word is place i * len(rows) + k.
+
+        All places walk down the trie together, and leave when no piece begins with what was read.
+        """
+        base, owner, to, piece = self.trie
+        n = len(rows)
+        at = offs[rows] + np.arange(width)[:, None]
+        inside = at < offs[rows + 1]
+        read = np.full((width + self.longest) * n, PAD, np.int32)
+        where = np.flatnonzero(inside)
+        read[where] = data[at.ravel()[where]]
+        node, out = np.zeros(len(where), np.int32), []
+        for length in range(1, self.longest + 1):
+            slot = base[node] + read[where + (length - 1) * n]
+            on = np.flatnonzero(owner[slot] == node)
+            if not len(on):
                 break
-            ok = place[None, : width - length + 1] + length <= n[:, None]
-            at = (offs[rows][:, None] + place[None, : width - length + 1])[ok]
-            h = block.hashes(at, at + length)
-            k = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            ids = np.full(ok.shape, -1, np.int32)
-            ids[ok] = np.where(self.sorted[k] == h, self.id[k], -1)
-            if (ids >= 0).any():
-                out.append((length, ids))
+            where, node = where[on], to[slot[on]]
+            ids = piece[node]
+            hit = np.flatnonzero(ids >= 0)
+            if len(hit):
+                out.append((length, where[hit], ids[hit]))
         return out
 
-    def _groups(self, offs: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-        """Rows of words of like length."""
-        n = np.diff(offs)
+    @staticmethod
+    def _spread(values: np.ndarray, where: np.ndarray, places: int, rows: int, empty: float) -> np.ndarray:
+        """Values of arcs as a table by place and row."""
+        out = np.full(places * rows, empty, values.dtype)
+        out[where] = values
+        return out.reshape(places, rows)
+
+    @staticmethod
+    def _groups(n: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """Places of words of like length."""
         low = 0
         for high in (8, 12, 16, 24, 40, *(2**k for k in range(6, 40))):
             rows = np.flatnonzero((n > low) & (n <= high))
@@ -123,63 +177,95 @@ class Lattice:
 
     def _forward(self, cls: int, arcs, rows: int, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Log probabilities of all beginnings of the words, and the weights of the arcs by place."""
-        lp = np.append(self.logp[cls], -np.inf)
-        weights = [lp[np.ascontiguousarray(ids.T)] for _, ids in arcs]
+        weights = [self._spread(self.logp[cls][ids], where, width - length + 1, rows, -np.inf) for length, where, ids in arcs]
         alpha = np.full((width + 1, rows), -np.inf)
         alpha[0] = 0
         for i in range(1, width + 1):
-            terms = [alpha[i - length] + w[i - length] for (length, _), w in zip(arcs, weights, strict=True) if length <= i]
+            terms = [alpha[i - length] + w[i - length] for (length, *_), w in zip(arcs, weights, strict=True) if length <= i]
             if terms:
                 alpha[i] = self._lse(terms)
         return alpha, weights
 
+    @staticmethod
+    def _sums(arcs, weights: list[np.ndarray], rows: int, width: int) -> np.ndarray:
+        """As ``_forward``, with the plain products of weights by place."""
+        alpha = np.zeros((width + 1, rows))
+        alpha[0] = 1
+        for i in range(1, width + 1):
+            for (length, *_), w in zip(arcs, weights, strict=True):
+                if length <= i:
+                    alpha[i] += alpha[i - length] * w[i - length]
+        return alpha
+
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Natural-log probability of each word in each class, summed over its segmentations."""
+        """Natural-log probability of each word in each class, summed over its segmentations.
+
+        Probabilities are taken times SCALE a byte; words with a beginning that still nears the end of the range of floats go by logarithms.
+        """
         out = np.tile(np.array(self.end), (len(offs) - 1, 1))
         n = np.diff(offs)
-        for rows, width in self._groups(offs):
-            arcs = self._arcs(data, offs, rows, width)
-            for cls in range(len(self.logp)):
-                alpha, _ = self._forward(cls, arcs, len(rows), width)
-                out[rows, cls] += alpha[n[rows], np.arange(len(rows))]
+        for rows, width in self._groups(n):
+            arcs, last, at = self._arcs(data, offs, rows, width), n[rows], np.arange(len(rows))
+            for cls, logp in enumerate(self.logp):
+                weights = [self._spread(np.exp(logp[ids] + length * math.log(SCALE)), where, width - length + 1, len(rows), 0.0) for length, where, ids in arcs]
+                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                    alpha = self._sums(arcs, weights, len(rows), width)
+                    fine = (((alpha > 1e-250) & (alpha < 1e250)) | (alpha == 0)).all(axis=0)
+                    z = alpha[last, at]
+                    fine &= z > 0
+                    out[rows, cls] += np.where(fine, np.log(z) - last * math.log(SCALE), 0.0)
+                rest = rows[~fine]
+                if len(rest):
+                    alpha, _ = self._forward(cls, self._arcs(data, offs, rest, width), len(rest), width)
+                    out[rest, cls] += alpha[n[rest], np.arange(len(rest))]
         return out
 
     def expected(self, cls: int, data: np.ndarray, offs: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece when each word occurs ``count`` times.
+        """Expected uses of each piece in one class when each word occurs ``count`` times."""
+        return self.uses([cls], data, offs, [count])[0]
+
+    def uses(self, classes: list[int], data: np.ndarray, offs: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+        """Expected uses of each piece in each class, whose words occur as often as ``counts`` has it.
 
         Probabilities are taken times SCALE a byte, which cancels out; words for which that still leaves the range of floats go by logarithms.
         """
-        total, n = np.zeros(self.size), np.diff(offs)
-        weight = np.append(np.exp(self.logp[cls]), 0.0)
-        for rows, width in self._groups(offs):
-            rows = rows[count[rows] > 0]
-            if not len(rows):
-                continue
-            arcs = [(length, np.ascontiguousarray(ids.T)) for length, ids in self._arcs(data, offs, rows, width)]
-            weights = [weight[ids] * SCALE**length for length, ids in arcs]
-            last, at = n[rows], np.arange(len(rows))
-            alpha, beta = np.zeros((width + 1, len(rows))), np.zeros((width + 1, len(rows)))
-            alpha[0] = 1
+        total, n = np.zeros((len(classes), self.size)), np.diff(offs)
+        of, word = np.nonzero(np.stack(counts) > 0)  # each word once for each class that has it
+        count = np.stack(counts)[of, word]
+        weight = np.exp(np.stack([self.logp[cls] for cls in classes])).ravel()
+        keys, posts = [], []
+        for part, width in self._groups(n[word]):
+            rows, rows_n, first = word[part], len(part), of[part] * self.size
+            row = np.tile(np.arange(rows_n), width)
+            arcs = self._arcs(data, offs, rows, width)
+            key = [ids + first[row[where]] for _, where, ids in arcs]
+            flat = [weight[k] * SCALE**length for (length, *_), k in zip(arcs, key, strict=True)]
+            weights = [self._spread(w, where, width - length + 1, rows_n, 0.0) for (length, where, _), w in zip(arcs, flat, strict=True)]
+            last, at = n[rows], np.arange(rows_n)
+            beta = np.zeros((width + 1, rows_n))
             beta[last, at] = 1
             with np.errstate(over="ignore", invalid="ignore"):
-                for i in range(1, width + 1):
-                    for (length, _), w in zip(arcs, weights, strict=True):
-                        if length <= i:
-                            alpha[i] += alpha[i - length] * w[i - length]
+                alpha = self._sums(arcs, weights, rows_n, width)
                 for i in range(width - 1, -1, -1):
-                    for (length, _), w in zip(arcs, weights, strict=True):
+                    for (length, *_), w in zip(arcs, weights, strict=True):
                         if i + length <= width:
                             beta[i] += w[i] * beta[i + length]
                 fine = np.isfinite(alpha).all(axis=0) & np.isfinite(beta).all(axis=0)
                 z = alpha[last, at]
                 fine &= (z > 1e-250) & (z < 1e250)
-                share = np.where(fine, count[rows] / np.where(fine, z, 1.0), 0.0)
-                for (length, ids), w in zip(arcs, weights, strict=True):
-                    post = alpha[: len(ids)] * w * beta[length : length + len(ids)] * share
+                share = np.where(fine, count[part] / np.where(fine, z, 1.0), 0.0)
+                for (length, where, _), k, w in zip(arcs, key, flat, strict=True):
+                    post = alpha.ravel()[where] * w * beta.ravel()[where + length * rows_n] * share[row[where]]
                     used = post > 0
-                    total += np.bincount(ids[used], post[used], self.size)
-            if not fine.all():
-                total += self._expected_by_logs(cls, data, offs, rows[~fine], width, count)
+                    keys.append(k[used])
+                    posts.append(post[used])
+            if sum(map(len, keys)) > 1_000_000:
+                total += np.bincount(np.concatenate(keys), np.concatenate(posts), total.size).reshape(total.shape)
+                keys, posts = [], []
+            for i in np.unique(of[part][~fine]):
+                total[i] += self._expected_by_logs(classes[i], data, offs, rows[~fine & (of[part] == i)], width, counts[i])
+        if keys:
+            total += np.bincount(np.concatenate(keys), np.concatenate(posts), total.size).reshape(total.shape)
         return total
 
     def _expected_by_logs(self, cls: int, data: np.ndarray, offs: np.ndarray, rows: np.ndarray, width: int, count: np.ndarray) -> np.ndarray:
@@ -189,14 +275,13 @@ class Lattice:
         z = alpha[last, np.arange(len(rows))]
         beta = np.full((width + 1, len(rows)), -np.inf)
         for i in range(width, -1, -1):
-            terms = [w[i] + beta[i + length] for (length, _), w in zip(arcs, weights, strict=True) if i + length <= width]
+            terms = [w[i] + beta[i + length] for (length, *_), w in zip(arcs, weights, strict=True) if i + length <= width]
             beta[i] = self._lse([*terms, np.where(last == i, 0.0, -np.inf)])
-        for (length, ids), w in zip(arcs, weights, strict=True):
-            ok = ids >= 0
-            r, i = np.nonzero(ok)
+        for (length, where, ids), w in zip(arcs, weights, strict=True):
+            i, r = np.divmod(where, len(rows))
             with np.errstate(invalid="ignore"):
                 post = np.exp(alpha[i, r] + w[i, r] + beta[i + length, r] - z[r]) * count[rows][r]
-            total += np.bincount(ids[ok], np.nan_to_num(post), self.size)
+            total += np.bincount(ids, np.nan_to_num(post), self.size)
         return total
 
 
@@ -227,11 +312,17 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
                 s, e, owner = k.words()
                 if not len(s):
                     continue
-                h, first, back, n = np.unique(k.hashes(s, e, lower=True), return_index=True, return_inverse=True, return_counts=True)
-                of = cls[owner + k.first]
-                c = {x: np.bincount(back[of == i], minlength=len(h)).astype(np.int64) for i, x in enumerate(names[:-1])}
-                in_text = np.unique(back[of >= 0] * np.int64(k.n) + owner[of >= 0]) // k.n
-                c["df"] = np.bincount(in_text, minlength=len(h)).astype(np.int64)
+                h = k.hashes(s, e, lower=True)
+                order = np.argsort(h, kind="stable")  # equal words together, those of a text next to each other
+                h, text = h[order], owner[order]
+                begins = np.append(True, h[1:] != h[:-1])
+                first, word = order[begins], np.cumsum(begins) - 1
+                h, n = h[begins], np.diff(np.append(np.flatnonzero(begins), len(h)))
+                of = cls[text + k.first].astype(np.int64)
+                by_class = np.bincount(word * (classes + 1) + of + 1, minlength=len(h) * (classes + 1)).reshape(len(h), classes + 1)
+                c = {x: by_class[:, i + 1] for i, x in enumerate(names[:-1])}
+                begins[1:] |= text[1:] != text[:-1]
+                c["df"] = np.bincount(word[begins & (of >= 0)], minlength=len(h))
                 offs = np.concatenate(([0], np.cumsum((e - s)[first])))
                 low = lower_bytes(k.data)[np.arange(int(offs[-1])) + np.repeat(s[first] - offs[:-1], (e - s)[first])]
                 word = pa.LargeStringArray.from_buffers(len(h), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(low)).cast(pa.string())
@@ -262,12 +353,10 @@ def adapt(words: DataFrame, classes: int, pieces: list[bytes], start: np.ndarray
         def apply(batches: Iterator[pa.RecordBatch], lattice=lattice) -> Iterator[pa.RecordBatch]:
             total, seen = np.zeros((classes, lattice.size)), np.zeros(classes)
             for b in batches:
-                words_ = marked(b.column(0))
-                for i in range(classes):
-                    # Each word counts once, and little if many texts hold it: the lattice is asked about words that none does.
-                    c = (b.column(1 + i).to_numpy() > 0) / b.column(1 + classes).to_numpy().clip(1)
-                    total[i] += lattice.expected(i, *words_, c)
-                    seen[i] += c.sum()
+                # Each word counts once, and little if many texts hold it: the lattice is asked about words that none does.
+                c = [(b.column(1 + i).to_numpy() > 0) / b.column(1 + classes).to_numpy().clip(1) for i in range(classes)]
+                total += lattice.uses(list(range(classes)), *marked(b.column(0)), c)
+                seen += [x.sum() for x in c]
             for i in range(classes):
                 at = np.flatnonzero(total[i])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, i)), pa.array(np.append(at, -1)), pa.array(np.append(total[i][at], seen[i]))], names=["cls", "piece", "uses"])

@@ -231,6 +231,50 @@ def test_lattice_against_all_segmentations():
     assert np.allclose(got, by_logs, rtol=1e-6)
 
 
+def test_lattice_walks_a_trie(monkeypatch):
+    """Pieces in words are found by steps in a trie, without hashes or searches of every substring; classes share a walk, and scores leave logarithms to extreme words."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    pieces = sorted({"".join(r.choice("abé") for _ in range(r.randrange(1, 7))).encode() for _ in range(200)} | {bytes([i]) for i in range(256)} | {"▁".encode()})
+    logp = [np.log(w / w.sum()) for w in (np.array([r.random() + 0.01 for _ in pieces]) for _ in range(3))]
+    lat = subword_lm.Lattice(pieces, logp, [0.2, 0.3, 0.4])
+    base, owner, to, piece = lat.trie
+    for i, x in enumerate(pieces):
+        node = 0
+        for b in x:
+            assert owner[base[node] + b] == node
+            node = to[base[node] + b]
+        assert piece[node] == i
+    words = ["", "a", "éb", "xyz", *("".join(r.choice("abéc") for _ in range(r.randrange(1, 30))) for _ in range(60)), "ab" * 900, "é" * 700]
+    data, offs = subword_lm.marked(pa.array(words))
+
+    def banned(*_, **__):
+        raise AssertionError("substrings are hashed")
+
+    monkeypatch.setattr(subword_lm.Block, "hashes", banned)
+    for i in range(len(words)):
+        w, rows = data[offs[i] : offs[i + 1]].tobytes(), np.array([0, i])  # beside a shorter word
+        got = {(int(at) // 2, int(k)) for length, where, ids in lat._arcs(data, offs, rows, max(3, len(w))) for at, k in zip(where, ids, strict=True) if at % 2}
+        want = {(at, k) for at in range(len(w)) for k, x in enumerate(pieces) if w.startswith(x, at)} if len(w) < 100 else got
+        assert got == want
+    scores = lat.score(data, offs)
+    for i in range(len(words)):
+        for cls in range(3):
+            n = int(offs[i + 1] - offs[i])
+            arcs = lat._arcs(data, offs, np.array([i]), n)
+            assert math.isclose(scores[i, cls], lat._forward(cls, arcs, 1, n)[0][n, 0] + lat.end[cls], rel_tol=1e-9)
+    counts = [np.array([(i + cls) % 3 * 0.5 for i in range(len(words))]) for cls in range(3)]
+    all_ = lat.uses([0, 1, 2], data, offs, counts)
+    for cls in range(3):
+        assert np.allclose(all_[cls], lat.expected(cls, data, offs, counts[cls]), rtol=1e-9)
+        by_logs = sum(lat._expected_by_logs(cls, data, offs, np.array([i]), int(offs[i + 1] - offs[i]), counts[cls]) for i in range(len(words)))
+        assert np.allclose(all_[cls], by_logs, rtol=1e-6, atol=1e-9)
+
+
 def test_scores(docs, rows, none):
     got = subword_lm.score_documents(docs, head=20).collect()
     train = collections.Counter()
