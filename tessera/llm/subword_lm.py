@@ -39,7 +39,7 @@ from tessera.llm.textbytes import Block, blocks, spark_long, string_parts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD, PASSES, LONGEST, CLASSES, SCALE = 150_000, 5, 24, 5, 8.0
-FLUSH = 300_000  # distinct words that a worker holds before it hands them on
+FLUSH = 150_000  # distinct words that a worker holds before it hands them on
 PAD = 256  # read behind a word's end; no byte
 _MARK = "▁".encode()
 _LOG10 = math.log(10.0)
